@@ -26,8 +26,10 @@ def access_log(candidates: DataFrame) -> DataFrame:
     return candidates.select("query_id", *KEYS, F.col("issued_ms").alias("access_ms"))
 
 
-def last_access(log: DataFrame) -> DataFrame:
-    """Time of the last access to each partition."""
+def last_access(log: DataFrame, until_ms: int | None = None) -> DataFrame:
+    """Time of the last access to each partition, up to ``until_ms`` if given."""
+    if until_ms is not None:
+        log = log.where(F.col("access_ms") <= until_ms)
     return log.groupBy(*KEYS).agg(F.max("access_ms").alias("last_ms"))
 
 
@@ -39,11 +41,10 @@ def classify_partitions(
     A partition without an access counts from the time it was loaded.
     """
     require_positive(window_ms=window_ms)
-    seen = accesses.where(F.col("last_ms") <= now_ms)
     active = F.coalesce("last_ms", F.lit(loaded_ms)).cast("bigint")
     return (
         keys.select(*KEYS)
-        .join(seen, KEYS, "left")
+        .join(accesses, KEYS, "left")
         .select(*KEYS, active.alias("active_ms"))
         .withColumn("is_hot", F.lit(now_ms) < F.col("active_ms") + window_ms + delay_ms)
     )

@@ -68,27 +68,37 @@ def candidate_regions(workload: DataFrame, model: SpatialModel) -> DataFrame:
     keys = ["kind", "a", "ax", "ay"]
 
     # kind 0: the query's own cells against regions in or below them;
-    # kind 1: cells above the query against the regions' own cells
-    query_cells = with_ancestors(cover_cells(queries, b, *extent(queries))).withColumn(
-        "kind", F.when(F.col("a") == F.col("lvl"), 0).otherwise(1)
+    # kind 1: cells above the query against the regions' own cells;
+    # kind 2: queries that leave the bounds against the region of outside points
+    query_cells = with_ancestors(cover_cells(queries, b, *extent(queries)))
+    own = F.col("a") == F.col("lvl")
+    beyond = (F.col("a") == 0) & leaves_bounds(*extent(queries), b)
+    query_kinds = F.when(beyond, F.array(F.when(own, 0).otherwise(1), F.lit(2))).otherwise(
+        F.array(F.when(own, 0).otherwise(1))
     )
+    query_cells = query_cells.withColumn("kind", F.explode(query_kinds)).select(*workload.columns, *keys)
+
     edges = (F.col("x0") - b.pad, F.col("y0") - b.pad, F.col("x1") + b.pad, F.col("y1") + b.pad)
     region_cells = with_ancestors(cover_cells(model.regions.select("loc", "x0", "y0", "x1", "y1"), b, *edges))
+    region_kinds = F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     region_cells = (
-        region_cells.withColumn(
-            "kind", F.explode(F.when(F.col("a") == F.col("lvl"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-        )
+        region_cells.withColumn("kind", F.explode(region_kinds))
         .select("loc", *(F.col(c).alias("_r" + c) for c in ("x0", "y0", "x1", "y1")), *keys)
         .distinct()
     )
-    pairs = query_cells.join(region_cells, keys)
+    outside = model.regions.sparkSession.range(1).select(
+        F.lit(OUTSIDE).alias("loc"),
+        *(F.lit(0.0).alias("_r" + c) for c in ("x0", "y0", "x1", "y1")),
+        F.lit(2).alias("kind"),
+        F.lit(0).alias("a"),
+        *(F.lit(0).cast("bigint").alias(c) for c in ("ax", "ay")),
+    )
+    pairs = query_cells.join(region_cells.unionByName(outside), keys)
     if is_circles(workload):
         touches = circle_touches_region(F.col("x"), F.col("y"), F.col("r"), b, "_r")
     else:
         touches = box_touches_region(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), b, "_r")
-    inside = pairs.where(touches).select(*workload.columns, "loc").dropDuplicates(["query_id", "loc"])
-    outside = queries.where(leaves_bounds(*extent(queries), b)).withColumn("loc", F.lit(OUTSIDE))
-    return inside.unionByName(outside)
+    return pairs.where((F.col("kind") == 2) | touches).select(*workload.columns, "loc").distinct()
 
 
 def candidate_partitions(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.functions.keys import epoch_offset
@@ -18,7 +18,10 @@ SAMPLE = 100
 SEED = 7
 CIRCLE = CircleQuery(100.0, 500.0, 100.0, 200_000, 900_000)
 BOX = BoxQuery(50.0, 400.0, 150.0, 600.0, 200_000, 900_000)
-ACTIVE_MS = 3_600_000
+ACTIVE_MS = 86_400_000
+SESSION_MS = 21_600_000
+STREAM_MS = 3_600_000
+TICK_MS = 10_000
 DELAY_MS = 60_000
 NOW_MS = 1_500_000_000
 
@@ -27,7 +30,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def st_points(events: DataFrame) -> DataFrame:
+def st_points(events: DataFrame, *more: Column) -> DataFrame:
     """Events as points: x is skewed, y is even, t counts seconds."""
     return events.select(
         F.col("user_id").cast("string").alias("traj_id"),
@@ -35,6 +38,7 @@ def st_points(events: DataFrame) -> DataFrame:
         (((F.col("event_id") * 7919) % 100000).cast("double") / 100.0).alias("y"),
         epoch_offset(F.col("ts"), ORIGIN).alias("t"),
         "event_id",
+        *more,
     )
 
 
@@ -61,3 +65,22 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circles(spark, sf_dir).selectExpr(
         "query_id", "x - r AS x0", "y - r AS y0", "x + r AS x1", "y + r AS y1", "ta", "tb", "issued_ms"
     )
+
+
+def far_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circles, and each once more far away from every point."""
+    near = circles(spark, sf_dir)
+    far = near.withColumns({"query_id": -F.col("query_id") - 1, "y": F.col("y") + 5000.0})
+    return near.unionByName(far)
+
+
+def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times as completion times of queries."""
+    return events(spark, sf_dir).select(finished_us(F.col("ts")).alias("finished_us")).selectExpr(
+        "finished_us div 1000 AS finished_ms"
+    )
+
+
+def finished_us(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
