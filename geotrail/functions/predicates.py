@@ -1,78 +1,60 @@
-"""Boolean columns of the range queries. Plain arithmetic, so it stays in codegen."""
+"""Boolean columns of the range queries.
 
-from __future__ import annotations
+Arguments are column names (or SQL text) and numbers. Plain arithmetic: everything
+stays in generated code, and closed ranges reach the Parquet scan.
+"""
 
-from functools import reduce
-from operator import and_
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geotrail.functions.sqltext import sql
 from geotrail.params import Bounds
 
-
-def _col(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+Value = str | int | float
 
 
-def in_circle(x: Column, y: Column, cx, cy, r) -> Column:
+def in_circle(x: str, y: str, cx: Value, cy: Value, r: Value) -> Column:
     """Closed disc."""
-    dx, dy, r = x - _col(cx), y - _col(cy), _col(r)
-    return (r >= 0) & (dx * dx + dy * dy <= r * r)
+    dx, dy, r = f"({x} - {sql(cx)})", f"({y} - {sql(cy)})", sql(r)
+    return F.expr(f"{r} >= 0 AND {dx} * {dx} + {dy} * {dy} <= {r} * {r}")
 
 
-def in_box(x: Column, y: Column, x0, y0, x1, y1) -> Column:
-    """Closed rectangle; as plain ranges it reaches the Parquet scan."""
-    return x.between(_col(x0), _col(x1)) & y.between(_col(y0), _col(y1))
+def in_box(x: str, y: str, x0: Value, y0: Value, x1: Value, y1: Value) -> Column:
+    """Closed rectangle."""
+    return F.expr(f"{x} BETWEEN {sql(x0)} AND {sql(x1)} AND {y} BETWEEN {sql(y0)} AND {sql(y1)}")
 
 
-def in_time(t: Column, ta, tb) -> Column:
+def in_time(t: str, ta: Value, tb: Value) -> Column:
     """Closed interval."""
-    return t.between(_col(ta), _col(tb))
+    return F.expr(f"{t} BETWEEN {sql(ta)} AND {sql(tb)}")
 
 
-def in_bounds(x: Column, y: Column, bounds: Bounds) -> Column:
+def in_bounds(x: str, y: str, bounds: Bounds) -> Column:
     """Half-open bounds of a model."""
-    return reduce(
-        and_,
-        [
-            x >= F.lit(float(bounds.min_x)),
-            x < F.lit(float(bounds.max_x)),
-            y >= F.lit(float(bounds.min_y)),
-            y < F.lit(float(bounds.max_y)),
-        ],
-    )
+    return F.expr(within(x, y, x, y, bounds))
 
 
-def leaves_bounds(x0, y0, x1, y1, bounds: Bounds) -> Column:
-    """Whether a closed rectangle reaches a place outside the half-open bounds."""
-    return ~(
-        (_col(x0) >= F.lit(float(bounds.min_x)))
-        & (_col(x1) < F.lit(float(bounds.max_x)))
-        & (_col(y0) >= F.lit(float(bounds.min_y)))
-        & (_col(y1) < F.lit(float(bounds.max_y)))
-    )
+def within(x0: str, y0: str, x1: str, y1: str, b: Bounds) -> str:
+    """SQL text: a closed rectangle lies in the half-open bounds."""
+    low_x, low_y, high_x, high_y = (sql(float(v)) for v in (b.min_x, b.min_y, b.max_x, b.max_y))
+    return f"({x0} >= {low_x} AND {x1} < {high_x} AND {y0} >= {low_y} AND {y1} < {high_y})"
 
 
-def circle_touches_region(cx, cy, r, bounds: Bounds, region="") -> Column:
+def circle_touches_region(cx: Value, cy: Value, r: Value, bounds: Bounds, region: str = "") -> Column:
     """Circle against the padded box in columns ``x0, y0, x1, y1`` of a regions table."""
-    cx, cy, r, pad, zero = _col(cx), _col(cy), _col(r), F.lit(bounds.pad), F.lit(0.0)
-    x0, y0, x1, y1 = (F.col(region + c) for c in ("x0", "y0", "x1", "y1"))
-    dx = F.greatest(x0 - pad - cx, zero, cx - (x1 + pad))
-    dy = F.greatest(y0 - pad - cy, zero, cy - (y1 + pad))
-    return (r >= 0) & (dx * dx + dy * dy <= r * r)
+    cx, cy, r, pad = sql(cx), sql(cy), sql(r), sql(bounds.pad)
+    dx = f"greatest({region}x0 - {pad} - {cx}, 0D, {cx} - ({region}x1 + {pad}))"
+    dy = f"greatest({region}y0 - {pad} - {cy}, 0D, {cy} - ({region}y1 + {pad}))"
+    return F.expr(f"{r} >= 0 AND {dx} * {dx} + {dy} * {dy} <= {r} * {r}")
 
 
-def box_touches_region(x0, y0, x1, y1, bounds: Bounds, region="") -> Column:
+def box_touches_region(x0: Value, y0: Value, x1: Value, y1: Value, bounds: Bounds, region: str = "") -> Column:
     """Rectangle against the padded box of a region."""
-    pad = F.lit(bounds.pad)
-    rx0, ry0, rx1, ry1 = (F.col(region + c) for c in ("x0", "y0", "x1", "y1"))
-    x0, y0, x1, y1 = _col(x0), _col(y0), _col(x1), _col(y1)
-    return (
-        (x0 <= x1)
-        & (y0 <= y1)
-        & (rx0 - pad <= x1)
-        & (x0 <= rx1 + pad)
-        & (ry0 - pad <= y1)
-        & (y0 <= ry1 + pad)
+    x0, y0, x1, y1, pad = sql(x0), sql(y0), sql(x1), sql(y1), sql(bounds.pad)
+    return F.expr(
+        f"{x0} <= {x1} AND {y0} <= {y1}"
+        f" AND {region}x0 - {pad} <= {x1} AND {x0} <= {region}x1 + {pad}"
+        f" AND {region}y0 - {pad} <= {y1} AND {y0} <= {region}y1 + {pad}"
     )

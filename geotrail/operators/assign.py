@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.cells import cell, coarser
 from geotrail.functions.predicates import in_bounds
+from geotrail.functions.sqltext import sql
 from geotrail.operators.models import SpatialModel, _search, _walk, kd_name, str_name
 from geotrail.params import OUTSIDE
 from geotrail.scratch import BROADCAST_ROWS
@@ -28,72 +29,56 @@ def assign_regions(points: DataFrame, model: SpatialModel) -> DataFrame:
 
 
 def _in_bounds_or_outside(loc: Column, model: SpatialModel) -> Column:
-    inside = in_bounds(F.col("x"), F.col("y"), model.bounds)
+    inside = in_bounds("x", "y", model.bounds)
     return F.coalesce(F.when(inside, loc), F.lit(OUTSIDE))
 
 
-def grid_cell(coord: Column, low: float, size: float, n: int) -> Column:
-    return F.least(F.floor((coord - F.lit(float(low))) * F.lit(float(n)) / F.lit(size)), F.lit(n - 1))
-
-
 def assign_grid(points: DataFrame, model: SpatialModel) -> DataFrame:
     """Two multiplications; no join."""
+
+    def number(coord: str, low: float, size: float, n: int) -> str:
+        return f"least(floor(({coord} - {sql(float(low))}) * {float(n)}D / {sql(size)}), {n - 1}L)"
+
     b = model.bounds
-    ix = grid_cell(F.col("x"), b.min_x, b.width, model.shape["n"])
-    iy = grid_cell(F.col("y"), b.min_y, b.height, model.shape["m"])
-    name = F.concat(F.lit("g"), ix.cast("string"), F.lit("_"), iy.cast("string"))
-    return points.withColumn("loc", _in_bounds_or_outside(name, model))
+    ix, iy = number("x", b.min_x, b.width, model.shape["n"]), number("y", b.min_y, b.height, model.shape["m"])
+    return points.withColumn("loc", _in_bounds_or_outside(F.expr(f"concat('g', {ix}, '_', {iy})"), model))
 
 
 def assign_quadtree(points: DataFrame, model: SpatialModel) -> DataFrame:
     """Looks the point's cell up at every ``STRIDE``-th level.
 
     A region is entered at the next lookup level below its own, as the few cells it has
-    there, so a point needs depth / STRIDE lookups and is never multiplied. Lookup
-    tables are broadcast only after their rows are counted; a larger model is left to
-    Spark's own join choice.
+    there, so a point needs depth / STRIDE lookups and is never multiplied. The size of
+    the lookup tables follows from the regions counted when the model was built; small
+    ones are broadcast, a larger model is left to Spark's own join choice.
     """
     b, depth = model.bounds, model.shape["max_depth"]
     stops = sorted({min(depth, s) for s in range(STRIDE, depth + STRIDE, STRIDE)})
-    regions_at = {r["level"]: r["count"] for r in model.regions.groupBy("level").count().collect()}
+    regions_at = {level: n for level, n in enumerate(model.shape["regions_at"]) if n}
     stop_of = {level: next(s for s in stops if s >= level) for level in regions_at}
     cells = sum(n * 4 ** (stop_of[level] - level) for level, n in regions_at.items())
 
-    keyed = points.withColumns(
-        {
-            "_fx": cell(F.col("x"), b.min_x, b.width, depth),
-            "_fy": cell(F.col("y"), b.min_y, b.height, depth),
-        }
+    stops = sorted(set(stop_of.values()))
+    fx, fy = cell("x", b.min_x, b.width, depth), cell("y", b.min_y, b.height, depth)
+    keyed = points.selectExpr("*", f"{fx} AS _fx", f"{fy} AS _fy")
+    keyed = keyed.selectExpr(
+        *points.columns, *(f"{coarser('_fx', depth - s)} * {2**s}L + {coarser('_fy', depth - s)} AS _key{s}" for s in stops)
     )
-    found = []
-    for stop in sorted(set(stop_of.values())):
+    for stop in stops:
         levels = [level for level, s in stop_of.items() if s == stop]
         lookup = _cells_at(model.regions.where(F.col("level").isin(levels)), stop)
-        key, loc = f"_key{stop}", f"_loc{stop}"
-        lookup = lookup.select(F.col("key").alias(key), F.col("loc").alias(loc))
-        up = depth - stop
-        row_of = coarser(F.col("_fx"), up) * F.lit(2**stop).cast("bigint") + coarser(F.col("_fy"), up)
-        keyed = keyed.withColumn(key, row_of).join(
-            F.broadcast(lookup) if cells <= BROADCAST_ROWS else lookup, key, "left"
-        )
-        found.append(F.col(loc))
-    loc = _in_bounds_or_outside(F.coalesce(*found), model)
+        keyed = keyed.join(F.broadcast(lookup) if cells <= BROADCAST_ROWS else lookup, f"_key{stop}", "left")
+    loc = _in_bounds_or_outside(F.coalesce(*(f"_loc{stop}" for stop in stops)), model)
     return keyed.select(*points.columns, loc.alias("loc"))
 
 
 def _cells_at(regions: DataFrame, stop: int) -> DataFrame:
     """The cells of each region at a finer level, as one long key."""
-    down = F.lit(stop) - F.col("level")
-    side = F.call_function("shiftleft", F.lit(1).cast("bigint"), down)
-    steps = F.sequence(F.lit(0).cast("bigint"), side - 1)
     return (
-        regions.select("loc", "ix", "iy", side.alias("side"), F.explode(steps).alias("dx"), steps.alias("steps"))
-        .select("loc", "ix", "iy", "side", "dx", F.explode("steps").alias("dy"))
-        .select(
-            "loc",
-            ((F.col("ix") * F.col("side") + F.col("dx")) * F.lit(2**stop).cast("bigint")
-             + F.col("iy") * F.col("side") + F.col("dy")).alias("key"),
-        )
+        regions.selectExpr("loc", "ix", "iy", f"shiftleft(1L, {stop} - level) AS side")
+        .selectExpr("*", "explode(sequence(0L, side - 1)) AS dx")
+        .selectExpr("*", "explode(sequence(0L, side - 1)) AS dy")
+        .selectExpr(f"loc AS _loc{stop}", f"(ix * side + dx) * {2**stop}L + iy * side + dy AS _key{stop}")
     )
 
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.functions.cells import cover_cells, with_ancestors
+from geotrail.functions.cells import cover_cells
 from geotrail.functions.keys import div
-from geotrail.functions.predicates import box_touches_region, circle_touches_region, leaves_bounds
+from geotrail.functions.predicates import box_touches_region, circle_touches_region, within
 from geotrail.operators.models import SpatialModel
 from geotrail.params import OUTSIDE, require_positive
 from geotrail.scratch import BROADCAST_ROWS
@@ -40,12 +40,11 @@ def valid_queries(workload: DataFrame) -> DataFrame:
     return workload.where("ta <= tb AND x0 <= x1 AND y0 <= y1")
 
 
-def extent(workload: DataFrame) -> tuple[Column, Column, Column, Column]:
-    """Bounding rectangle of each query."""
+def extent(workload: DataFrame) -> tuple[str, str, str, str]:
+    """Bounding rectangle of each query, as SQL text."""
     if is_circles(workload):
-        x, y, r = F.col("x"), F.col("y"), F.col("r")
-        return x - r, y - r, x + r, y + r
-    return F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")
+        return "(x - r)", "(y - r)", "(x + r)", "(y + r)"
+    return "x0", "y0", "x1", "y1"
 
 
 def blocks_for_interval(ta: Column, tb: Column, window: int) -> Column:
@@ -59,46 +58,40 @@ def candidate_regions(workload: DataFrame, model: SpatialModel) -> DataFrame:
     """Workload rows with each region they touch: ``loc`` is added.
 
     Instead of testing every query against every region, both are put on a pyramid of
-    cells, at the level of their own size. Two shapes that meet have cells of which one
-    is the other or an ancestor of it, so an equi join on cells finds all pairs; the
-    exact test then keeps the true ones.
+    cells, at the level of their own size and the levels above. Two shapes that meet
+    share a cell at the coarser of their levels, so an equi join on cells finds all
+    pairs; the exact test keeps the true ones. A pair that shares several cells is taken
+    at the lowest of them only: no pair comes twice and nothing has to be deduplicated.
     """
     b = model.bounds
-    queries = valid_queries(workload)
+    columns, shape = workload.columns, shape_columns(workload)
     keys = ["kind", "a", "ax", "ay"]
 
     # kind 0: the query's own cells against regions in or below them;
     # kind 1: cells above the query against the regions' own cells;
     # kind 2: queries that leave the bounds against the region of outside points
-    query_cells = with_ancestors(cover_cells(queries, b, *extent(queries)))
-    own = F.col("a") == F.col("lvl")
-    beyond = (F.col("a") == 0) & leaves_bounds(*extent(queries), b)
-    query_kinds = F.when(beyond, F.array(F.when(own, 0).otherwise(1), F.lit(2))).otherwise(
-        F.array(F.when(own, 0).otherwise(1))
+    queries = valid_queries(workload)
+    query_cells = cover_cells(queries, b, *extent(queries)).selectExpr(
+        *columns,
+        *keys[1:],
+        "lx",
+        "ly",
+        f"""explode(CASE WHEN a = 0 AND NOT {within(*extent(queries), b)} THEN array(int(a != lvl), 2)
+                         ELSE array(int(a != lvl)) END) AS kind""",
     )
-    query_cells = query_cells.withColumn("kind", F.explode(query_kinds)).select(*workload.columns, *keys)
-
-    edges = (F.col("x0") - b.pad, F.col("y0") - b.pad, F.col("x1") + b.pad, F.col("y1") + b.pad)
-    region_cells = with_ancestors(cover_cells(model.regions.select("loc", "x0", "y0", "x1", "y1"), b, *edges))
-    region_kinds = F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    region_cells = (
-        region_cells.withColumn("kind", F.explode(region_kinds))
-        .select("loc", *(F.col(c).alias("_r" + c) for c in ("x0", "y0", "x1", "y1")), *keys)
-        .distinct()
+    padded = (f"x0 - {b.pad!r}D", f"y0 - {b.pad!r}D", f"x1 + {b.pad!r}D", f"y1 + {b.pad!r}D")
+    region = ["loc", "x0 AS _rx0", "y0 AS _ry0", "x1 AS _rx1", "y1 AS _ry1", "lx AS _rlx", "ly AS _rly"]
+    region_cells = cover_cells(model.regions.select("loc", "x0", "y0", "x1", "y1"), b, *padded).selectExpr(
+        *region, *keys[1:], "explode(CASE WHEN a = lvl THEN array(0, 1) ELSE array(0) END) AS kind"
     )
-    outside = model.regions.sparkSession.range(1).select(
-        F.lit(OUTSIDE).alias("loc"),
-        *(F.lit(0.0).alias("_r" + c) for c in ("x0", "y0", "x1", "y1")),
-        F.lit(2).alias("kind"),
-        F.lit(0).alias("a"),
-        *(F.lit(0).cast("bigint").alias(c) for c in ("ax", "ay")),
+    nowhere = ["0D AS _rx0", "0D AS _ry0", "0D AS _rx1", "0D AS _ry1", "0L AS _rlx", "0L AS _rly"]
+    outside = workload.sparkSession.range(1).selectExpr(
+        f"'{OUTSIDE}' AS loc", *nowhere, "0 AS a", "0L AS ax", "0L AS ay", "2 AS kind"
     )
+    touches = circle_touches_region if is_circles(workload) else box_touches_region
+    lowest = F.expr("ax = greatest(lx, _rlx) AND ay = greatest(ly, _rly)")
     pairs = query_cells.join(region_cells.unionByName(outside), keys)
-    if is_circles(workload):
-        touches = circle_touches_region(F.col("x"), F.col("y"), F.col("r"), b, "_r")
-    else:
-        touches = box_touches_region(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), b, "_r")
-    return pairs.where((F.col("kind") == 2) | touches).select(*workload.columns, "loc").distinct()
+    return pairs.where(lowest & ((F.col("kind") == 2) | touches(*shape, b, "_r"))).select(*columns, "loc")
 
 
 def candidate_partitions(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:
@@ -107,12 +100,10 @@ def candidate_partitions(workload: DataFrame, model: SpatialModel, window: int)
     return regions.withColumn("block", F.explode(blocks_for_interval(F.col("ta"), F.col("tb"), window)))
 
 
-def scaled_block(block: Column, scale: Column) -> Column:
-    """Block number in units of ``SPAN ** scale`` blocks; keeps the order of blocks."""
-    cases = F.when(scale == 0, block)
-    for s in range(1, SCALES):
-        cases = cases.when(scale == s, div(block, SPAN**s))
-    return cases
+def scaled_block(block: str, scale: str) -> str:
+    """SQL text: block number in units of ``SPAN ** scale`` blocks; keeps the order of blocks."""
+    cases = " ".join(f"WHEN {s} THEN {block} div {SPAN**s}" for s in range(1, SCALES))
+    return f"CASE {scale} WHEN 0 THEN {block} {cases} END"
 
 
 def candidate_join_keys(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:
@@ -123,14 +114,12 @@ def candidate_join_keys(workload: DataFrame, model: SpatialModel, window: int) -
     is tested on the points, so the answer does not depend on the scale.
     """
     require_positive(window=window)
-    first, last = div(F.col("ta"), window), div(F.col("tb"), window)
-    scale = F.lit(SCALES - 1)
-    for s in reversed(range(SCALES - 1)):
-        scale = F.when(last - first < SPAN ** (s + 1), s).otherwise(scale)
+    first, last = f"(ta div {window}L)", f"(tb div {window}L)"
+    cases = " ".join(f"WHEN {last} - {first} < {SPAN ** (s + 1)} THEN {s}" for s in range(SCALES - 1))
     return (
         candidate_regions(workload, model)
-        .withColumn("scale", scale)
-        .withColumn("block", F.explode(F.sequence(scaled_block(first, F.col("scale")), scaled_block(last, F.col("scale")))))
+        .selectExpr("*", f"CASE {cases} ELSE {SCALES - 1} END AS scale")
+        .selectExpr("*", f"explode(sequence({scaled_block(first, 'scale')}, {scaled_block(last, 'scale')})) AS block")
     )
 
 

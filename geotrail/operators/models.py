@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.cells import cell, coarser
 from geotrail.functions.predicates import box_touches_region, circle_touches_region, in_bounds
+from geotrail.functions.sqltext import sql
 from geotrail.params import Bounds, require_positive
-from geotrail.scratch import publish
+from geotrail.scratch import publish, publish_with_facts
 
 ACCURACY = 100_000
 """Accuracy of percentile sketches: exact for groups up to about this many points."""
@@ -38,18 +39,18 @@ def model_size(model: SpatialModel) -> DataFrame:
     return model.regions.agg(F.count("*").alias("n_regions"))
 
 
-def _box(ix: Column, iy: Column, nx: Column, ny: Column, bounds: Bounds) -> dict[str, Column]:
+def _box(ix: str, iy: str, nx: str, ny: str, bounds: Bounds) -> list[str]:
     """Edges of a cell; the same integers always give the same edge."""
 
-    def edge(i: Column, n: Column, low: float, size: float) -> Column:
-        return F.lit(float(low)) + i * F.lit(size) / n
+    def edge(i: str, n: str, low: float, size: float) -> str:
+        return f"{sql(float(low))} + {i} * {sql(size)} / {n}"
 
-    return {
-        "x0": edge(ix, nx, bounds.min_x, bounds.width),
-        "y0": edge(iy, ny, bounds.min_y, bounds.height),
-        "x1": edge(ix + 1, nx, bounds.min_x, bounds.width),
-        "y1": edge(iy + 1, ny, bounds.min_y, bounds.height),
-    }
+    return [
+        edge(ix, nx, bounds.min_x, bounds.width) + " AS x0",
+        edge(iy, ny, bounds.min_y, bounds.height) + " AS y0",
+        edge(f"({ix} + 1)", nx, bounds.min_x, bounds.width) + " AS x1",
+        edge(f"({iy} + 1)", ny, bounds.min_y, bounds.height) + " AS y1",
+    ]
 
 
 # ---- grid -------------------------------------------------------------------------
@@ -58,19 +59,10 @@ def _box(ix: Column, iy: Column, nx: Column, ny: Column, bounds: Bounds) -> dict
 def build_grid(spark: SparkSession, bounds: Bounds, n: int, m: int) -> SpatialModel:
     """``n`` columns by ``m`` rows of equal cells."""
     require_positive(n=n, m=m)
-    cells = spark.range(n * m).select(
-        F.expr(f"id div {m}").alias("ix"), F.expr(f"id % {m}").alias("iy")
-    )
-    regions = cells.select(
-        F.concat(F.lit("g"), F.col("ix"), F.lit("_"), F.col("iy")).alias("loc"),
-        "ix",
-        "iy",
-        *(
-            c.alias(name)
-            for name, c in _box(
-                F.col("ix"), F.col("iy"), F.lit(float(n)), F.lit(float(m)), bounds
-            ).items()
-        ),
+    regions = (
+        spark.range(n * m)
+        .selectExpr(f"id div {m} AS ix", f"id % {m} AS iy")
+        .selectExpr("concat('g', ix, '_', iy) AS loc", "ix", "iy", *_box("ix", "iy", sql(float(n)), sql(float(m)), bounds))
     )
     return SpatialModel("grid", bounds, regions, {"n": n, "m": m})
 
@@ -85,64 +77,62 @@ def quadtree_counts(sample: DataFrame, bounds: Bounds, max_depth: int) -> DataFr
     a number before anything is shuffled; the coarser levels add up those numbers.
     """
     finest = (
-        sample.where(in_bounds(F.col("x"), F.col("y"), bounds))
-        .select(
-            cell(F.col("x"), bounds.min_x, bounds.width, max_depth).alias("fx"),
-            cell(F.col("y"), bounds.min_y, bounds.height, max_depth).alias("fy"),
+        sample.where(in_bounds("x", "y", bounds))
+        .selectExpr(
+            cell("x", bounds.min_x, bounds.width, max_depth) + " AS fx",
+            cell("y", bounds.min_y, bounds.height, max_depth) + " AS fy",
         )
         .groupBy("fx", "fy")
         .agg(F.count("*").alias("n"))
     )
-    levels = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
-    up = F.lit(max_depth) - F.col("level")
-    return levels.groupBy(
-        "level", coarser(F.col("fx"), up).alias("ix"), coarser(F.col("fy"), up).alias("iy")
-    ).agg(F.sum("n").alias("n"))
-
-
-def quadtree_name(ix: Column, iy: Column, level: Column) -> Column:
-    """``q`` and one base-4 digit for each level, the coarsest first."""
+    up = f"{max_depth} - level"
+    return (
+        finest.selectExpr("*", f"explode(sequence(0, {max_depth})) AS level")
+        .selectExpr("level", f"{coarser('fx', up)} AS ix", f"{coarser('fy', up)} AS iy", "n")
+        .groupBy("level", "ix", "iy")
+        .agg(F.sum("n").alias("n"))
+    )
 
-    def digit(i: Column) -> Column:
-        up = (level - i).cast("int")
-        return (coarser(ix, up) % 2 + coarser(iy, up) % 2 * 2).cast("string")
 
-    steps = F.when(level > 0, F.sequence(F.lit(1), level)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.lit("q"), F.array_join(F.transform(steps, digit), ""))
+QUADTREE_NAME = """concat('q', array_join(transform(
+    CASE WHEN level > 0 THEN sequence(1, level) ELSE CAST(array() AS ARRAY<INT>) END,
+    i -> string(shiftright(ix, level - i) % 2 + shiftright(iy, level - i) % 2 * 2)), ''))"""
+"""``q`` and one base-4 digit for each level, the coarsest first."""
 
 
 def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth: int = 8) -> SpatialModel:
     """Splits a node in four while it holds more than ``capacity`` sample points.
 
-    The leaves are the children of split nodes that are not split themselves, empty
-    ones included, so they tile the bounds. Keys stay integers; the name comes last.
+    Split nodes name themselves and their four children; the nodes never named as split
+    are the leaves, empty ones included, so they tile the bounds. Keys stay integers; the
+    name comes last.
     """
     require_positive(capacity=capacity, max_depth=max_depth)
-    spark = sample.sparkSession
-    split = publish(
-        quadtree_counts(sample, bounds, max_depth)
-        .where((F.col("n") > capacity) & (F.col("level") < max_depth))
-        .select("level", "ix", "iy"),
-        "quadtree-splits",
-    )
-    root = spark.range(1).select(
-        F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("ix"), F.lit(0).cast("bigint").alias("iy")
+    split = quadtree_counts(sample, bounds, max_depth).where((F.col("n") > capacity) & (F.col("level") < max_depth))
+
+    named = """inline(array(named_struct('level', level, 'ix', ix, 'iy', iy, 'is_split', true), {}))""".format(
+        ", ".join(
+            f"named_struct('level', level + 1, 'ix', ix * 2 + {q % 2}, 'iy', iy * 2 + {q // 2}, 'is_split', false)"
+            for q in range(4)
+        )
     )
-    children = split.withColumn("q", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
-        (F.col("level") + 1).alias("level"),
-        (F.col("ix") * 2 + F.col("q") % 2).alias("ix"),
-        (F.col("iy") * 2 + F.expr("q div 2")).alias("iy"),
+    root = sample.sparkSession.range(1).selectExpr("0 AS level", "0L AS ix", "0L AS iy", "false AS is_split")
+    leaves = (
+        split.selectExpr(named)
+        .unionByName(root)
+        .groupBy("level", "ix", "iy")
+        .agg(F.max("is_split").alias("is_split"))
+        .where("NOT is_split")
     )
-    leaves = children.unionByName(root).join(split, ["level", "ix", "iy"], "left_anti")
-    side = F.pow(F.lit(2.0), F.col("level"))
-    regions = leaves.select(
-        quadtree_name(F.col("ix"), F.col("iy"), F.col("level")).alias("loc"),
-        "level",
-        "ix",
-        "iy",
-        *(c.alias(name) for name, c in _box(F.col("ix"), F.col("iy"), side, side, bounds).items()),
+    regions, seen = publish_with_facts(
+        leaves.selectExpr(
+            f"{QUADTREE_NAME} AS loc", "level", "ix", "iy", *_box("ix", "iy", "power(2D, level)", "power(2D, level)", bounds)
+        ),
+        "quadtree",
+        *(F.expr(f"count_if(level = {n})").alias(str(n)) for n in range(max_depth + 1)),
     )
-    return SpatialModel("quadtree", bounds, publish(regions, "quadtree"), {"max_depth": max_depth})
+    regions_at = [seen[str(n)] for n in range(max_depth + 1)]
+    return SpatialModel("quadtree", bounds, regions, {"max_depth": max_depth, "regions_at": regions_at})
 
 
 # ---- k-d tree ---------------------------------------------------------------------
@@ -157,7 +147,7 @@ def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int
     """
     require_positive(capacity=capacity, accuracy=accuracy)
     spark = sample.sparkSession
-    inside = sample.where(in_bounds(F.col("x"), F.col("y"), bounds)).select("x", "y")
+    inside = sample.where(in_bounds("x", "y", bounds)).select("x", "y")
     n = inside.count()
     depth = max(0, math.ceil(math.log2(n / capacity))) if n else 0
     cuts = [math.inf] * (2**depth - 1)
@@ -215,14 +205,9 @@ def _kd_regions(spark: SparkSession, cuts: DataFrame, depth: int, bounds: Bounds
     for level in range(depth):
         axis = "xy"[level % 2]
         low, high = f"{axis}0", f"{axis}1"
-        parent = coarser(F.col("node"), depth - level)
-        right = coarser(F.col("node"), depth - level - 1) % 2 == 1
-        cut = F.least(F.element_at("_cuts", parent.cast("int")), F.col(high))
-        boxes = boxes.withColumn("_cut", cut).withColumns(
-            {
-                low: F.when(right, F.col("_cut")).otherwise(F.col(low)),
-                high: F.when(right, F.col(high)).otherwise(F.col("_cut")),
-            }
+        parent, right = coarser("node", depth - level), f"{coarser('node', depth - level - 1)} % 2 = 1"
+        boxes = boxes.withColumn("_cut", F.expr(f"least(element_at(_cuts, int({parent})), {high})")).withColumns(
+            {low: F.expr(f"if({right}, _cut, {low})"), high: F.expr(f"if({right}, {high}, _cut)")}
         )
     return boxes.select(kd_name(F.col("node")).alias("loc"), "node", "x0", "y0", "x1", "y1")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.predicates import in_box, in_circle, in_time
 from geotrail.operators.candidates import (
+    SCALES,
     candidate_join_keys,
     extent,
     is_circles,
@@ -17,7 +18,7 @@ from geotrail.operators.gather import MAX_POINTS, build_trajectories
 from geotrail.operators.models import SpatialModel, regions_for_box, regions_for_circle
 from geotrail.operators.numbering import number_rows
 from geotrail.params import OUTSIDE, BoxQuery, CircleQuery
-from geotrail.scratch import BROADCAST_ROWS, publish
+from geotrail.scratch import BROADCAST_ROWS, publish_with_facts
 
 LISTED_REGIONS = 2_000
 """Most region names written into a filter; more are joined instead."""
@@ -34,10 +35,10 @@ def _bounding_box(q: CircleQuery | BoxQuery) -> tuple[float, float, float, float
 
 def refine(points: DataFrame, q: CircleQuery | BoxQuery) -> DataFrame:
     """Points inside the query. The bounding ranges come first: the scan can use them."""
-    x, y, t = F.col("x"), F.col("y"), F.col("t")
-    hits = points.where(in_time(t, q.ta, q.tb)).where(in_box(x, y, *(float(v) for v in _bounding_box(q))))
+    box = (float(v) for v in _bounding_box(q))
+    hits = points.where(in_time("t", q.ta, q.tb) & in_box("x", "y", *box))
     if isinstance(q, CircleQuery):
-        hits = hits.where(in_circle(x, y, float(q.x), float(q.y), float(q.r)))
+        hits = hits.where(in_circle("x", "y", float(q.x), float(q.y), float(q.r)))
     return hits
 
 
@@ -107,10 +108,9 @@ def box_query(
 
 
 def _inside(workload: DataFrame) -> Column:
-    q = {c: F.col("_q" + c) for c in shape_columns(workload)}
-    x, y = F.col("x"), F.col("y")
-    shape = in_circle(x, y, q["x"], q["y"], q["r"]) if is_circles(workload) else in_box(x, y, *q.values())
-    return in_time(F.col("t"), F.col("_qta"), F.col("_qtb")) & shape
+    shape = ["_q" + c for c in shape_columns(workload)]
+    in_shape = in_circle if is_circles(workload) else in_box
+    return in_time("t", "_qta", "_qtb") & in_shape("x", "y", *shape)
 
 
 def workload_points(
@@ -130,33 +130,34 @@ def workload_points(
     """
     carried = [*shape_columns(workload), "ta", "tb"]
     columns = points.columns
-    keys = publish(
+    x0, y0, x1, y1 = extent(workload)
+    keys, facts = publish_with_facts(
         candidate_join_keys(workload, model, window).select("query_id", "loc", "scale", "block", *carried),
         "candidates",
-    )
-    x0, y0, x1, y1 = extent(workload)
-    facts = keys.agg(
-        F.count("*").alias("n"),
-        F.sort_array(F.collect_set("scale")).alias("scales"),
+        F.count(F.lit(1)).alias("n"),
+        *(F.count_if(F.col("scale") == s).alias(f"scale{s}") for s in range(SCALES)),
         F.min("ta").alias("ta"),
         F.max("tb").alias("tb"),
-        F.min(x0).alias("x0"),
-        F.min(y0).alias("y0"),
-        F.max(x1).alias("x1"),
-        F.max(y1).alias("y1"),
-    ).first()
-    keys = keys.select(
-        "query_id", "loc", "scale", F.col("block").alias("_block"), *(F.col(c).alias("_q" + c) for c in carried)
-    ).where("_qta <= _qtb")
-    near = points.where(in_time(F.col("t"), facts["ta"], facts["tb"])).where(
-        in_box(F.col("x"), F.col("y"), facts["x0"], facts["y0"], facts["x1"], facts["y1"])
+        F.expr(f"min({x0})").alias("x0"),
+        F.expr(f"min({y0})").alias("y0"),
+        F.expr(f"max({x1})").alias("x1"),
+        F.expr(f"max({y1})").alias("y1"),
+    )
+    scales = [s for s in range(SCALES) if facts[f"scale{s}"]]
+    if not facts["n"]:
+        return points.where("false").select(F.lit(0).cast("bigint").alias("query_id"), *columns)
+    keys = keys.selectExpr("query_id", "loc", "scale", "block AS _block", *(f"{c} AS _q{c}" for c in carried)).where(
+        "_qta <= _qtb"
+    )
+    near = points.where(
+        in_time("t", facts["ta"], facts["tb"]) & in_box("x", "y", facts["x0"], facts["y0"], facts["x1"], facts["y1"])
     )
-    if facts["scales"] in ([], [0]):
+    if scales == [0]:
         keys = keys.drop("scale").withColumnRenamed("_block", "block")
         on = ["loc", "block"]
     else:
-        scales = F.array(*(F.lit(s) for s in facts["scales"]))
-        near = near.withColumn("scale", F.explode(scales)).withColumn("_block", scaled_block(F.col("block"), F.col("scale")))
+        used = F.array(*(F.lit(s) for s in scales))
+        near = near.withColumn("scale", F.explode(used)).withColumn("_block", F.expr(scaled_block("block", "scale")))
         on = ["loc", "scale", "_block"]
     if facts["n"] <= broadcast_rows:
         keys = F.broadcast(keys)

@@ -140,18 +140,18 @@ def index_order(spark, d):
 @check
 def filter_circle(spark, d):
     q = i.CIRCLE
-    return i.points(spark, d).where(in_circle(F.col("x"), F.col("y"), q.x, q.y, q.r)).select("event_id", *POINT)
+    return i.points(spark, d).where(in_circle("x", "y", q.x, q.y, q.r)).select("event_id", *POINT)
 
 
 @check
 def filter_box(spark, d):
     q = i.BOX
-    return i.points(spark, d).where(in_box(F.col("x"), F.col("y"), q.x0, q.y0, q.x1, q.y1)).select("event_id", *POINT)
+    return i.points(spark, d).where(in_box("x", "y", q.x0, q.y0, q.x1, q.y1)).select("event_id", *POINT)
 
 
 @check
 def filter_time(spark, d):
-    return i.points(spark, d).where(in_time(F.col("t"), i.CIRCLE.ta, i.CIRCLE.tb)).select("event_id", *POINT)
+    return i.points(spark, d).where(in_time("t", i.CIRCLE.ta, i.CIRCLE.tb)).select("event_id", *POINT)
 
 
 @check

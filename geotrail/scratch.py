@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 """Largest table, in rows of a few short columns, that a join is told to broadcast."""
@@ -31,9 +32,14 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives Spark the true size of the
     table, which is what its own choice of a broadcast join goes by.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return publish_with_facts(df, name, F.count(F.lit(1)).alias("rows"))[0]
+
+
+def publish_with_facts(df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, dict]:
+    """Like ``publish``, with aggregates of the rows that are taken while they are written."""
+    path, seen = scratch_dir(df.sparkSession, name), Observation()
+    df.observe(seen, *facts).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
