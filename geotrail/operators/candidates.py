@@ -16,10 +16,10 @@ from geotrail.operators.models import SpatialModel
 from geotrail.params import OUTSIDE, require_positive
 from geotrail.scratch import BROADCAST_ROWS
 
-SPAN = 64
-"""Most blocks (or coarser blocks) into which one interval is unrolled, about."""
+SPAN = 8
+"""Most blocks (or coarser blocks) into which a join unrolls one interval, about."""
 
-SCALES = 4
+SCALES = 8
 
 
 def is_circles(workload: DataFrame) -> bool:

@@ -147,8 +147,7 @@ def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int
     """
     require_positive(capacity=capacity, accuracy=accuracy)
     spark = sample.sparkSession
-    inside = sample.where(in_bounds("x", "y", bounds)).select("x", "y")
-    n = inside.count()
+    inside, n = _kept(sample.where(in_bounds("x", "y", bounds)))
     depth = max(0, math.ceil(math.log2(n / capacity))) if n else 0
     cuts = [math.inf] * (2**depth - 1)
     for level in range(depth):
@@ -164,8 +163,19 @@ def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int
     return SpatialModel("kdtree", bounds, publish(_kd_regions(spark, table, depth, bounds), "kdtree"), {"depth": depth}, table)
 
 
+def _kept(sample: DataFrame) -> tuple[DataFrame, int]:
+    """The sample as a table of its own, in files of a good size, and its row count.
+
+    Several passes follow; they must not read the full data and sample it each time.
+    """
+    table, facts = publish_with_facts(sample.select("x", "y").hint("rebalance"), "sample", F.count(F.lit(1)).alias("n"))
+    return table, facts["n"]
+
+
 def _cut_table(spark: SparkSession, cuts: list[float]) -> DataFrame:
-    return spark.createDataFrame([(cuts,)], "cuts array<double>")
+    """One row with all cuts: a row of the JVM, for which no Python worker has to start."""
+    text = ",".join(repr(float(c)) for c in cuts)
+    return spark.range(1).selectExpr(f"transform(filter(split('{text}', ','), c -> c != ''), c -> double(c)) AS cuts")
 
 
 def _walk(points: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
@@ -223,7 +233,7 @@ def build_strtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: in
     """
     require_positive(capacity=capacity, accuracy=accuracy)
     spark = sample.sparkSession
-    n = sample.count()
+    sample, n = _kept(sample)
     side = max(1, math.ceil(math.sqrt(math.ceil(n / capacity))))
     shares = [i / side for i in range(1, side)]
     no_cuts = F.array().cast("array<double>")
@@ -232,7 +242,7 @@ def build_strtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: in
         return F.percentile_approx(axis, shares, accuracy) if shares else F.first(no_cuts)
 
     x_cuts = publish(sample.agg(cuts_of("x").alias("xs")), "strtree-x")
-    slabs = _slab(sample.select("x", "y"), x_cuts, side).groupBy("slab").agg(cuts_of("y").alias("ys"))
+    slabs = _slab(sample, x_cuts, side).groupBy("slab").agg(cuts_of("y").alias("ys"))
     # a slab without sample points (equal cuts) is one open tile and side - 1 empty ones
     open_tiles = F.array_repeat(F.lit(math.inf), side - 1)
     y_cuts = publish(

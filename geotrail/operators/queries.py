@@ -17,14 +17,15 @@ from geotrail.operators.candidates import (
 from geotrail.operators.gather import MAX_POINTS, build_trajectories
 from geotrail.operators.models import SpatialModel, regions_for_box, regions_for_circle
 from geotrail.operators.numbering import number_rows
+from geotrail.operators.partition import partition_counts
 from geotrail.params import OUTSIDE, BoxQuery, CircleQuery
 from geotrail.scratch import BROADCAST_ROWS, publish_with_facts
 
 LISTED_REGIONS = 2_000
 """Most region names written into a filter; more are joined instead."""
 
-JOIN_SALTS = 32
-"""Pieces of each partition when points are shuffled to meet their queries."""
+SPLIT_POINTS = 1_000_000
+"""A partition with more points is split when points are shuffled to meet queries."""
 
 
 def _bounding_box(q: CircleQuery | BoxQuery) -> tuple[float, float, float, float]:
@@ -118,15 +119,17 @@ def workload_points(
     workload: DataFrame,
     model: SpatialModel,
     window: int,
+    counts: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    split_points: int = SPLIT_POINTS,
 ) -> DataFrame:
     """Hits of a whole workload in one job: the columns of ``points`` and ``query_id``.
 
     Points meet queries by an equi join on their partition. The candidate table is
-    written first and its rows are counted: a small one is broadcast, so the points are
-    not moved at all; beyond ``broadcast_rows`` both sides are shuffled, and every
-    partition is dealt to ``JOIN_SALTS`` tasks because one of them may hold a large
-    share of all points.
+    written first and its rows are counted: up to ``broadcast_rows`` it is broadcast and
+    the points are not moved at all. Beyond that both sides are shuffled, and partitions
+    with more than ``split_points`` points are dealt to several tasks; they are found in
+    ``counts``, the partition counts of a store, or by counting.
     """
     carried = [*shape_columns(workload), "ta", "tb"]
     columns = points.columns
@@ -135,7 +138,7 @@ def workload_points(
         candidate_join_keys(workload, model, window).select("query_id", "loc", "scale", "block", *carried),
         "candidates",
         F.count(F.lit(1)).alias("n"),
-        *(F.count_if(F.col("scale") == s).alias(f"scale{s}") for s in range(SCALES)),
+        *(F.expr(f"count_if(scale = {s})").alias(f"scale{s}") for s in range(SCALES)),
         F.min("ta").alias("ta"),
         F.max("tb").alias("tb"),
         F.expr(f"min({x0})").alias("x0"),
@@ -143,33 +146,50 @@ def workload_points(
         F.expr(f"max({x1})").alias("x1"),
         F.expr(f"max({y1})").alias("y1"),
     )
-    scales = [s for s in range(SCALES) if facts[f"scale{s}"]]
     if not facts["n"]:
         return points.where("false").select(F.lit(0).cast("bigint").alias("query_id"), *columns)
+    scales = [s for s in range(SCALES) if facts[f"scale{s}"]]
     keys = keys.selectExpr("query_id", "loc", "scale", "block AS _block", *(f"{c} AS _q{c}" for c in carried)).where(
         "_qta <= _qtb"
     )
     near = points.where(
         in_time("t", facts["ta"], facts["tb"]) & in_box("x", "y", facts["x0"], facts["y0"], facts["x1"], facts["y1"])
     )
+    near, on = _at_scales(near, scales)
     if scales == [0]:
         keys = keys.drop("scale").withColumnRenamed("_block", "block")
-        on = ["loc", "block"]
-    else:
-        used = F.array(*(F.lit(s) for s in scales))
-        near = near.withColumn("scale", F.explode(used)).withColumn("_block", F.expr(scaled_block("block", "scale")))
-        on = ["loc", "scale", "_block"]
     if facts["n"] <= broadcast_rows:
         keys = F.broadcast(keys)
     else:
-        # the place of a row in its scan: it splits copies too, and a repeated task
-        # reads the same rows in the same order
-        near = near.withColumn("_salt", (F.monotonically_increasing_id() % JOIN_SALTS).cast("int"))
-        keys = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-        on = [*on, "_salt"]
+        sizes, _ = _at_scales(partition_counts(points) if counts is None else counts, scales)
+        pieces = F.ceil(F.sum("n_points") / split_points).cast("int").alias("_pieces")
+        large, found = publish_with_facts(
+            sizes.groupBy(*on).agg(pieces).where("_pieces > 1"), "large-partitions", F.count(F.lit(1)).alias("n")
+        )
+        if found["n"]:
+            # dealt by the place of a row in its scan: that splits copies too, and a
+            # repeated task reads the same rows in the same order
+            large = F.broadcast(large) if found["n"] <= BROADCAST_ROWS else large
+            placed = near.withColumn("_row", F.monotonically_increasing_id()).join(large, on, "left")
+            near = placed.withColumn("_piece", F.expr("int(_row % coalesce(_pieces, 1))")).drop("_row", "_pieces")
+            every = F.expr("explode(sequence(0, coalesce(_pieces, 1) - 1))")
+            keys = keys.join(large, on, "left").withColumn("_piece", every).drop("_pieces")
+            on = [*on, "_piece"]
     return near.join(keys, on).where(_inside(workload)).select("query_id", *columns)
 
 
+def _at_scales(keyed: DataFrame, scales: list[int]) -> tuple[DataFrame, list[str]]:
+    """Rows with ``loc, block`` at the time scales of a workload, and the join columns."""
+    if scales == [0]:
+        return keyed, ["loc", "block"]
+    used = F.explode(F.array(*(F.lit(s) for s in scales)))
+    return keyed.withColumn("scale", used).withColumn("_block", F.expr(scaled_block("block", "scale"))), [
+        "loc",
+        "scale",
+        "_block",
+    ]
+
+
 def circle_workload(points, workload, model, window, max_points=MAX_POINTS, longest=None) -> DataFrame:
     """Trajectories of every circle of a workload."""
     return build_trajectories(workload_points(points, workload, model, window), max_points, longest)
