@@ -84,7 +84,7 @@ def overlay_partitions(current: DataFrame, reloaded: DataFrame) -> DataFrame:
     """
     kept = current.join(_keys_of(reloaded), KEYS, "left_anti")
     taken = reloaded.join(_keys_of(current), KEYS, "left_semi")
-    return kept.unionByName(taken)
+    return kept.unionByName(taken).select(*current.columns)
 
 
 def activity_sessions(log: DataFrame, window_ms: int) -> DataFrame:

@@ -127,4 +127,5 @@ def fetch_partitions(points: DataFrame, keys: DataFrame) -> DataFrame:
     """Points of the listed partitions. A listed partition without points adds nothing."""
     wanted = keys.select("loc", "block").distinct()
     small = wanted.count() <= BROADCAST_ROWS
-    return points.join(F.broadcast(wanted) if small else wanted, ["loc", "block"], "left_semi")
+    kept = points.join(F.broadcast(wanted) if small else wanted, ["loc", "block"], "left_semi")
+    return kept.select(*points.columns)

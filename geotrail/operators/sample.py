@@ -22,4 +22,5 @@ def sample_trajectory_ids(points: DataFrame, k: int, seed: int = 0) -> DataFrame
 def sample_trajectories(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """All points of ``k`` sampled trajectories."""
     ids = sample_trajectory_ids(points, k, seed)
-    return points.join(F.broadcast(ids) if k <= BROADCAST_ROWS else ids, "traj_id", "left_semi")
+    kept = points.join(F.broadcast(ids) if k <= BROADCAST_ROWS else ids, "traj_id", "left_semi")
+    return kept.select(*points.columns)
