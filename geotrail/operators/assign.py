@@ -1,13 +1,12 @@
 """Region of each point: adds ``loc`` to a points table of any size, without a shuffle.
 
 Every assignment is a map over the points. The grid is arithmetic, the quadtree a
-chain of hash lookups in broadcast cell tables, k-d and STR models a fold over cuts.
+chain of hash lookups in broadcast cell tables, k-d and STR models a few comparisons
+with the cuts of the model; all of it is generated code.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +92,6 @@ def assign_strtree(points: DataFrame, model: SpatialModel) -> DataFrame:
     side = model.shape["side"]
     if side == 1:
         return points.withColumn("loc", F.lit("s0_0"))
-    cuts = points.withColumns(
-        {"_xs": model.cuts.select("xs").scalar(), "_ys": model.cuts.select("ys").scalar()}
-    )
-    slabs = cuts.withColumn("_slab", _search("_xs", F.col("x"), side - 1, F.lit(0)))
-    tiles = slabs.withColumn("_tile", _search("_ys", F.col("y"), side - 1, F.col("_slab") * (side - 1)))
+    slabs = _search(points, "_slab", model.cuts.select("xs"), "x", side - 1, "0")
+    tiles = _search(slabs, "_tile", model.cuts.select("ys"), "y", side - 1, f"_slab * {side - 1}")
     return tiles.select(*points.columns, str_name(F.col("_slab"), F.col("_tile")).alias("loc"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.params import require_positive
-from geotrail.scratch import small_enough
+from geotrail.scratch import publish, small_enough
 
 MAX_POINTS = 1_000_000
 """Most points that one nested row holds."""
@@ -56,6 +56,7 @@ def gather(
     large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_points).select(*keys)
     if large.isEmpty():
         return whole(rows)
+    large = publish(large, "large-keys")
     marked = F.broadcast(large) if small_enough(large) else large
     slices = (
         split_evenly(rows.join(marked, keys, "left_semi").select(*keys, *fields), keys + fields)

@@ -149,16 +149,14 @@ def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int
     spark = sample.sparkSession
     inside, n = _kept(sample.where(in_bounds("x", "y", bounds)))
     depth = max(0, math.ceil(math.log2(n / capacity))) if n else 0
-    cuts = [math.inf] * (2**depth - 1)
+    cuts: list[float] = []
+    walked = inside.withColumn("node", F.expr("1L"))
     for level in range(depth):
-        axis = "xy"[level % 2]
-        medians = (
-            _walk(inside, _cut_table(spark, cuts), level)
-            .groupBy("node")
-            .agg(F.percentile_approx(axis, 0.5, accuracy).alias("cut"))
-        )
-        for row in medians.collect():
-            cuts[row["node"] - 1] = row["cut"]
+        medians = walked.groupBy("node").agg(F.percentile_approx("xy"[level % 2], 0.5, accuracy).alias("cut"))
+        found = {row["node"]: row["cut"] for row in medians.collect()}
+        cuts_here = [found.get(node, math.inf) for node in range(2**level, 2 ** (level + 1))]
+        walked = _descend(walked, _cut_table(spark, cuts_here), level, first=2**level)
+        cuts += cuts_here
     table = _cut_table(spark, cuts)
     return SpatialModel("kdtree", bounds, publish(_kd_regions(spark, table, depth, bounds), "kdtree"), {"depth": depth}, table)
 
@@ -178,23 +176,29 @@ def _cut_table(spark: SparkSession, cuts: list[float]) -> DataFrame:
     return spark.range(1).selectExpr(f"transform(filter(split('{text}', ','), c -> c != ''), c -> double(c)) AS cuts")
 
 
-def _walk(points: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
-    """Adds ``node``: heap number of the node at ``depth`` that holds the point.
+def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Sets column ``name``, and keeps it computed once.
 
-    One fold over the levels. Written as one projection for each level it would be
-    inlined into every filter above it, twice for each level.
+    A chain of projections that use their predecessor twice is copied into every filter
+    above it, twice for each link. Filters on the output of ``explode`` stay above it, and
+    the explode of one element is a plain loop of generated code.
     """
-    root = F.lit(1).cast("bigint")
-    if depth == 0:
-        return points.withColumn("node", root)
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, value.alias("_next")).select(*kept, F.explode(F.array("_next")).alias(name))
 
-    def step(node: Column, level: Column) -> Column:
-        coord = F.when(level % 2 == 0, F.col("x")).otherwise(F.col("y"))
-        return node * 2 + F.when(coord >= F.get("_cuts", (node - 1).cast("int")), 1).otherwise(0)
 
-    levels = F.array(*(F.lit(i) for i in range(depth)))
-    walked = points.withColumn("_cuts", cuts.scalar()).withColumn("node", F.aggregate(levels, root, step))
-    return walked.drop("_cuts")
+def _descend(walked: DataFrame, cuts: DataFrame, level: int, first: int = 1) -> DataFrame:
+    """Replaces ``node`` by its child that holds the point; ``cuts`` starts at node ``first``."""
+    right = F.col("xy"[level % 2]) >= F.get(cuts.scalar(), F.expr(f"int(node - {first})"))
+    return _computed(walked, "node", F.col("node") * 2 + F.when(right, 1).otherwise(0))
+
+
+def _walk(points: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
+    """Adds ``node``: heap number of the node at ``depth`` that holds the point."""
+    walked = points.withColumn("node", F.expr("1L"))
+    for level in range(depth):
+        walked = _descend(walked, cuts, level)
+    return walked
 
 
 def kd_name(node: Column) -> Column:
@@ -282,27 +286,22 @@ def str_name(slab: Column, tile: Column) -> Column:
     return F.concat(F.lit("s"), slab.cast("string"), F.lit("_"), tile.cast("string"))
 
 
-def _search(cuts: str, value: Column, n: int, start: Column) -> Column:
-    """How many of the ``n`` sorted cuts from ``start`` on are <= ``value``.
+def _search(df: DataFrame, name: str, cuts: DataFrame, value: str, n: int, start: str) -> DataFrame:
+    """Adds ``name``: how many of the ``n`` sorted cuts from place ``start`` on are <= ``value``.
 
-    Binary search as a fold over the bits of the answer: log2(n) comparisons for each
-    point, where counting the cuts with a filter would visit them all.
+    Binary search, one comparison for each bit of the answer.
     """
-
-    def step(found: Column, bit: Column) -> Column:
-        ahead = found + bit
-        below = F.get(cuts, (start + ahead - 1).cast("int")) <= value
-        return F.when((ahead <= n) & below, ahead).otherwise(found)
-
-    bits = F.array(*(F.lit(1 << bit) for bit in reversed(range(n.bit_length()))))
-    return F.aggregate(bits, F.lit(0), step)
+    found = df.withColumn(name, F.expr("0"))
+    for bit in reversed(range(n.bit_length())):
+        step = 1 << bit
+        cut = F.get(cuts.scalar(), F.expr(f"int({start} + {name} + {step - 1})"))
+        ahead = F.expr(f"{name} + {step} <= {n}") & (cut <= F.col(value))
+        found = _computed(found, name, F.when(ahead, F.expr(f"{name} + {step}")).otherwise(F.col(name)))
+    return found
 
 
 def _slab(points: DataFrame, x_cuts: DataFrame, side: int) -> DataFrame:
-    if side == 1:
-        return points.withColumn("slab", F.lit(0))
-    cut = points.withColumn("_xs", x_cuts.scalar())
-    return cut.withColumn("slab", _search("_xs", F.col("x"), side - 1, F.lit(0))).drop("_xs")
+    return _search(points, "slab", x_cuts, "x", side - 1, "0")
 
 
 def tight_boxes(assigned: DataFrame) -> DataFrame:
