@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.params import require_positive
-from geotrail.scratch import publish, small_enough
+from geotrail.scratch import BROADCAST_ROWS, publish_with_facts
 
 MAX_POINTS = 1_000_000
 """Most points that one nested row holds."""
@@ -16,17 +16,21 @@ MAX_POINTS = 1_000_000
 SALTS = 4096
 
 
-def split_evenly(df: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
-    """Range-partitions by ``order`` and sorts; even one key, or copies of one row, spread.
+def split_evenly(df: DataFrame, order: Sequence[str], n: int | None = None, sort: Sequence[str] = ()) -> DataFrame:
+    """Range-partitions by ``order``; even one key, or copies of one row, spread.
 
-    Rows are ordered by all their columns before they get the salt that separates
-    copies, so a repeated task deals the same rows to the same partitions.
+    A salt separates copies. It is the place of a row in its task once the task has put
+    its rows in an order of content (by hash first, the cheapest to compare), so a repeated
+    task deals the same rows to the same partitions. The result is sorted by ``sort``,
+    by default by all columns.
     """
     order = list(order)
     every = order + [c for c in df.columns if c not in order]
-    salted = df.sortWithinPartitions(*every).withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+    salted = df.sortWithinPartitions(F.xxhash64(*every), *every).withColumn(
+        "_salt", F.monotonically_increasing_id() % SALTS
+    )
     ranged = salted.repartitionByRange(*([n] if n else []), *every, "_salt")
-    return ranged.drop("_salt").sortWithinPartitions(*every)
+    return ranged.drop("_salt").sortWithinPartitions(*(sort or every))
 
 
 def gather(
@@ -53,11 +57,11 @@ def gather(
 
     if longest is not None and longest <= max_points:
         return whole(rows)
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_points).select(*keys)
-    if large.isEmpty():
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_points).select(*keys)
+    large, found = publish_with_facts(counted, "large-keys", F.count(F.lit(1)).alias("n"))
+    if not found["n"]:
         return whole(rows)
-    large = publish(large, "large-keys")
-    marked = F.broadcast(large) if small_enough(large) else large
+    marked = F.broadcast(large) if found["n"] <= BROADCAST_ROWS else large
     slices = (
         split_evenly(rows.join(marked, keys, "left_semi").select(*keys, *fields), keys + fields)
         .withColumn("part", F.expr(f"monotonically_increasing_id() div {max_points}"))

@@ -20,7 +20,7 @@ def partition_points(points: DataFrame, model: SpatialModel, window: int) -> Dat
 
 def cluster_points(keyed: DataFrame, n: int | None = None) -> DataFrame:
     """Brings the points of a partition together in sorted runs of about equal size."""
-    return split_evenly(keyed, ["loc", "block", "t", "traj_id", "x", "y"], n)
+    return split_evenly(keyed, ["loc", "block", "t", "traj_id", "x", "y"], n, sort=["loc", "block", "t"])
 
 
 def partition_counts(keyed: DataFrame) -> DataFrame:

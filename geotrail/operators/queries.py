@@ -66,13 +66,17 @@ def candidates_of(points: DataFrame, model: SpatialModel, window: int, q: Circle
     if len(names) <= LISTED_REGIONS:
         return near.where(F.col("loc").isin(names + [OUTSIDE] * beyond))
     if beyond:
-        touched = touched.unionByName(touched.sparkSession.createDataFrame([(OUTSIDE,)], "loc string"))
+        touched = touched.unionByName(touched.sparkSession.range(1).select(F.lit(OUTSIDE).alias("loc")))
     return near.join(touched, "loc", "left_semi")
 
 
 def query_points(points: DataFrame, model: SpatialModel, window: int, q: CircleQuery | BoxQuery) -> DataFrame:
-    """Hits of one query as points, with ``query_id``; ``points`` is keyed by loc, block."""
-    hits = refine(candidates_of(points, model, window, q), q)
+    """Hits of one query as points, with ``query_id``; ``points`` is keyed by loc, block.
+
+    The exact test comes first: numbers are cheaper to compare than region names, which
+    then only serve to skip files and row groups.
+    """
+    hits = candidates_of(refine(points, q), model, window, q)
     return hits.withColumn("query_id", F.lit(q.query_id).cast("bigint"))
 
 

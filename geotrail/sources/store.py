@@ -75,7 +75,7 @@ def write_store(
         "points": json.loads(keyed.schema.json()),
         "regions": json.loads(model.regions.schema.json()),
     }
-    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{path}/settings")
+    spark.range(0, 1, 1, 1).select(F.lit(json.dumps(settings)).alias("value")).write.text(f"{path}/settings")
 
 
 def read_store(spark: SparkSession, path: str) -> Store:
