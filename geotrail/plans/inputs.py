@@ -9,6 +9,7 @@ from geotrail.functions.keys import epoch_offset
 from geotrail.params import Bounds, BoxQuery, CircleQuery
 
 ORIGIN = "2024-01-01 00:00:00"
+ORIGIN_US = 1_704_067_200_000_000
 BOUNDS = Bounds(0.0, 0.0, 1024.0, 1024.0)
 WINDOW = 20_000
 CAPACITY = 200
@@ -82,5 +83,10 @@ def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished_us(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Microseconds since 1970 of a zone-free timestamp read as UTC.
+
+    Counted from ``ORIGIN``: Spark subtracts through the session zone, whose offset in 1970
+    may have been another one.
+    """
+    since_origin = F.timestamp_diff("MICROSECOND", F.lit(ORIGIN).cast("timestamp_ntz"), ts)
+    return since_origin + F.lit(ORIGIN_US)
