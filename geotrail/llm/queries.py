@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geotrail.llm import packing, token_counts
+from geotrail.llm import language_id, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,13 +22,36 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def fold(n: int) -> Column:
+    """The fold of a document: the checksum of its id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 @query
 def op1_token_counts(spark, d):
     """Tokens of every line of every document."""
     return token_counts.count_tokens(table(spark, d, "documents"))
 
 
+@query
+def op2_language_id(spark, d):
+    """Language of every document, learned from three folds of four."""
+    docs = table(spark, d, "documents")
+    model = language_id.train(docs.where(fold(4) != 2))
+    return language_id.predict(docs, model, keep=["doc_id", (fold(4) == 2).alias("held_out")])
+
+
 @query
 def op6_packing(spark, d):
     """All documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, d, "documents"), capacity=1024, end_id=2)
+
+
+@query
+def op10_quality(spark, d):
+    """Quality of every document, learned from four folds of five."""
+    docs = table(spark, d, "documents")
+    labels = table(spark, d, "labels").where(fold(5) != 0).select("doc_id", "quality")
+    model = quality.train(docs, labels)
+    scored = quality.score(docs, model, keep=["doc_id", (fold(5) == 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
