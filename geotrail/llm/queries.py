@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import language_id, packing, quality, token_counts
+from geotrail.llm import decontamination, language_id, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +47,14 @@ def op6_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), capacity=1024, end_id=2)
 
 
+@query
+def op9_decontamination(spark, d):
+    """Every document and benchmark item that it holds."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    found = decontamination.find_leaks(docs, items, keep=["doc_id"])
+    return found.select("doc_id", F.inline("leaks"))
+
+
 @query
 def op10_quality(spark, d):
     """Quality of every document, learned from four folds of five."""
