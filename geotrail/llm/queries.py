@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import decontamination, language_id, packing, quality, token_counts
+from geotrail.llm import decontamination, jaccard_join, language_id, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,12 @@ def op2_language_id(spark, d):
     return language_id.predict(docs, model, keep=["doc_id", (fold(4) == 2).alias("held_out")])
 
 
+@query
+def op3_jaccard_join(spark, d):
+    """Class of near duplicates of every document, with its number of links."""
+    return jaccard_join.join_similar(table(spark, d, "documents"))
+
+
 @query
 def op6_packing(spark, d):
     """All documents in sequences of 1024 tokens."""
