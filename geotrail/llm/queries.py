@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import decontamination, jaccard_join, language_id, packing, quality, token_counts
+from geotrail.llm import decontamination, jaccard_join, language_id, packing, quality, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,13 @@ def op6_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), capacity=1024, end_id=2)
 
 
+@query
+def op8_substring_dedup(spark, d):
+    """Every document without the words that an earlier document has in a row."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op9_decontamination(spark, d):
     """Every document and benchmark item that it holds."""
