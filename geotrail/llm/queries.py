@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import decontamination, jaccard_join, language_id, packing, quality, substring_dedup, token_counts
+from geotrail.llm import decontamination, hnsw, jaccard_join, language_id, packing, quality, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +47,12 @@ def op3_jaccard_join(spark, d):
     return jaccard_join.join_similar(table(spark, d, "documents"))
 
 
+@query
+def op4_nearest(spark, d):
+    """The 20 nearest other vectors of every twentieth vector."""
+    return hnsw.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op6_packing(spark, d):
     """All documents in sequences of 1024 tokens."""
