@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import decontamination, hnsw, jaccard_join, language_id, packing, quality, substring_dedup, token_counts
+from geotrail.llm import chat, decontamination, hnsw, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,12 +53,74 @@ def op4_nearest(spark, d):
     return hnsw.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query
+def op5_chat(spark, d):
+    """All conversations in the turn template, and one whose texts are full of control strings."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    return chat.digest_turns(chat.format_turns(rows.unionByName(hard)))
+
+
 @query
 def op6_packing(spark, d):
     """All documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, d, "documents"), capacity=1024, end_id=2)
 
 
+def list_history(captures: DataFrame) -> DataFrame:
+    """Dated entries drawn from the captures themselves: hosts, domains and directories go on and off lists."""
+    url = F.col("url")
+    host = url_filters.host_of(url)
+    directory = F.regexp_extract(url_filters.path_of(url), "^(/[^/]+)", 1)
+    kinds = {
+        "hosts": (F.concat(F.lit("host:"), host), 3, 0),
+        "domains": (F.concat(F.lit("domain:"), F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)), 5, 1),
+        "paths": (F.concat(F.lit("prefix:"), host, directory), 4, 2),
+    }
+    every = F.array(*(F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(m).alias("m"), F.lit(r).alias("r")) for name, (key, m, r) in kinds.items()))
+    firsts = captures.where(host != "").select("page_id", F.inline(every)).groupBy("list", "key", "m", "r").agg(F.min("page_id").alias("p"))
+    day = (F.col("p") * 31) % 600
+    steps = [(day, True), (day + 50 + F.col("p") % 100, False), (day + 200, True)]
+    events = F.array(*(F.struct(when.alias("day"), F.lit(on).alias("active")) for when, on in steps))
+    return firsts.where("p % m = r").select("list", "key", F.inline(events))
+
+
+@query
+def op7_url_filters(spark, d):
+    """Every page against the list entries that were active on the day of its fetch."""
+    captures = table(spark, d, "pages").select("page_id", "url", ((F.col("page_id") * 7919) % 730).alias("day"))
+    return url_filters.filter_urls(captures, url_filters.validity(list_history(captures))).drop("url")
+
+
+SQL["op7_url_filters"] = r"""
+WITH c AS (
+    SELECT page_id, url, (page_id * 7919) % 730 AS day,
+           regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1) AS host,
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+    FROM pages
+), f AS (
+    SELECT 'hosts' AS list, 'host' AS kind, host AS entry, min(page_id) AS p FROM c WHERE host <> '' GROUP BY host HAVING min(page_id) % 3 = 0
+    UNION ALL
+    SELECT 'domains', 'domain', regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS e, min(page_id) FROM c WHERE host <> '' GROUP BY e HAVING min(page_id) % 5 = 1
+    UNION ALL
+    SELECT 'paths', 'prefix', host || regexp_extract(path, '^(/[^/]+)', 1) AS e, min(page_id) FROM c WHERE host <> '' GROUP BY e HAVING min(page_id) % 4 = 2
+), i AS (
+    SELECT list, kind, entry, (p * 31) % 600 AS a, (p * 31) % 600 + 50 + p % 100 AS b FROM f
+    UNION ALL
+    SELECT list, kind, entry, (p * 31) % 600 + 200, NULL FROM f
+), h AS (
+    SELECT page_id, list FROM c JOIN i ON a <= day AND (b IS NULL OR day < b) AND CASE kind
+        WHEN 'host' THEN host = entry
+        WHEN 'domain' THEN host = entry AND contains(host, '.') OR ends_with(host, '.' || entry)
+        ELSE contains(entry, '/') AND (host || path = entry OR starts_with(host || path, entry || '/')) END
+    WHERE host <> '' AND entry <> ''
+)
+SELECT c.page_id, c.day, count(h.list) > 0 AS blocked, count(h.list) AS n_entries,
+       coalesce(string_agg(DISTINCT h.list, ',' ORDER BY h.list), '') AS lists
+FROM c LEFT JOIN h ON c.page_id = h.page_id GROUP BY c.page_id, c.day
+"""
+
+
 @query
 def op8_substring_dedup(spark, d):
     """Every document without the words that an earlier document has in a row."""
