@@ -1,13 +1,60 @@
-"""A corpus pipeline of five operators, one stage after the other."""
+"""A corpus pipeline of five operators, one stage after the other.
+
+Every stage takes (spark, docs, sf_dir), works on all rows it is given and, but for the
+last, returns the columns of ``docs``. Extra columns pass through; names that an operator
+adds cannot clash, as rows travel inside a struct. Defined results of the stages:
+
+- language ID drops texts without a language (null, or without a letter) and no others;
+- the n-gram Jaccard join keeps of each class the document with the smallest id, of rows
+  with one id the first by text; rows with a null id stay;
+- substring dedup replaces texts; documents that lose every word go;
+- benchmark decontamination drops documents that hold a benchmark item;
+- best-fit packing returns the place of every piece.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from geotrail.llm import packing
+from geotrail.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
 from geotrail.scratch import publish
 
-KEPT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language."""
+    model = language_id.train(docs)
+    found = language_id.predict(_wrapped(docs), model, keep=["row"])
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near duplicates."""
+    classes = jaccard_join.join_similar(docs)
+    first = classes.where("doc_id = class_id").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text")
+    kept = _wrapped(docs).join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that an earlier document has."""
+    cut = substring_dedup.remove_repeats(_wrapped(docs)).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("row.n_chars"))}
+    kinds = dict(docs.dtypes)
+    return cut.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find_leaks(_wrapped(docs), items, keep=["row"])
+    return found.where(F.size("leaks") == 0).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +62,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, capacity=1024, end_id=2)
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", remove_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
 ORACLE_SQL = None
 """Tokenizers, context models and index searches are beyond SQL; tests use brute force."""

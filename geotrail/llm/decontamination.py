@@ -13,7 +13,7 @@ benchmark takes one pass over the documents for each part.
 
 Defined results: null or empty texts and items match nothing; repeated items are reported
 once by id, with their best window, the earliest if windows tie; repeated documents are
-reported each.
+reported each; a kept column named leaks is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from geotrail.llm.encoding import column_of
+from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, span_hashes, text_slices
 
 K = 5
@@ -173,9 +173,7 @@ def find_leaks(
     parts = max(1, -(-chars // part_chars))
     kind = items.schema["item_id"].dataType
     leak = f"struct<item_id:{kind.simpleString()},similarity:double,first_word:long,n_words:long,char_start:long,char_end:long>"
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("kept"), F.col(text).cast("string").alias("text"))
-    if "leaks" in rows.schema["kept"].dataType.names:
-        raise ValueError("column leaks would be named twice; choose others in keep")
+    rows = docs.select(F.struct(*kept_columns(docs, keep, ["leaks"])).alias("kept"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("leaks", F.lit(None).cast(f"array<{leak}>"))
     schema = rows.schema
     arrow_leaks = pa.list_(

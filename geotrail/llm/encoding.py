@@ -14,6 +14,8 @@ import os
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from geotrail.llm.textbuf import SPACES, ragged, span_hashes
 
@@ -122,5 +124,13 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return name if os.path.sep in name else public_tokenizers.path(name)
 
 
+def kept_columns(docs: DataFrame, keep: list[Column | str] | None, added: list[str]) -> list[Column | str]:
+    """Columns to carry along; one that an added column would name again is replaced by it."""
+    chosen = docs.select(*(keep if keep is not None else docs.columns))
+    names = {c.lower() for c in added}
+    kept = [c for c, name in zip(keep if keep is not None else docs.columns, chosen.columns, strict=True) if name.lower() not in names]
+    return kept or [F.lit(None).cast("string").alias("_none")]
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -11,7 +11,8 @@ score is the posterior of that language among all learned ones.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, and so is
 everything if nothing could be learned; ties go to the name that sorts first; repeated
-rows get equal answers; labels that are null and texts that are null teach nothing.
+rows get equal answers; labels that are null and texts that are null teach nothing; kept
+columns named like an added one are replaced by it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.encoding import column_of
+from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.sampling import bounded_sample
 from geotrail.llm.textbuf import text_slices
 
@@ -177,9 +178,8 @@ def train(
 
 def predict(docs: DataFrame, model: ContextModel, text: str = "text", keep: list[Column | str] | None = None) -> DataFrame:
     """``keep`` columns with lang_pred, score and bits, the code length of the winner."""
-    kept = docs.select(*(keep or docs.columns)).columns
     chosen = docs.select(
-        F.struct(*(keep or docs.columns)).alias("kept"),
+        F.struct(*kept_columns(docs, keep, ["lang_pred", "score", "bits"])).alias("kept"),
         F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("text"),
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -214,7 +214,4 @@ def predict(docs: DataFrame, model: ContextModel, text: str = "text", keep: list
 
     struct = chosen.schema["kept"].dataType.simpleString()
     out = chosen.mapInArrow(run, f"kept {struct}, lang_pred string, score double, bits double")
-    clash = [c for c in kept if c in ("lang_pred", "score", "bits")]
-    if clash:
-        raise ValueError(f"columns {clash} would be named twice; choose others in keep")
     return out.select("kept.*", "lang_pred", "score", "bits")

@@ -12,7 +12,7 @@ whole text included.
 
 Defined results: null and empty texts have no features and get the score of the learned
 bias; without any label every score is 0.5; repeated rows get equal scores; rows whose
-label is null teach nothing.
+label is null teach nothing; a kept column named score is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.llm.encoding import column_of
+from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.sampling import bounded_sample
 from geotrail.llm.textbuf import BASE, SPACES, find_words, mix, rows_of, span_hashes, text_slices
 
@@ -152,9 +152,7 @@ def train(
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[Column | str] | None = None) -> DataFrame:
     """``keep`` columns with the score of every whole text, higher if label 1 is likelier."""
-    chosen = docs.select(F.struct(*(keep or docs.columns)).alias("kept"), F.col(text).cast("string").alias("text"))
-    if "score" in chosen.schema["kept"].dataType.names:
-        raise ValueError("column score would be named twice; choose others in keep")
+    chosen = docs.select(F.struct(*kept_columns(docs, keep, ["score"])).alias("kept"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ if it is too full to tell, more texts are shuffled and nothing else changes.
 
 Defined results: null and empty texts have no words; rows with a null id neither lose words
 nor cause a loss; repeated rows of one id do not cause each other's loss; other columns are
-kept as they are.
+kept as they are, but for those named like an added one, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.encoding import column_of
+from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.fmindex import FMIndex
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, mix, powers, ragged, rows_of, span_hashes, text_slices
 from geotrail.scratch import publish, publish_with_facts
@@ -293,13 +293,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     each with the white space before it; ``kept_sha256`` is that of the kept words joined by
     single spaces.
     """
-    clash = {"n_words", "n_removed", "kept_text", "kept_sha256"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be named twice; rename them before")
+    kept = kept_columns(docs, None, ["n_words", "n_removed", "kept_text", "kept_sha256"])
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     repeats = publish(find_repeats(plain, window, gram), "repeats")
     bits = _document_filter(repeats.select("doc_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(*kept).alias("kept"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     span = "array<struct<place:bigint,mask:bigint>>"
     out = f"kept {rows.schema['kept'].dataType.simpleString()}, {REPEATED}"
     rest = _may_matter(rows, bits, False).withColumn("spans", F.lit(None).cast(span))
@@ -324,8 +322,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         continue
                     before = np.append(offsets[k], b[:-1])
                     places = np.flatnonzero(~gone).tolist()
-                    kept = b"".join(whole[before[i] : b[i]] for i in places) + (whole[b[-1] : offsets[k + 1]] if places else b"")
-                    texts_out.append(kept.decode())
+                    left = b"".join(whole[before[i] : b[i]] for i in places) + (whole[b[-1] : offsets[k + 1]] if places else b"")
+                    texts_out.append(left.decode())
                     digests.append(hashlib.sha256(b" ".join(whole[a[i] : b[i]] for i in places)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [column_of(batch, "kept"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts_out, pa.string()), pa.array(digests, pa.string())],

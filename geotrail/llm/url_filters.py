@@ -12,8 +12,8 @@ day) are looked up once.
 
 Defined results: every row of the captures comes out; a null or malformed URL, or a null
 day, matches nothing; of several changes of one entry on one day a removal wins; repeated
-entries count once. Columns of the captures are kept, and clash with nothing as the added
-ones are checked.
+entries count once. Columns of the captures are kept, but for those named like an added
+one, which are replaced.
 """
 
 from __future__ import annotations
@@ -63,13 +63,12 @@ def validity(history: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, intervals: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """Captures with blocked, n_entries (entries active at the fetch) and lists (their lists, by name)."""
-    clash = {c.lower() for c in captures.columns} & set(ADDED)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be named twice; rename them before")
-    asked = captures.select(F.col(url).alias("_url"), F.col(day).cast("long").alias("_day")).where("_url IS NOT NULL AND _day IS NOT NULL").distinct()
+    kept = [c for c in captures.columns if c.lower() not in ADDED]
+    rows = captures.select(F.struct(*kept).alias("kept"), F.col(url).alias("_url"), F.col(day).cast("long").alias("_day"))
+    asked = rows.select("_url", "_day").where("_url IS NOT NULL AND _day IS NOT NULL").distinct()
     bucket = lambda c: F.floor(c / BUCKET_DAYS)
     keyed = asked.select("_url", "_day", F.explode(url_keys(F.col("_url"))).alias("key")).withColumn("bucket", bucket(F.col("_day")))
-    ends = captures.agg(F.min(F.col(day).cast("long")).alias("low"), F.max(F.col(day).cast("long")).alias("high"))
+    ends = rows.agg(F.min("_day").alias("low"), F.max("_day").alias("high"))
     ranges = intervals.join(F.broadcast(ends)).where("from_day <= high AND (to_day IS NULL OR to_day > low)")
     first, last = F.greatest("from_day", "low"), F.coalesce(F.least(F.col("to_day") - 1, F.col("high")), F.col("high"))
     dealt = ranges.select("list", "key", "from_day", "to_day", F.explode(F.sequence(bucket(first), bucket(last))).alias("bucket"))
@@ -77,9 +76,8 @@ def filter_urls(captures: DataFrame, intervals: DataFrame, url: str = "url", day
     found = hits.groupBy("_url", "_day").agg(
         F.count(F.lit(1)).alias("n_entries"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists")
     )
-    joined = captures.join(found, (F.col(url) == F.col("_url")) & (F.col(day).cast("long") == F.col("_day")), "left")
-    return joined.select(
-        *(captures[c] for c in captures.columns),
+    return rows.join(found, ["_url", "_day"], "left").select(
+        "kept.*",
         F.col("n_entries").isNotNull().alias("blocked"),
         F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"),
         F.coalesce("lists", F.lit("")).alias("lists"),
