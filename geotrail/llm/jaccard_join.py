@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.llm.components import components
+from geotrail.llm.docfilter import document_filter, may_matter
 from geotrail.llm.encoding import column_of
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, mix, rows_of, span_hashes, text_slices
 from geotrail.scratch import publish, publish_with_facts
@@ -38,12 +39,12 @@ from geotrail.scratch import publish, publish_with_facts
 K = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-DEPTH = 3
+DEPTH = 2
 SMALL = 64
 """Sets in a bucket that is compared at once."""
 UNIT_SHINGLES = 1_000_000
 """Shingles in a unit of work, about; blocks of larger buckets are cut to half of it."""
-BLOCK = 256
+BLOCK = 512
 COLUMNS = 4096
 
 SETS = "doc_id {id}, n_shingles long, sig1 long, sig2 long, tokens array<long>"
@@ -260,19 +261,12 @@ def join_similar(
     runs = runs_for(depth, threshold, recall)
     in_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0)) for r in range(runs)]
     trails = buckets.groupBy("set_id").agg(F.array(*in_run).alias("trail"))
-    trails = trails.join(sets.select("set_id", "n_docs", "sig1"), "set_id")
-    wanted = rows.join(trails, F.col("doc_id") == F.col("set_id")).select("set_id", "n_docs", "trail", "sig1", "text")
+    trails = publish(trails.join(sets.select("set_id", "n_docs", "sig1"), "set_id"), "trails")
+    near = may_matter(rows, document_filter(trails.select(F.col("set_id").alias("doc_id"))), True)
+    wanted = near.join(trails, F.col("doc_id") == F.col("set_id")).select("set_id", "n_docs", "trail", "sig1", "text")
     shingles = publish(_with_shingles(wanted.distinct(), kind, k), "shingles")
 
-    units = buckets.dropDuplicates(["set_id", "bucket"])
-    blocks = F.when(
-        (F.col("n") > small) | (F.col("total") > UNIT_SHINGLES),
-        F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") * 2 / UNIT_SHINGLES)),
-    ).otherwise(1)
-    units = units.select("set_id", "bucket", blocks.alias("blocks"))
-    units = units.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(3)), "blocks"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.select("set_id", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    units = _units(buckets.dropDuplicates(["set_id", "bucket"]), small, block)
     sized = units.join(sets.select("set_id", "n_shingles"), "set_id")
     units, facts = publish_with_facts(sized, "units", F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total"))
     bins = 1 + facts["total"] // UNIT_SHINGLES
@@ -308,6 +302,40 @@ def join_similar(
     return answers.unionByName(alone)
 
 
+def _units(members: DataFrame, small: int, block: int) -> DataFrame:
+    """Units of work (set_id, bucket, block, i, j): a set goes to every pair of blocks it is in.
+
+    A small bucket is one block. Large buckets of later runs mostly hold what one large
+    bucket held before, and pairs of that were compared there: only the blocks of the other
+    members meet all blocks.
+    """
+    large = (F.col("n") > small) | (F.col("total") > UNIT_SHINGLES)
+    lone = members.where(~large).select("set_id", "bucket", *(F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")))
+    crowds = members.where(large)
+    before = crowds.groupBy("set_id").agg(F.min_by("bucket", F.struct("run", "bucket")).alias("home"))
+    crowds = crowds.join(before, "set_id")
+    homes = crowds.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("total").alias("total"))
+    done = F.when(F.col("home") != F.col("bucket"), F.col("m")).otherwise(0)
+    plan = homes.groupBy("bucket").agg(
+        F.max(F.struct(done.alias("m"), "home")).alias("most"), F.max("n").alias("n"), F.max("total").alias("total")
+    )
+    cuts = lambda n: F.ceil(n * F.greatest(F.lit(1 / block), F.col("total") * 2 / UNIT_SHINGLES / F.col("n")))
+    plan = plan.select(
+        "bucket",
+        F.when(F.col("most.m") > 0, F.col("most.home")).alias("known"),
+        cuts(F.col("n") - F.col("most.m")).alias("new_blocks"),
+        cuts(F.col("most.m")).alias("old_blocks"),
+    ).where("new_blocks > 0")
+    rows = crowds.select("set_id", "bucket", "home").join(plan, "bucket")
+    old = F.coalesce(F.col("home") == F.col("known"), F.lit(False))
+    dealt = F.xxhash64("set_id", F.lit(3))
+    rows = rows.withColumn("block", F.when(old, F.col("new_blocks") + F.pmod(dealt, F.col("old_blocks"))).otherwise(F.pmod(dealt, F.col("new_blocks"))))
+    last = F.when(old, F.col("new_blocks")).otherwise(F.col("new_blocks") + F.col("old_blocks")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    pairs = rows.select("set_id", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return lone.unionByName(pairs)
+
+
 def _with_shingles(rows: DataFrame, kind: str, k: int) -> DataFrame:
     """The shingle sets of some documents."""
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.llm.docfilter import document_filter, may_matter
 from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.fmindex import FMIndex
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, mix, powers, ragged, rows_of, span_hashes, text_slices
@@ -46,8 +47,6 @@ WINDOW = 13
 GRAM = 5
 SHARD_WORDS = 300_000
 CROWD = 2_000
-FILTER_BITS = 26
-"""The filter of documents has 2**26 bits, 8 MB, however many documents there are."""
 
 
 def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,36 +135,6 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held
 
 
-def _document_filter(ids: DataFrame) -> np.ndarray:
-    """Bloom filter of fixed size, one hash."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
-    parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    )
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part, bits in parts.collect():
-        own = np.frombuffer(bits, np.uint8)
-        at = (part - 1) * 4096
-        out[at : at + len(own)] |= own
-    return out
-
-
-def _may_matter(docs: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
-    """Documents that the filter does not rule out, or those that it does."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    hashed = docs.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("long"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            bit = column_of(batch, "_bit").fill_null(0).to_numpy(zero_copy_only=False)
-            inside = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            inside &= ~column_of(batch, "doc_id").is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(inside == wanted))
-
-    return hashed.mapInArrow(run, hashed.schema).drop("_bit")
-
-
 def _fetch(docs: DataFrame, window: int) -> DataFrame:
     """Words of the wanted segments of each document; a segment that is not as described is left out."""
 
@@ -240,7 +209,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
 
     distinct = shared.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "place")).alias("one"))
     wanted = publish(distinct.select("one.doc_id", "one.place", "gram", "content"), "distinct")
-    texts = _may_matter(docs.select("doc_id", "text"), _document_filter(wanted.select("doc_id")), True)
+    texts = may_matter(docs.select("doc_id", "text"), document_filter(wanted.select("doc_id")), True)
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", "content")).alias("wanted"))
     fetched, facts = publish_with_facts(
         _fetch(texts.join(lists, "doc_id"), window), "contents", F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")
@@ -296,12 +265,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept = kept_columns(docs, None, ["n_words", "n_removed", "kept_text", "kept_sha256"])
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     repeats = publish(find_repeats(plain, window, gram), "repeats")
-    bits = _document_filter(repeats.select("doc_id"))
+    bits = document_filter(repeats.select("doc_id"))
     rows = docs.select(F.struct(*kept).alias("kept"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     span = "array<struct<place:bigint,mask:bigint>>"
     out = f"kept {rows.schema['kept'].dataType.simpleString()}, {REPEATED}"
-    rest = _may_matter(rows, bits, False).withColumn("spans", F.lit(None).cast(span))
-    touched = _may_matter(rows, bits, True).join(repeats, "doc_id", "left").select("kept", "doc_id", "text", "spans")
+    rest = may_matter(rows, bits, False).withColumn("spans", F.lit(None).cast(span))
+    touched = may_matter(rows, bits, True).join(repeats, "doc_id", "left").select("kept", "doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
