@@ -33,17 +33,25 @@ def document_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def may_matter(docs: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
-    """Documents that the filter does not rule out, or those that it does."""
+def with_bit(docs: DataFrame) -> DataFrame:
+    """Documents with column _bit, their place in a filter."""
+    return docs.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("long"))
+
+
+def passes(batch: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
+    """Rows of a batch, with doc_id and _bit, that the filter does not rule out; null ids are ruled out."""
+    bit = column_of(batch, "_bit").to_numpy(zero_copy_only=False)
+    inside = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+    return inside & ~column_of(batch, "doc_id").is_null().to_numpy(zero_copy_only=False)
+
+
+def may_matter(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Documents that the filter does not rule out."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    hashed = docs.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("long"))
+    hashed = with_bit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            bit = column_of(batch, "_bit").fill_null(0).to_numpy(zero_copy_only=False)
-            inside = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            inside &= ~column_of(batch, "doc_id").is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(inside == wanted))
+            yield batch.filter(pa.array(passes(batch, shared.value)))
 
     return hashed.mapInArrow(run, hashed.schema).drop("_bit")

@@ -262,7 +262,7 @@ def join_similar(
     in_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0)) for r in range(runs)]
     trails = buckets.groupBy("set_id").agg(F.array(*in_run).alias("trail"))
     trails = publish(trails.join(sets.select("set_id", "n_docs", "sig1"), "set_id"), "trails")
-    near = may_matter(rows, document_filter(trails.select(F.col("set_id").alias("doc_id"))), True)
+    near = may_matter(rows, document_filter(trails.select(F.col("set_id").alias("doc_id"))))
     wanted = near.join(trails, F.col("doc_id") == F.col("set_id")).select("set_id", "n_docs", "trail", "sig1", "text")
     shingles = publish(_with_shingles(wanted.distinct(), kind, k), "shingles")
 

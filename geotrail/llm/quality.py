@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            parts = [known.score(data, offsets) for _, data, offsets in text_slices(column_of(batch, "text"), 1 << 20)]
+            parts = [known.score(data, offsets) for _, data, offsets in text_slices(column_of(batch, "text"))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([column_of(batch, "kept"), pa.array(scores)], names=["kept", "score"])
 

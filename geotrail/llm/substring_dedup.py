@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.docfilter import document_filter, may_matter
+from geotrail.llm.docfilter import document_filter, may_matter, passes, with_bit
 from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.fmindex import FMIndex
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, mix, powers, ragged, rows_of, span_hashes, text_slices
@@ -209,7 +209,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
 
     distinct = shared.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "place")).alias("one"))
     wanted = publish(distinct.select("one.doc_id", "one.place", "gram", "content"), "distinct")
-    texts = may_matter(docs.select("doc_id", "text"), document_filter(wanted.select("doc_id")), True)
+    texts = may_matter(docs.select("doc_id", "text"), document_filter(wanted.select("doc_id")))
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", "content")).alias("wanted"))
     fetched, facts = publish_with_facts(
         _fetch(texts.join(lists, "doc_id"), window), "contents", F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")
@@ -269,8 +269,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.struct(*kept).alias("kept"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     span = "array<struct<place:bigint,mask:bigint>>"
     out = f"kept {rows.schema['kept'].dataType.simpleString()}, {REPEATED}"
-    rest = may_matter(rows, bits, False).withColumn("spans", F.lit(None).cast(span))
-    touched = may_matter(rows, bits, True).join(repeats, "doc_id", "left").select("kept", "doc_id", "text", "spans")
+    rest = with_bit(rows).withColumn("spans", F.lit(None).cast(span))
+    touched = with_bit(may_matter(rows, bits).join(repeats, "doc_id", "left")).select(rest.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.filter(pa.array(~passes(batch, shared.value))) for batch in batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,5 +303,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 names=["kept", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    done = rest.select("kept", "doc_id", "text", "spans").mapInArrow(run, out).unionByName(touched.mapInArrow(run, out))
+    done = rest.mapInArrow(run_rest, out).unionByName(touched.mapInArrow(run, out))
     return done.select("kept.*", "n_words", "n_removed", "kept_text", "kept_sha256")
