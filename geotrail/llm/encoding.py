@@ -36,6 +36,8 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         printing = _PRINTS[data[1:]]
+        ends = offsets[(offsets > 0) & (offsets < len(data))] - 1
+        printing[ends] = False  # what follows the last byte of a row is another text
         breaks = _LINE[data[:-1]] & printing
         cut[:-2] = ((data[:-1] == 32) & printing) | breaks
         cut[1:-1] |= breaks
