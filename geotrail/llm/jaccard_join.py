@@ -42,9 +42,9 @@ RECALL = 0.9999
 DEPTH = 2
 SMALL = 64
 """Sets in a bucket that is compared at once."""
-UNIT_SHINGLES = 1_000_000
+UNIT_SHINGLES = 2_000_000
 """Shingles in a unit of work, about; blocks of larger buckets are cut to half of it."""
-BLOCK = 512
+BLOCK = 1024
 COLUMNS = 4096
 
 SETS = "doc_id {id}, n_shingles long, sig1 long, sig2 long, tokens array<long>"
@@ -305,27 +305,25 @@ def join_similar(
 def _units(members: DataFrame, small: int, block: int) -> DataFrame:
     """Units of work (set_id, bucket, block, i, j): a set goes to every pair of blocks it is in.
 
-    A small bucket is one block. Large buckets of later runs mostly hold what one large
-    bucket held before, and pairs of that were compared there: only the blocks of the other
-    members meet all blocks.
+    Buckets of later runs mostly hold what one bucket held before, and pairs of that were
+    compared there. A bucket of such sets alone is passed over; in a large one only the
+    blocks of the other members meet all blocks. A small bucket is one block.
     """
-    large = (F.col("n") > small) | (F.col("total") > UNIT_SHINGLES)
-    lone = members.where(~large).select("set_id", "bucket", *(F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")))
-    crowds = members.where(large)
-    before = crowds.groupBy("set_id").agg(F.min_by("bucket", F.struct("run", "bucket")).alias("home"))
-    crowds = crowds.join(before, "set_id")
+    before = members.groupBy("set_id").agg(F.min_by("bucket", F.struct("run", "bucket")).alias("home"))
+    crowds = members.join(before, "set_id")
     homes = crowds.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("total").alias("total"))
     done = F.when(F.col("home") != F.col("bucket"), F.col("m")).otherwise(0)
     plan = homes.groupBy("bucket").agg(
         F.max(F.struct(done.alias("m"), "home")).alias("most"), F.max("n").alias("n"), F.max("total").alias("total")
     )
+    large = (F.col("n") > small) | (F.col("total") > UNIT_SHINGLES)
     cuts = lambda n: F.ceil(n * F.greatest(F.lit(1 / block), F.col("total") * 2 / UNIT_SHINGLES / F.col("n")))
-    plan = plan.select(
+    plan = plan.where(F.col("most.m") < F.col("n")).select(
         "bucket",
-        F.when(F.col("most.m") > 0, F.col("most.home")).alias("known"),
-        cuts(F.col("n") - F.col("most.m")).alias("new_blocks"),
-        cuts(F.col("most.m")).alias("old_blocks"),
-    ).where("new_blocks > 0")
+        F.when(large & (F.col("most.m") > 0), F.col("most.home")).alias("known"),
+        F.when(large, cuts(F.col("n") - F.col("most.m"))).otherwise(1).alias("new_blocks"),
+        F.when(large, cuts(F.col("most.m"))).otherwise(0).alias("old_blocks"),
+    )
     rows = crowds.select("set_id", "bucket", "home").join(plan, "bucket")
     old = F.coalesce(F.col("home") == F.col("known"), F.lit(False))
     dealt = F.xxhash64("set_id", F.lit(3))
@@ -333,7 +331,7 @@ def _units(members: DataFrame, small: int, block: int) -> DataFrame:
     last = F.when(old, F.col("new_blocks")).otherwise(F.col("new_blocks") + F.col("old_blocks")) - 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     pairs = rows.select("set_id", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return lone.unionByName(pairs)
+    return pairs
 
 
 def _with_shingles(rows: DataFrame, kind: str, k: int) -> DataFrame:
