@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from geotrail.operators.gather import MAX_POINTS, gather_partitions
 from geotrail.params import require_positive
-from geotrail.scratch import small_enough
 
 KEYS = ["loc", "block"]
 
 
 def _keys_of(df: DataFrame) -> DataFrame:
-    keys = df.select(*KEYS).distinct()
-    return F.broadcast(keys) if small_enough(keys) else keys
+    return df.select(*KEYS).distinct()
 
 
 def access_log(candidates: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from geotrail.functions.keys import div
 from geotrail.functions.predicates import box_touches_region, circle_touches_region, within
 from geotrail.operators.models import SpatialModel
 from geotrail.params import OUTSIDE, require_positive
-from geotrail.scratch import BROADCAST_ROWS
 
 SPAN = 8
 """Most blocks (or coarser blocks) into which a join unrolls one interval, about."""
@@ -100,22 +99,36 @@ def candidate_partitions(workload: DataFrame, model: SpatialModel, window: int)
     return regions.withColumn("block", F.explode(blocks_for_interval(F.col("ta"), F.col("tb"), window)))
 
 
+def existing_candidates(workload: DataFrame, model: SpatialModel, window: int, counts: DataFrame) -> DataFrame:
+    """Like ``candidate_partitions``, but only partitions that hold points.
+
+    ``counts`` has one row ``loc, block`` for each partition, as a store keeps it. Nothing
+    is unrolled: an interval of any length is a range of the blocks that exist.
+    """
+    require_positive(window=window)
+    regions = candidate_regions(workload, model).selectExpr("*", f"ta div {window}L AS _first", f"tb div {window}L AS _last")
+    pairs = regions.join(counts.select("loc", "block"), "loc").where("block BETWEEN _first AND _last")
+    return pairs.select(*workload.columns, "loc", "block")
+
+
 def scaled_block(block: str, scale: str) -> str:
-    """SQL text: block number in units of ``SPAN ** scale`` blocks; keeps the order of blocks."""
-    cases = " ".join(f"WHEN {s} THEN {block} div {SPAN**s}" for s in range(1, SCALES))
-    return f"CASE {scale} WHEN 0 THEN {block} {cases} END"
+    """SQL text: block number in units of ``SPAN ** scale`` blocks, which keeps their order; 0 at the top scale."""
+    cases = " ".join(f"WHEN {s} THEN {block} div {SPAN**s}" for s in range(1, SCALES - 1))
+    return f"CASE {scale} WHEN 0 THEN {block} {cases} ELSE 0L END"
 
 
 def candidate_join_keys(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:
     """Like ``candidate_partitions``, with long intervals in coarser blocks.
 
     A query over very many blocks would become that many rows; it gets the finest
-    ``scale`` at which it takes about ``SPAN`` rows for each region. The interval itself
-    is tested on the points, so the answer does not depend on the scale.
+    ``scale`` at which it takes about ``SPAN`` rows for each region. At the top scale all
+    blocks are one, so an open-ended interval is one row for each region. The interval
+    itself is tested on the points, so the answer does not depend on the scale.
     """
     require_positive(window=window)
     first, last = f"(ta div {window}L)", f"(tb div {window}L)"
-    cases = " ".join(f"WHEN {last} - {first} < {SPAN ** (s + 1)} THEN {s}" for s in range(SCALES - 1))
+    # a difference that does not fit is null and falls through to the top scale
+    cases = " ".join(f"WHEN try_subtract({last}, {first}) < {SPAN ** (s + 1)}L THEN {s}" for s in range(SCALES - 1))
     return (
         candidate_regions(workload, model)
         .selectExpr("*", f"CASE {cases} ELSE {SCALES - 1} END AS scale")
@@ -125,7 +138,5 @@ def candidate_join_keys(workload: DataFrame, model: SpatialModel, window: int) -
 
 def fetch_partitions(points: DataFrame, keys: DataFrame) -> DataFrame:
     """Points of the listed partitions. A listed partition without points adds nothing."""
-    wanted = keys.select("loc", "block").distinct()
-    small = wanted.count() <= BROADCAST_ROWS
-    kept = points.join(F.broadcast(wanted) if small else wanted, ["loc", "block"], "left_semi")
+    kept = points.join(keys.select("loc", "block").distinct(), ["loc", "block"], "left_semi")
     return kept.select(*points.columns)

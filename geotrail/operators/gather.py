@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.operators.numbering import totals_before
 from geotrail.params import require_positive
-from geotrail.scratch import BROADCAST_ROWS, publish_with_facts
+from geotrail.scratch import publish, publish_with_facts
 
 MAX_POINTS = 1_000_000
 """Most points that one nested row holds."""
@@ -44,8 +45,10 @@ def gather(
 
     A key with more than ``max_points`` rows becomes several rows: slices that follow
     each other in the order of ``part``, none above ``max_points``, nothing dropped.
-    Such keys are found by counting (map-side) first; pass ``longest``, a known bound
-    of rows for each key such as the one kept in a store, to save that count.
+    Parts are numbered from 0 by the rank of a row among the rows of its key, so they
+    follow from the data alone. Unless ``longest`` is passed, a known bound of rows for
+    each key such as the one kept in a store, ``rows`` is written once, and large keys are
+    found by counting what was written.
     """
     require_positive(max_points=max_points)
     keys, fields = list(keys), list(fields)
@@ -57,18 +60,30 @@ def gather(
 
     if longest is not None and longest <= max_points:
         return whole(rows)
+    rows = publish(rows.select(*dict.fromkeys(keys + fields)), "gathered")
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_points).select(*keys)
     large, found = publish_with_facts(counted, "large-keys", F.count(F.lit(1)).alias("n"))
     if not found["n"]:
         return whole(rows)
-    marked = F.broadcast(large) if found["n"] <= BROADCAST_ROWS else large
-    slices = (
-        split_evenly(rows.join(marked, keys, "left_semi").select(*keys, *fields), keys + fields)
-        .withColumn("part", F.expr(f"monotonically_increasing_id() div {max_points}"))
-        .groupBy(*keys, "part")
-        .agg(points)
+    slices = _ranked(rows.join(large, keys, "left_semi").select(*keys, *fields), keys, fields)
+    slices = slices.withColumn("part", F.expr(f"_rank div {max_points}")).groupBy(*keys, "part").agg(points)
+    return whole(rows.join(large, keys, "left_anti")).unionByName(slices)
+
+
+def _ranked(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Adds ``_rank``, from 0, of each row among those of its key, in the order of ``fields``.
+
+    The rows are ranged into tasks and written with their task and place; a row's rank is
+    its place among the rows of its key in the task, after those of earlier tasks.
+    """
+    ranged = split_evenly(rows, keys + fields)
+    placed = publish(
+        ranged.withColumns({"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranked"
     )
-    return whole(rows.join(marked, keys, "left_anti")).unionByName(slices)
+    runs = placed.groupBy(*keys, "_task").agg(F.min("_place").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    runs = totals_before(runs, ["_task"], "_n", by=keys)
+    rank = F.col("_place") - F.col("_from") + F.col("before")
+    return placed.join(runs, [*keys, "_task"]).select(*keys, *fields, rank.alias("_rank"))
 
 
 def build_trajectories(hits: DataFrame, max_points: int = MAX_POINTS, longest: int | None = None) -> DataFrame:

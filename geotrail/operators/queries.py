@@ -194,14 +194,14 @@ def _at_scales(keyed: DataFrame, scales: list[int]) -> tuple[DataFrame, list[str
     ]
 
 
-def circle_workload(points, workload, model, window, max_points=MAX_POINTS, longest=None) -> DataFrame:
-    """Trajectories of every circle of a workload."""
-    return build_trajectories(workload_points(points, workload, model, window), max_points, longest)
+def circle_workload(points, workload, model, window, max_points=MAX_POINTS, longest=None, counts=None) -> DataFrame:
+    """Trajectories of every circle of a workload; ``counts`` are the partition counts of a store."""
+    return build_trajectories(workload_points(points, workload, model, window, counts), max_points, longest)
 
 
-def box_workload(points, workload, model, window, max_points=MAX_POINTS, longest=None) -> DataFrame:
-    """Trajectories of every box of a workload."""
-    return build_trajectories(workload_points(points, workload, model, window), max_points, longest)
+def box_workload(points, workload, model, window, max_points=MAX_POINTS, longest=None, counts=None) -> DataFrame:
+    """Trajectories of every box of a workload; ``counts`` are the partition counts of a store."""
+    return build_trajectories(workload_points(points, workload, model, window, counts), max_points, longest)
 
 
 def query_result_counts(workload: DataFrame, hits: DataFrame) -> DataFrame:

@@ -46,6 +46,11 @@ def workload_partitions(spark: SparkSession, d: str, model: models.SpatialModel)
     return candidates.candidate_partitions(i.circles(spark, d), model, i.WINDOW)
 
 
+def held_partitions(spark: SparkSession, d: str, model: models.SpatialModel, keyed: DataFrame) -> DataFrame:
+    """Candidates of the workload that hold points."""
+    return candidates.existing_candidates(i.circles(spark, d), model, i.WINDOW, partition.partition_counts(keyed))
+
+
 def flat(nested: DataFrame) -> DataFrame:
     return gather.summarize(nested, ["query_id", "traj_id"])
 
@@ -80,20 +85,20 @@ def read_partitions(spark, d):
     path = scratch_dir(spark, "store")
     store.write_store(keyed, model, i.WINDOW, path)
     opened = store.read_store(spark, path)
-    wanted = workload_partitions(spark, d, opened.model)
+    wanted = candidates.existing_candidates(i.circles(spark, d), opened.model, i.WINDOW, opened.counts)
     return store.read_partitions(opened, wanted).select("event_id", *KEYS)
 
 
 @check
 def read_workload(spark, d):
     path = scratch_dir(spark, "workload")
-    workload.write_workload(i.circles(spark, d), path)
+    workload.write_workload(i.every_circle(spark, d), path)
     return workload.read_workload(spark, path)
 
 
 @check
 def format_workload(spark, d):
-    return workload.format_workload(i.circles(spark, d))
+    return workload.format_workload(i.every_circle(spark, d))
 
 
 @check
@@ -156,7 +161,7 @@ def filter_time(spark, d):
 
 @check
 def number_queries(spark, d):
-    return queries.number_queries(i.circles(spark, d)).select("query_id", "issued_ms", "query_no")
+    return queries.number_queries(i.every_circle(spark, d)).select("query_id", "issued_ms", "query_no")
 
 
 @check
@@ -267,6 +272,14 @@ def gather_partitions(spark, d):
     return gather.summarize(gather.gather_partitions(keyed_points(spark, d)[1]), KEYS)
 
 
+@check
+def gather_slices(spark, d):
+    """Partitions in slices of three points."""
+    nested = gather.gather_partitions(keyed_points(spark, d)[1], max_points=3)
+    point = lambda p: F.concat_ws(" ", p["t"].cast("string"), p["traj_id"])
+    return nested.select(*KEYS, "part", F.array_join(F.transform("points", point), ",").alias("points"))
+
+
 @check
 def partition_counts(spark, d):
     return partition.partition_counts(keyed_points(spark, d)[1])
@@ -297,7 +310,7 @@ def query_result_counts(spark, d):
 @check
 def blocks_for_interval(spark, d):
     blocks = candidates.blocks_for_interval(F.col("ta"), F.col("tb"), i.WINDOW)
-    return i.circles(spark, d).select("query_id", F.explode(blocks).alias("block"))
+    return i.every_circle(spark, d).select("query_id", F.explode(blocks).alias("block"))
 
 
 @check
@@ -308,7 +321,7 @@ def candidate_partitions(spark, d):
 @check
 def fetch_partitions(spark, d):
     model, keyed = keyed_points(spark, d)
-    return candidates.fetch_partitions(keyed, workload_partitions(spark, d, model)).select("event_id", *KEYS)
+    return candidates.fetch_partitions(keyed, held_partitions(spark, d, model, keyed)).select("event_id", *KEYS)
 
 
 @check
@@ -323,6 +336,31 @@ def circle_query(spark, d):
     return flat(queries.circle_query(keyed, model, i.WINDOW, i.CIRCLE))
 
 
+@check
+def circle_query_points(spark, d):
+    """Every point of the nested answer, in its place."""
+    model, keyed = keyed_points(spark, d)
+    nested = queries.circle_query(keyed, model, i.WINDOW, i.CIRCLE)
+    return nested.select("query_id", "traj_id", "part", F.posexplode("points").alias("pos", "p")).select(
+        "query_id", "traj_id", "part", F.col("pos").cast("bigint").alias("pos"), "p.t", "p.x", "p.y"
+    )
+
+
+def circle_query_on(spark, d, model):
+    keyed = partition.partition_points(i.points(spark, d), model, i.WINDOW)
+    return flat(queries.circle_query(keyed, model, i.WINDOW, i.CIRCLE))
+
+
+@check
+def circle_query_kdtree(spark, d):
+    return circle_query_on(spark, d, kdtree(spark, d))
+
+
+@check
+def circle_query_strtree(spark, d):
+    return circle_query_on(spark, d, strtree(spark, d))
+
+
 @check
 def box_query(spark, d):
     model, keyed = keyed_points(spark, d)
@@ -341,6 +379,13 @@ def box_workload(spark, d):
     return flat(queries.box_workload(keyed, i.boxes(spark, d), model, i.WINDOW))
 
 
+@check
+def workload_open_interval(spark, d):
+    """Circles whose intervals are as long as numbers go."""
+    model, keyed = keyed_points(spark, d)
+    return flat(queries.circle_workload(keyed, i.open_circles(spark, d), model, i.WINDOW))
+
+
 @check
 def circle_scan(spark, d):
     return queries.scan_points(i.points(spark, d), i.CIRCLE).select("query_id", "event_id", *POINT)
@@ -367,7 +412,7 @@ def status_now(spark, d, model, keyed):
 def overlay_partitions(spark, d):
     model, keyed = keyed_points(spark, d)
     current = keyed.select("event_id", *KEYS, F.lit("kept").alias("origin"))
-    wanted = workload_partitions(spark, d, model)
+    wanted = held_partitions(spark, d, model, keyed)
     reloaded = candidates.fetch_partitions(current, wanted).withColumn("origin", F.lit("reloaded"))
     return activity.overlay_partitions(current, reloaded)
 
@@ -438,6 +483,11 @@ def throughput_rollup(spark, d):
     return metrics.throughput_rollup(logs.parse_series(lines))
 
 
+@check
+def format_series(spark, d):
+    return metrics.format_series(throughput_rollup(spark, d))
+
+
 def event_stream(spark, d):
     return read_stream(spark, d, i.events(spark, d).schema, glob="events.parquet")
 

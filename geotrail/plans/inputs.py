@@ -49,7 +49,20 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A circle around every fiftieth point: the size of the workload follows the data."""
-    p = points(spark, sf_dir).where("event_id % 50 = 0")
+    return _around(points(spark, sf_dir).where("event_id % 50 = 0"))
+
+
+def every_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A circle around every point."""
+    return _around(points(spark, sf_dir))
+
+
+def open_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circles with intervals that have no ends."""
+    return circles(spark, sf_dir).withColumns({"ta": F.lit(-(2**63)), "tb": F.lit(2**63 - 1)})
+
+
+def _around(p: DataFrame) -> DataFrame:
     return p.selectExpr(
         "event_id AS query_id",
         "x",

@@ -26,6 +26,8 @@ CIRCLES = """circles AS (
          t AS ta, t + 1000 + (event_id * 7919) % 1000000 AS tb, t * 1000 AS issued_ms
   FROM st_points WHERE event_id % 50 = 0)"""
 
+EVERY_CIRCLE = CIRCLES.replace("circles AS", "every_circle AS").replace(" WHERE event_id % 50 = 0", "")
+
 BOXES = """boxes AS (
   SELECT query_id, x - r AS x0, y - r AS y0, x + r AS x1, y + r AS y1, ta, tb FROM circles)"""
 
@@ -220,11 +222,12 @@ ORACLE: dict[str, str] = {
         KEYED_ALL + CANDIDATES, "SELECT event_id, loc, block FROM keyed WHERE (loc, block) IN (SELECT (loc, block) FROM cand)"
     ),
     "read_workload": with_ctes(
-        [ST_POINTS, CIRCLES], "SELECT x, y, r, ta, tb, row_number() OVER (ORDER BY query_id) AS query_id FROM circles"
+        [ST_POINTS, EVERY_CIRCLE],
+        "SELECT x, y, r, ta, tb, row_number() OVER (ORDER BY query_id) AS query_id FROM every_circle",
     ),
     "format_workload": with_ctes(
-        [ST_POINTS, CIRCLES],
-        "SELECT query_id, concat_ws(',', x::VARCHAR, y::VARCHAR, r::VARCHAR, ta::VARCHAR, tb::VARCHAR) AS line FROM circles",
+        [ST_POINTS, EVERY_CIRCLE],
+        "SELECT query_id, concat_ws(',', x::VARCHAR, y::VARCHAR, r::VARCHAR, ta::VARCHAR, tb::VARCHAR) AS line FROM every_circle",
     ),
     "skip_rows": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id OFFSET 899",
     "time_block": with_ctes(
@@ -244,8 +247,8 @@ FROM (SELECT DISTINCT loc, block FROM keyed)""",
         [ST_POINTS], f"SELECT event_id, traj_id, x, y, t FROM st_points WHERE t BETWEEN {C.ta} AND {C.tb}"
     ),
     "number_queries": with_ctes(
-        [ST_POINTS, CIRCLES],
-        "SELECT query_id, issued_ms, row_number() OVER (ORDER BY issued_ms, query_id) AS query_no FROM circles",
+        [ST_POINTS, EVERY_CIRCLE],
+        "SELECT query_id, issued_ms, row_number() OVER (ORDER BY issued_ms, query_id) AS query_no FROM every_circle",
     ),
     "outside_points": with_ctes(
         [ST_POINTS], "SELECT event_id, NOT (x >= 0 AND x < 512 AND y >= 0 AND y < 512) AS is_outside FROM st_points"
@@ -294,6 +297,12 @@ UNION ALL SELECT 'strtree', side * side FROM str""",
     "gather_partitions": with_ctes(
         KEYED_ALL, "SELECT loc, block, count(*) AS n_points, min(t) AS t_min, max(t) AS t_max FROM keyed GROUP BY loc, block"
     ),
+    "gather_slices": with_ctes(
+        [*KEYED_ALL, """placed AS (
+  SELECT *, row_number() OVER (PARTITION BY loc, block ORDER BY t, x, y, traj_id) - 1 AS pos FROM keyed)"""],
+        """SELECT loc, block, pos // 3 AS part, string_agg(t || ' ' || traj_id, ',' ORDER BY pos) AS points
+FROM placed GROUP BY loc, block, pos // 3""",
+    ),
     "partition_counts": with_ctes(KEYED_ALL, "SELECT loc, block, count(*) AS n_points FROM keyed GROUP BY loc, block"),
     "partition_profile": with_ctes(
         KEYED_ALL,
@@ -311,8 +320,8 @@ FROM hits GROUP BY query_id, traj_id""",
 FROM asked a LEFT JOIN hits h ON a.query_id = h.query_id GROUP BY a.query_id""",
     ),
     "blocks_for_interval": with_ctes(
-        [ST_POINTS, CIRCLES],
-        f"SELECT query_id, unnest(range(ta // {i.WINDOW}, tb // {i.WINDOW} + 1)) AS block FROM circles",
+        [ST_POINTS, EVERY_CIRCLE],
+        f"SELECT query_id, unnest(range(ta // {i.WINDOW}, tb // {i.WINDOW} + 1)) AS block FROM every_circle",
     ),
     "candidate_partitions": with_ctes(QUAD + CANDIDATES, "SELECT query_id, loc, block FROM cand"),
     "fetch_partitions": with_ctes(
@@ -320,9 +329,21 @@ FROM asked a LEFT JOIN hits h ON a.query_id = h.query_id GROUP BY a.query_id""",
     ),
     "circle_points": with_ctes([ST_POINTS, CIRCLE_HITS], "SELECT query_id, event_id, traj_id, x, y, t FROM hits"),
     "circle_query": with_ctes([ST_POINTS, CIRCLE_HITS], TRAJECTORIES),
+    "circle_query_points": with_ctes(
+        [ST_POINTS, CIRCLE_HITS],
+        """SELECT query_id, traj_id, 0::BIGINT AS part, t, x, y,
+       row_number() OVER (PARTITION BY traj_id ORDER BY t, x, y) - 1 AS pos FROM hits""",
+    ),
+    "circle_query_kdtree": with_ctes([ST_POINTS, CIRCLE_HITS], TRAJECTORIES),
+    "circle_query_strtree": with_ctes([ST_POINTS, CIRCLE_HITS], TRAJECTORIES),
     "box_query": with_ctes([ST_POINTS, BOX_HITS], TRAJECTORIES),
     "circle_workload": with_ctes([ST_POINTS, CIRCLES, WORKLOAD_HITS], TRAJECTORIES),
     "box_workload": with_ctes([ST_POINTS, CIRCLES, BOXES, BOX_WORKLOAD_HITS], TRAJECTORIES),
+    "workload_open_interval": with_ctes(
+        [ST_POINTS, CIRCLES, "always AS (SELECT query_id, x, y, r, -1 AS ta, 9223372036854775807 AS tb FROM circles)",
+         f"hits AS ({CIRCLE_JOIN.format(workload='always')})"],
+        TRAJECTORIES,
+    ),
     "circle_scan": with_ctes([ST_POINTS, CIRCLE_HITS], "SELECT query_id, event_id, traj_id, x, y, t FROM hits"),
     "box_scan": with_ctes([ST_POINTS, BOX_HITS], "SELECT query_id, event_id, traj_id, x, y, t FROM hits"),
     "overlay_partitions": with_ctes(
@@ -368,6 +389,15 @@ FROM status s JOIN keyed k ON s.loc = k.loc AND s.block = k.block GROUP BY s.loc
         """SELECT event_type AS series, -1 AS bucket, 0 AS total FROM placed GROUP BY 1
 UNION ALL
 SELECT event_type, (pos - 1) // 6, CAST(sum(n) AS BIGINT) FROM placed WHERE pos >= 1 GROUP BY 1, 2""",
+    ),
+    "format_series": with_ctes(
+        [
+            "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)",
+            "placed AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS pos FROM hours)",
+            "sums AS (SELECT event_type, (pos - 1) // 6 AS bucket, sum(n) AS total FROM placed WHERE pos >= 1 GROUP BY 1, 2)",
+        ],
+        """SELECT event_type || ' 0 ' || string_agg(CAST(total AS BIGINT)::VARCHAR, ' ' ORDER BY bucket) AS value
+FROM sums GROUP BY event_type""",
     ),
     "stream_throughput": f"""WITH closed AS (
   SELECT epoch_us(ts) // 10000000 AS tick, count(*) AS finished FROM events GROUP BY 1)

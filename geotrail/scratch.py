@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,13 @@ BROADCAST_ROWS = 1_000_000
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Without that setting only a local session gets a folder of its own; on a cluster a
-    machine-local folder would be lost with its machine, so the setting is demanded.
+    Without that setting only a session in one process gets a folder of its own; on a
+    cluster, a local one included, a machine-local folder would be lost with its machine,
+    so the setting is demanded.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="geotrail-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,8 +42,3 @@ def publish_with_facts(df: DataFrame, name: str, *facts: Column) -> tuple[DataFr
     path, seen = scratch_dir(df.sparkSession, name), Observation()
     df.observe(seen, *facts).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
-
-
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows."""
-    return df.count() <= rows

@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.operators.numbering import totals_before
-from geotrail.scratch import small_enough
+from geotrail.scratch import publish
 
 
 def with_row_number(files: DataFrame) -> DataFrame:
     """Adds ``row_no``, from 0 in file order, to a DataFrame that reads files.
 
-    Order: file path, then place in the file. Rows are counted for each split of a
-    file; a split's first row number is the count of the splits before it. Two scans and
-    no shuffle of rows, where a sort or a global window would move them all.
+    Order: file path, then place in the file. The rows are written once with their split
+    and place, so that however a later scan is split, none is lost or numbered anew. Rows
+    are counted for each split; a split's first row number is the count of the splits
+    before it. No row is shuffled, where a sort or a global window would move them all.
     """
-    rows = files.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
+    rows = publish(
+        files.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"),
+        ),
+        "placed",
     )
     splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     by_file = totals_before(splits, ["_start"], "_n", by=["_file"]).withColumnRenamed("before", "_in_file")
@@ -29,7 +33,6 @@ def with_row_number(files: DataFrame) -> DataFrame:
         by_file.join(totals_before(sizes, ["_file"], "_n").select("_file", "before"), "_file")
         .select("_file", "_start", (F.col("before") + F.col("_in_file") - F.col("_first")).alias("_shift"))
     )
-    starts = F.broadcast(starts) if small_enough(starts) else starts
     return (
         rows.join(starts, ["_file", "_start"])
         .withColumn("row_no", F.col("_id") + F.col("_shift"))

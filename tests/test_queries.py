@@ -5,7 +5,7 @@ from helpers import EDGE_POINTS, KINDS, build, points_of, rows
 from pyspark.sql import functions as F
 
 from geotrail import BoxQuery, CircleQuery
-from geotrail.operators import candidates, gather, partition, queries
+from geotrail.operators import candidates, gather, models, partition, queries
 from geotrail.plans import inputs as i
 
 HIT = ["query_id", "traj_id", "t", "x", "y"]
@@ -172,3 +172,31 @@ def test_gather_splits_large_keys(spark):
 def test_known_bound_saves_the_count(spark):
     points = points_of(spark, EDGE_POINTS).withColumn("query_id", F.lit(1))
     assert rows(gather.build_trajectories(points, longest=4)) == rows(gather.build_trajectories(points))
+
+
+def test_parts_follow_from_the_data_alone(spark):
+    rows = [("a", float(k % 7), 0.0, k % 50) for k in range(1000)] + [("b", 1.0, 1.0, 5)] * 3
+    table = points_of(spark, rows)
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (2, 5, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        nested = gather.gather(table.repartition(n), ["traj_id"], ["t", "x", "y"], max_points=300).collect()
+        seen.append(sorted((r["traj_id"], r["part"], [tuple(p) for p in r["points"]]) for r in nested))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+    assert [(r[0], r[1], len(r[2])) for r in seen[0]] == [("a", 0, 300), ("a", 1, 300), ("a", 2, 300), ("a", 3, 100), ("b", 0, 3)]
+    assert [p for r in seen[0][:4] for p in r[2]] == sorted((r[3], r[1], r[2]) for r in rows[:1000])
+
+
+def test_open_intervals_cost_one_row_for_each_region(spark):
+    table = points_of(spark, [("a", 5.0, 5.0, k * 10**9) for k in range(-3, 4)])
+    model = models.build_grid(spark, i.BOUNDS, 4, 4)
+    ends = [(1, -(2**63), 2**63 - 1), (2, 0, 2**63 - 1), (3, 0, 10**9), (4, -(2**63), -(2**63)), (5, 2 * 10**9, 2 * 10**9)]
+    asked = spark.createDataFrame([(q, 5.0, 5.0, 1.0, a, b) for q, a, b in ends], "query_id long, x double, y double, r double, ta long, tb long")
+    for window in (1, 20_000):
+        keyed = partition.partition_points(table, model, window)
+        hits = queries.workload_points(keyed, asked, model, window).groupBy("query_id").count()
+        assert rows(hits) == [(1, 7), (2, 4), (3, 2), (5, 1)]
+        held = candidates.existing_candidates(asked, model, window, partition.partition_counts(keyed)).groupBy("query_id").count()
+        assert rows(held) == rows(hits)
