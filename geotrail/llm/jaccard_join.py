@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geotrail.llm.components import components
 from geotrail.llm.docfilter import document_filter, may_matter
@@ -259,18 +260,21 @@ def join_similar(
     buckets = publish(_buckets(sets.select("set_id", "n_shingles", "tokens"), threshold, recall, depth, small), "final")
 
     runs = runs_for(depth, threshold, recall)
-    in_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0)) for r in range(runs)]
-    trails = buckets.groupBy("set_id").agg(F.array(*in_run).alias("trail"))
-    trails = publish(trails.join(sets.select("set_id", "n_docs", "sig1"), "set_id"), "trails")
-    near = may_matter(rows, document_filter(trails.select(F.col("set_id").alias("doc_id"))))
-    wanted = near.join(trails, F.col("doc_id") == F.col("set_id")).select("set_id", "n_docs", "trail", "sig1", "text")
-    shingles = publish(_with_shingles(wanted.distinct(), kind, k), "shingles")
-
     units = _units(buckets.dropDuplicates(["set_id", "bucket"]), small, block)
     sized = units.join(sets.select("set_id", "n_shingles"), "set_id")
     units, facts = publish_with_facts(sized, "units", F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total"))
     bins = 1 + facts["total"] // UNIT_SHINGLES
 
+    # shingles are taken from the texts on their way to the units, so they are moved once
+    in_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0)) for r in range(runs)]
+    trails = buckets.groupBy("set_id").agg(F.array(*in_run).alias("trail"))
+    lists = units.groupBy("set_id").agg(F.collect_list(F.struct("bucket", "block", "i", "j")).alias("units"))
+    trails = trails.join(lists, "set_id").join(sets.select("set_id", "n_docs", "sig1"), "set_id")
+    trails = publish(trails, "trails")
+    near = may_matter(rows, document_filter(trails.select(F.col("set_id").alias("doc_id"))))
+    wanted = near.join(trails, F.col("doc_id") == F.col("set_id")).select("set_id", "n_docs", "trail", "units", "sig1", "text")
+    work = _with_shingles(wanted.distinct(), k).select("set_id", "n_docs", "trail", "shingles", F.inline("units"))
+
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         counts, links = [], []
         for _, unit in part.groupby(["bucket", "i", "j"], sort=True):
@@ -281,7 +285,6 @@ def join_similar(
             {"a": [s for s, _ in counts] + [a for a, _ in links], "b": [None] * len(counts) + [b for _, b in links], "n": [n for _, n in counts] + [0] * len(links)}
         )
 
-    work = units.drop("n_shingles").join(shingles, "set_id")
     work = work.withColumn("bin", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bins)))
     found = publish(work.groupBy("bin").applyInPandas(compare, f"a {kind}, b {kind}, n long"), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
@@ -334,8 +337,11 @@ def _units(members: DataFrame, small: int, block: int) -> DataFrame:
     return pairs
 
 
-def _with_shingles(rows: DataFrame, kind: str, k: int) -> DataFrame:
-    """The shingle sets of some documents."""
+def _with_shingles(rows: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of some documents, in place of text and signature."""
+    kept = rows.drop("sig1", "text")
+    names = kept.columns
+    shingles = T.StructField("shingles", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,9 +351,7 @@ def _with_shingles(rows: DataFrame, kind: str, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pointers.astype(np.int32), np.ascontiguousarray(grams).view(np.int64))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(grams)])
                 same = (sums[pointers[1:]] - sums[pointers[:-1]]).view(np.int64) == column_of(batch, "sig1").slice(row, n).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [column_of(batch, c).slice(row, n) for c in ("set_id", "n_docs", "trail")] + [lists],
-                    names=["set_id", "n_docs", "trail", "shingles"],
-                ).filter(pa.array(same))
+                columns = [column_of(batch, c).slice(row, n) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, "shingles"]).filter(pa.array(same))
 
-    return rows.mapInArrow(run, f"set_id {kind}, n_docs long, trail array<long>, shingles array<long>")
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, shingles]))
