@@ -22,14 +22,20 @@ from geotrail.scratch import publish
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    """The text apart from the other columns, which it would otherwise be moved with twice."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
+
+
+def _unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language."""
     model = language_id.train(docs)
-    found = language_id.predict(_wrapped(docs), model, keep=["row"])
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    found = language_id.predict(_wrapped(docs), model)
+    return _unwrapped(found.where(F.col("lang_pred") != language_id.UNKNOWN), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy("text")
     kept = _wrapped(docs).join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
-    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    return _unwrapped(kept, docs).unionByName(docs.where("doc_id IS NULL"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +59,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_leaks(_wrapped(docs), items, keep=["row"])
-    return found.where(F.size("leaks") == 0).select("row.*")
+    found = decontamination.find_leaks(_wrapped(docs), items)
+    return _unwrapped(found.where(F.size("leaks") == 0), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

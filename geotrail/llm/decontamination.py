@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from geotrail.llm.encoding import column_of, kept_columns
+from geotrail.llm.encoding import kept_columns
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, span_hashes, text_slices
 
 K = 5
@@ -173,9 +173,7 @@ def find_leaks(
     parts = max(1, -(-chars // part_chars))
     kind = items.schema["item_id"].dataType
     leak = f"struct<item_id:{kind.simpleString()},similarity:double,first_word:long,n_words:long,char_start:long,char_end:long>"
-    rows = docs.select(F.struct(*kept_columns(docs, keep, ["leaks"])).alias("kept"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("leaks", F.lit(None).cast(f"array<{leak}>"))
-    schema = rows.schema
+    leaks = F.array().cast(f"array<{leak}>")
     arrow_leaks = pa.list_(
         pa.struct([("item_id", to_arrow_type(kind)), ("similarity", pa.float64())] + [(c, pa.int64()) for c in ("first_word", "n_words", "char_start", "char_end")])
     )
@@ -183,16 +181,19 @@ def find_leaks(
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         index = ItemIndex([tuple(r) for r in mine], total, k, similarity, radius)
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        rows = rows.mapInArrow(_scanner(shared, arrow_leaks), schema)
-    return rows.select("kept.*", F.coalesce("leaks", F.array().cast(f"array<{leak}>")).alias("leaks"))
+        # only the texts go to Python; the other columns wait in the JVM
+        scan = F.arrow_udf(_scanner(shared, arrow_leaks), f"array<{leak}>").asNondeterministic()
+        leaks = F.concat(leaks, scan(F.col(text).cast("string")))
+    kept = F.struct(*kept_columns(docs, keep, ["leaks"])).alias("kept")
+    return docs.select(kept, leaks.alias("leaks")).select("kept.*", "leaks")
 
 
 def _scanner(shared, arrow_leaks: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
-        for batch in batches:
+        for texts in batches:
             found: dict[int, list[dict]] = {}
-            for row, data, offsets in text_slices(column_of(batch, "text")):
+            for row, data, offsets in text_slices(texts):
                 hashes, starts, ends, pointers = word_hashes(data, offsets)
                 for size in index.sizes if len(hashes) else []:
                     grams = gram_hashes(hashes, size)
@@ -207,10 +208,6 @@ def _scanner(shared, arrow_leaks: pa.DataType):
                             found.setdefault(row + int(k), []).append(
                                 {"item_id": item, "similarity": alike, "first_word": first, "n_words": n, "char_start": chars[0], "char_end": chars[1]}
                             )
-            leaks = column_of(batch, "leaks")
-            if found:
-                earlier = leaks.to_pylist()
-                leaks = pa.array([(e or []) + found.get(r, []) or None for r, e in enumerate(earlier)], arrow_leaks)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "kept"), column_of(batch, "text"), leaks], names=["kept", "text", "leaks"])
+            yield pa.array([found.get(r, []) for r in range(len(texts))], arrow_leaks)
 
     return run

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from geotrail.llm.textbuf import SPACES, ragged, span_hashes
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_000_000
 """Known pieces that a Python worker keeps; beyond it the store starts anew."""
 
 # Lead bytes of characters that may be white space beyond ASCII: no cut before them.

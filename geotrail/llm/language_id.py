@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.encoding import column_of, kept_columns
+from geotrail.llm.encoding import kept_columns
 from geotrail.llm.sampling import bounded_sample
 from geotrail.llm.textbuf import text_slices
 
@@ -178,19 +178,14 @@ def train(
 
 def predict(docs: DataFrame, model: ContextModel, text: str = "text", keep: list[Column | str] | None = None) -> DataFrame:
     """``keep`` columns with lang_pred, score and bits, the code length of the winner."""
-    chosen = docs.select(
-        F.struct(*kept_columns(docs, keep, ["lang_pred", "score", "bits"])).alias("kept"),
-        F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("text"),
-    )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         names = np.array([*known.languages, UNKNOWN], object)
-        for batch in batches:
-            texts = column_of(batch, "text")
+        for texts in batches:
             void = texts.is_null().to_numpy(zero_copy_only=False)
-            lang, score, bits = [], [], []
+            lang, score, bits = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
             for _, data, offsets in text_slices(texts):
                 lengths = known.code_lengths(data, offsets)
                 if not lengths.shape[1]:
@@ -201,17 +196,12 @@ def predict(docs: DataFrame, model: ContextModel, text: str = "text", keep: list
                 bits.append(least)
                 score.append(1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(1))
             none = void | (not known.languages)
-            at = np.where(none, len(names) - 1, np.concatenate(lang)) if lang else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    column_of(batch, "kept"),
-                    pa.array(names[at], pa.string()),
-                    pa.array(np.where(none, 0.0, np.concatenate(score)) if score else [], pa.float64()),
-                    pa.array(np.where(none, 0.0, np.concatenate(bits)) if bits else [], pa.float64()),
-                ],
-                names=["kept", "lang_pred", "score", "bits"],
-            )
-
-    struct = chosen.schema["kept"].dataType.simpleString()
-    out = chosen.mapInArrow(run, f"kept {struct}, lang_pred string, score double, bits double")
-    return out.select("kept.*", "lang_pred", "score", "bits")
+            at = np.where(none, len(names) - 1, np.concatenate(lang))
+            numbers = [pa.array(np.where(none, 0.0, np.concatenate(part))) for part in (score, bits)]
+            yield pa.StructArray.from_arrays([pa.array(names[at], pa.string()), *numbers], ["lang_pred", "score", "bits"])
+
+    # only the texts go to Python; the other columns wait in the JVM
+    guess = F.arrow_udf(run, "lang_pred string, score double, bits double").asNondeterministic()
+    texts = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
+    kept = F.struct(*kept_columns(docs, keep, ["lang_pred", "score", "bits"])).alias("kept")
+    return docs.select(kept, guess(texts).alias("found")).select("kept.*", "found.*")
