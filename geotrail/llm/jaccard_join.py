@@ -260,7 +260,9 @@ def join_similar(
     buckets = publish(_buckets(sets.select("set_id", "n_shingles", "tokens"), threshold, recall, depth, small), "final")
 
     runs = runs_for(depth, threshold, recall)
-    units = _units(buckets.dropDuplicates(["set_id", "bucket"]), small, block)
+    # a bucket of several runs counts in the first one, for homes as for trails
+    once = buckets.groupBy("set_id", "bucket").agg(F.min("run").alias("run"), F.max("n").alias("n"), F.max("total").alias("total"))
+    units = _units(once, small, block)
     sized = units.join(sets.select("set_id", "n_shingles"), "set_id")
     units, facts = publish_with_facts(sized, "units", F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total"))
     bins = 1 + facts["total"] // UNIT_SHINGLES

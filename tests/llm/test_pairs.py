@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from geotrail.llm import components, decontamination, fmindex, jaccard_join, queries, substring_dedup
 from geotrail.llm.docfilter import document_filter, may_matter
@@ -67,6 +68,19 @@ def test_classes_and_links(spark, small, block):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()), key=str) == classes_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_bucket_of_several_runs_counts_in_the_first(spark, monkeypatch, parts):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[:12] + [f"v{k}" for k in range(40)]))]
+    crowds = {0: (10, (1, 2)), 1: (20, (1, 2, 3)), 2: (10, (1, 2))}
+    found = [(s, run, bucket, len(members), 60 * len(members)) for run, (bucket, members) in reversed(crowds.items()) for s in members]
+    buckets = spark.createDataFrame(found, "set_id long, run int, bucket long, n long, total long").repartition(parts, "run")
+    buckets = buckets.sortWithinPartitions(F.desc("run"))
+    monkeypatch.setattr(jaccard_join, "_buckets", lambda *_: buckets)
+    got = jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()), key=str) == classes_by_brute_force(rows)
+
+
 def test_classes_of_nothing(spark):
     assert jaccard_join.join_similar(spark.createDataFrame([], "doc_id string, text string")).collect() == []
 
