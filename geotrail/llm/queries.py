@@ -55,10 +55,13 @@ def op4_nearest(spark, d):
 
 @query
 def op5_chat(spark, d):
-    """All conversations in the turn template, and one whose texts are full of control strings."""
+    """All conversations in the turn template, and one whose texts are full of control strings.
+
+    Outputs of each turn with and without the next one are compared; the template looks back at nothing.
+    """
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
-    return chat.digest_turns(chat.format_turns(rows.unionByName(hard)))
+    return chat.digest_turns(chat.format_turns(rows.unionByName(hard), context=1))
 
 
 @query

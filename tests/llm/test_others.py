@@ -44,6 +44,32 @@ def test_rewritten_history_is_found(spark):
     assert got == {(1, 0): False, (1, 1): False, (1, 2): True, (2, 0): False, (2, 1): False}
 
 
+def test_prefixes_are_rendered_by_default(spark):
+    def begins_once(messages):
+        """A template with a begin mark and without the thoughts of earlier turns."""
+        last = len(messages) - 1
+        return "^" + "".join(f"<{r}>{t if k == last else re.sub('<think>.*?</think>', '', t)}</{r}>" for k, (r, t) in enumerate(messages))
+
+    turns = [("user", "q"), ("assistant", "<think>x</think>a"), ("user", "r"), ("assistant", "s")]
+    table = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_turns(table, begins_once).collect(), key=lambda r: r["position"])
+    for k, r in enumerate(got):
+        earlier, now = begins_once(turns[:k]), begins_once(turns[: k + 1])
+        shared = len(os.path.commonprefix([earlier, now]))
+        assert (r["piece"], r["start"], r["rewrites"]) == (now[shared:], shared, shared < len(earlier))
+    assert [r["rewrites"] for r in got] == [False, False, True, False]
+
+
+chat_format = chat.format_turns
+
+
+def test_query_compares_outputs(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(chat, "format_turns", lambda rows, **how: asked.append(how.get("context")) or chat_format(rows, **how))
+    queries.op5_chat(spark, sf_dir)
+    assert asked and asked[0] != 0
+
+
 def digests(rows):
     turns = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3]))
     out = {}
