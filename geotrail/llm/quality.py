@@ -135,9 +135,11 @@ def train(
     known = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     drawn = bounded_sample(known, "label", F.col("key"), sample_docs, sample_docs, F.lit(1))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
-    order = Window.partitionBy("label").orderBy("key", "text").rowsBetween(Window.unboundedPreceding, 0)
+    # texts above the bound come last, so they cost no other text its place; the smallest is taken if there is no other
+    above = F.greatest(F.length("text"), F.lit(sample_chars))
+    order = Window.partitionBy("label").orderBy(above, "key", "text").rowsBetween(Window.unboundedPreceding, 0)
     sample = rows.withColumns({"n": F.row_number().over(order), "chars": F.sum(F.length("text")).over(order)})
-    sample = sample.where((F.col("n") <= sample_docs) & (F.col("chars") <= sample_chars)).select("key", "label", "text")
+    sample = sample.where((F.col("n") <= sample_docs) & ((F.col("chars") <= sample_chars) | (F.col("n") == 1))).select("key", "label", "text")
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "label", "text"])

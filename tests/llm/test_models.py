@@ -66,6 +66,24 @@ def test_sample_is_bounded(spark):
     assert bounded_sample(docs, "g", F.col("doc_id"), 50, 40, F.length("text")).count() == 10
 
 
+def test_long_texts_take_no_place_in_samples(spark):
+    import corpus_pipeline
+    from geotrail.llm.sampling import bounded_sample
+
+    texts = [(k, "en", f"hello there my friend {k}") for k in range(20)] + [(k, "de", "sehr " * (900 + k)) for k in range(100, 103)]
+    texts += [(k, "en", "long " * 2000) for k in range(20, 40)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    kept = {r["doc_id"] for r in bounded_sample(docs, "lang", F.col("doc_id"), 50, 1000, F.length("text")).collect()}
+    assert kept == {*range(20), 100}
+    assert list(language_id.train(docs, sample_chars=1000).languages) == ["de", "en"]
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 30, 1).otherwise(0).alias("quality"))
+    odd = docs.withColumn("doc_id", -F.col("doc_id"))
+    model = quality.train(odd, labels.withColumn("doc_id", -F.col("doc_id")), sample_chars=1000)
+    assert model.logit.any()
+    unknown = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(90, None, "12 !"), (91, None, None)], docs.schema))
+    assert corpus_pipeline.identify_language(spark, unknown, "").count() == len(texts)
+
+
 def test_quality_of_held_out_documents(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.01")
     got = queries.op10_quality(spark, big).toPandas()
