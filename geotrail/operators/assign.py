@@ -82,7 +82,7 @@ def _cells_at(regions: DataFrame, stop: int) -> DataFrame:
 
 
 def assign_kdtree(points: DataFrame, model: SpatialModel) -> DataFrame:
-    """One comparison with a cut for each level."""
+    """One comparison with a cut for each level, looked up by node."""
     walked = _walk(points, model.cuts, model.shape["depth"])
     return walked.withColumn("loc", _in_bounds_or_outside(kd_name(F.col("node")), model)).drop("node")
 

@@ -7,20 +7,23 @@ points needs. Model tables are as small as the model, never as large as the data
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.cells import cell, coarser
 from geotrail.functions.predicates import box_touches_region, circle_touches_region, in_bounds
 from geotrail.functions.sqltext import sql
 from geotrail.params import Bounds, require_positive
-from geotrail.scratch import publish, publish_with_facts
+from geotrail.scratch import BROADCAST_ROWS, publish, publish_with_facts
 
 ACCURACY = 100_000
-"""Accuracy of percentile sketches: exact for groups up to about this many points."""
+"""Accuracy of the sketches that lay out buckets; cuts are exact with any."""
+BUCKET_POINTS = 50_000
+"""Points in a bucket of one group, about, of which those with a cut are sorted."""
 
 
 @dataclass(frozen=True)
@@ -105,10 +108,15 @@ def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth:
 
     Split nodes name themselves and their four children; the nodes never named as split
     are the leaves, empty ones included, so they tile the bounds. Keys stay integers; the
-    name comes last.
+    name comes last. Leaves of ``max_depth`` are not split; how many of them hold more than
+    ``capacity`` is logged and in ``shape["over_full"]``.
     """
     require_positive(capacity=capacity, max_depth=max_depth)
-    split = quadtree_counts(sample, bounds, max_depth).where((F.col("n") > capacity) & (F.col("level") < max_depth))
+    over = F.count_if((F.col("level") == max_depth) & (F.col("n") > capacity)).alias("over_full")
+    counts, facts = publish_with_facts(quadtree_counts(sample, bounds, max_depth), "quadtree-counts", over)
+    if facts["over_full"]:
+        logging.getLogger(__name__).warning("quadtree: %d leaves of depth %d hold more than %d points", facts["over_full"], max_depth, capacity)
+    split = counts.where((F.col("n") > capacity) & (F.col("level") < max_depth))
 
     named = """inline(array(named_struct('level', level, 'ix', ix, 'iy', iy, 'is_split', true), {}))""".format(
         ", ".join(
@@ -132,7 +140,7 @@ def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth:
         *(F.expr(f"count_if(level = {n})").alias(str(n)) for n in range(max_depth + 1)),
     )
     regions_at = [seen[str(n)] for n in range(max_depth + 1)]
-    return SpatialModel("quadtree", bounds, regions, {"max_depth": max_depth, "regions_at": regions_at})
+    return SpatialModel("quadtree", bounds, regions, {"max_depth": max_depth, "regions_at": regions_at, "over_full": facts["over_full"]})
 
 
 # ---- k-d tree ---------------------------------------------------------------------
@@ -141,26 +149,55 @@ def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth:
 def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int = ACCURACY) -> SpatialModel:
     """Halves every node at its median, x and y in turn, until nodes fit ``capacity``.
 
-    One aggregation for each level. Only the medians come to the driver, one number
-    for each inner node. A node without sample points is not cut: its left child keeps
-    the whole box and its right child is empty.
+    Exact medians for each level, as a table ``node, cut`` that stays in the cluster. A
+    node without sample points is not cut: its left child keeps the whole box and its
+    right child is empty.
     """
     require_positive(capacity=capacity, accuracy=accuracy)
     spark = sample.sparkSession
     inside, n = _kept(sample.where(in_bounds("x", "y", bounds)))
     depth = max(0, math.ceil(math.log2(n / capacity))) if n else 0
-    cuts: list[float] = []
+    table = spark.createDataFrame([], "node long, cut double")
     walked = inside.withColumn("node", F.expr("1L"))
     for level in range(depth):
-        medians = walked.groupBy("node").agg(F.percentile_approx("xy"[level % 2], 0.5, accuracy).alias("cut"))
-        found = {row["node"]: row["cut"] for row in medians.collect()}
-        cuts_here = [found.get(node, math.inf) for node in range(2**level, 2 ** (level + 1))]
-        walked = _descend(walked, _cut_table(spark, cuts_here), level, first=2**level)
-        cuts += cuts_here
-    table = _cut_table(spark, cuts)
+        cuts = exact_cuts(walked, "node", "xy"[level % 2], [0.5], n / 2**level, accuracy)
+        here = publish(cuts.select("node", F.col("cuts")[0].alias("cut")), "kdtree-cuts")
+        walked = _descend(walked, here, level)
+        table = here if not level else table.unionByName(here)
+    if depth:
+        table = publish(table, "kdtree-table")
     return SpatialModel("kdtree", bounds, publish(_kd_regions(spark, table, depth, bounds), "kdtree"), {"depth": depth}, table)
 
 
+def exact_cuts(points: DataFrame, group: str, axis: str, shares: list[float], expected: float, accuracy: int = ACCURACY) -> DataFrame:
+    """``group, cuts``: for each of the ``shares``, the value of rank ceil(share * n) in its group, exactly.
+
+    Sketches lay out buckets of about ``BUCKET_POINTS`` of the ``expected`` points of a
+    group. Buckets are counted, running totals say which of them hold a cut, and only the
+    distinct values of those are sorted, each bucket for itself.
+    """
+    n_edges = min(accuracy, math.ceil(expected / BUCKET_POINTS)) - 1
+    values = points.select(group, F.col(axis).alias("v")).where(F.col("v").isNotNull())
+    if n_edges > 0:
+        at = [k / (n_edges + 1) for k in range(1, n_edges + 1)]
+        edges = publish(values.groupBy(group).agg(F.percentile_approx("v", at, accuracy).alias("_edges")), "edges")
+        values = _search(values.join(edges, group), "bucket", F.col("_edges"), "v", n_edges, "0")
+    else:
+        values = values.withColumn("bucket", F.lit(0))
+    values = publish(values.groupBy(group, "bucket", "v").agg(F.count(F.lit(1)).alias("c")), "values")
+    up = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    totals = values.groupBy(group, "bucket").agg(F.sum("c").alias("m")).withColumn("upto", F.sum("m").over(up))
+    totals = totals.withColumn("n", F.sum("m").over(Window.partitionBy(group)))
+    wanted = F.array(*(F.ceil(F.lit(float(s)) * F.col("n")).cast("long") for s in shares))
+    totals = totals.withColumn("wanted", F.filter(wanted, lambda r: (r > F.col("upto") - F.col("m")) & (r <= F.col("upto"))))
+    holding = totals.where(F.size("wanted") > 0).select(group, "bucket", (F.col("upto") - F.col("m")).alias("before"), "wanted")
+    run = Window.partitionBy(group, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.join(holding, [group, "bucket"]).withColumn("upto", F.col("before") + F.sum("c").over(run))
+    hits = F.filter("wanted", lambda r: (r > F.col("upto") - F.col("c")) & (r <= F.col("upto")))
+    found = ranked.select(group, "v", F.size(hits).alias("times")).where("times > 0")
+    return found.groupBy(group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("v", "times"))), lambda s: F.array_repeat(s["v"], s["times"]))).alias("cuts"))
+
+
 def _kept(sample: DataFrame) -> tuple[DataFrame, int]:
     """The sample as a table of its own, in files of a good size, and its row count.
 
@@ -170,12 +207,6 @@ def _kept(sample: DataFrame) -> tuple[DataFrame, int]:
     return table, facts["n"]
 
 
-def _cut_table(spark: SparkSession, cuts: list[float]) -> DataFrame:
-    """One row with all cuts: a row of the JVM, for which no Python worker has to start."""
-    text = ",".join(repr(float(c)) for c in cuts)
-    return spark.range(1).selectExpr(f"transform(filter(split('{text}', ','), c -> c != ''), c -> double(c)) AS cuts")
-
-
 def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Sets column ``name``, and keeps it computed once.
 
@@ -187,17 +218,24 @@ def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*kept, value.alias("_next")).select(*kept, F.explode(F.array("_next")).alias(name))
 
 
-def _descend(walked: DataFrame, cuts: DataFrame, level: int, first: int = 1) -> DataFrame:
-    """Replaces ``node`` by its child that holds the point; ``cuts`` starts at node ``first``."""
-    right = F.col("xy"[level % 2]) >= F.get(cuts.scalar(), F.expr(f"int(node - {first})"))
-    return _computed(walked, "node", F.col("node") * 2 + F.when(right, 1).otherwise(0))
+def _descend(walked: DataFrame, cuts: DataFrame, level: int) -> DataFrame:
+    """Replaces ``node`` by its child that holds the point; ``cuts`` are those of ``level``."""
+    small = 2**level <= BROADCAST_ROWS
+    cuts = cuts.withColumnRenamed("cut", "_cut")
+    met = walked.join(F.broadcast(cuts) if small else cuts, "node", "left")
+    right = F.coalesce(F.col("xy"[level % 2]) >= F.col("_cut"), F.lit(False))
+    return met.select(*(c for c in walked.columns if c != "node"), (F.col("node") * 2 + F.when(right, 1).otherwise(0)).alias("node"))
+
+
+def _cuts_at(cuts: DataFrame, level: int) -> DataFrame:
+    return cuts.where((F.col("node") >= 2**level) & (F.col("node") < 2 ** (level + 1)))
 
 
 def _walk(points: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
     """Adds ``node``: heap number of the node at ``depth`` that holds the point."""
     walked = points.withColumn("node", F.expr("1L"))
     for level in range(depth):
-        walked = _descend(walked, cuts, level)
+        walked = _descend(walked, _cuts_at(cuts, level), level)
     return walked
 
 
@@ -214,15 +252,14 @@ def _kd_regions(spark: SparkSession, cuts: DataFrame, depth: int, bounds: Bounds
         F.lit(float(bounds.max_x)).alias("x1"),
         F.lit(float(bounds.max_y)).alias("y1"),
     )
-    if depth:
-        boxes = boxes.withColumn("_cuts", cuts.scalar())
     for level in range(depth):
         axis = "xy"[level % 2]
         low, high = f"{axis}0", f"{axis}1"
         parent, right = coarser("node", depth - level), f"{coarser('node', depth - level - 1)} % 2 = 1"
-        boxes = boxes.withColumn("_cut", F.expr(f"least(element_at(_cuts, int({parent})), {high})")).withColumns(
-            {low: F.expr(f"if({right}, _cut, {low})"), high: F.expr(f"if({right}, {high}, _cut)")}
-        )
+        here = _cuts_at(cuts, level).withColumnRenamed("node", "_parent")
+        boxes = boxes.withColumn("_parent", F.expr(parent)).join(here, "_parent", "left").withColumn("_cut", F.expr(f"least(cut, {high})"))
+        boxes = boxes.withColumns({low: F.expr(f"if({right}, _cut, {low})"), high: F.expr(f"if({right}, {high}, _cut)")})
+        boxes = boxes.drop("_parent", "_cut", "cut")
     return boxes.select(kd_name(F.col("node")).alias("loc"), "node", "x0", "y0", "x1", "y1")
 
 
@@ -232,8 +269,8 @@ def _kd_regions(spark: SparkSession, cuts: DataFrame, depth: int, bounds: Bounds
 def build_strtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int = ACCURACY) -> SpatialModel:
     """Sort-tile-recursive packing: equal slabs by x, then equal tiles by y in each slab.
 
-    The outer tiles have no outer edges, so every point has a tile. Cuts come from
-    percentile sketches, merged from partial ones: no group is gathered.
+    The outer tiles have no outer edges, so every point has a tile. Cuts are exact, from
+    counted buckets: no group is gathered.
     """
     require_positive(capacity=capacity, accuracy=accuracy)
     spark = sample.sparkSession
@@ -242,11 +279,14 @@ def build_strtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: in
     shares = [i / side for i in range(1, side)]
     no_cuts = F.array().cast("array<double>")
 
-    def cuts_of(axis: str) -> Column:
-        return F.percentile_approx(axis, shares, accuracy) if shares else F.first(no_cuts)
+    def cuts_of(points: DataFrame, group: str, axis: str, expected: float) -> DataFrame:
+        if not shares:
+            return points.groupBy(group).agg(F.first(no_cuts).alias("cuts"))
+        return exact_cuts(points, group, axis, shares, expected, accuracy)
 
-    x_cuts = publish(sample.agg(cuts_of("x").alias("xs")), "strtree-x")
-    slabs = _slab(sample, x_cuts, side).groupBy("slab").agg(cuts_of("y").alias("ys"))
+    every = cuts_of(sample.withColumn("every", F.lit(0)), "every", "x", n)
+    x_cuts = publish(every.agg(F.coalesce(F.first("cuts"), no_cuts).alias("xs")), "strtree-x")
+    slabs = cuts_of(_slab(sample, x_cuts, side), "slab", "y", n / side).withColumnRenamed("cuts", "ys")
     # a slab without sample points (equal cuts) is one open tile and side - 1 empty ones
     open_tiles = F.array_repeat(F.lit(math.inf), side - 1)
     y_cuts = publish(
@@ -286,15 +326,16 @@ def str_name(slab: Column, tile: Column) -> Column:
     return F.concat(F.lit("s"), slab.cast("string"), F.lit("_"), tile.cast("string"))
 
 
-def _search(df: DataFrame, name: str, cuts: DataFrame, value: str, n: int, start: str) -> DataFrame:
+def _search(df: DataFrame, name: str, cuts: DataFrame | Column, value: str, n: int, start: str) -> DataFrame:
     """Adds ``name``: how many of the ``n`` sorted cuts from place ``start`` on are <= ``value``.
 
     Binary search, one comparison for each bit of the answer.
     """
     found = df.withColumn(name, F.expr("0"))
+    held = cuts.scalar() if isinstance(cuts, DataFrame) else cuts
     for bit in reversed(range(n.bit_length())):
         step = 1 << bit
-        cut = F.get(cuts.scalar(), F.expr(f"int({start} + {name} + {step - 1})"))
+        cut = F.get(held, F.expr(f"int({start} + {name} + {step - 1})"))
         ahead = F.expr(f"{name} + {step} <= {n}") & (cut <= F.col(value))
         found = _computed(found, name, F.when(ahead, F.expr(f"{name} + {step}")).otherwise(F.col(name)))
     return found

@@ -1,5 +1,7 @@
 """Regions tile the bounds, hold what they may, and every point has exactly one."""
 
+import math
+
 import pytest
 from helpers import EDGE_POINTS, KINDS, build, points_of, rows
 from pyspark.sql import functions as F
@@ -48,6 +50,17 @@ def test_kd_leaves_are_even(spark, sf_dir):
     assert max(counts) <= 110 and sum(counts) == points.count()
 
 
+def test_cuts_are_exact_with_any_sketch(spark, monkeypatch):
+    points = spark.range(6000).selectExpr("double((id * 7919) % 5003) / 5 AS x", "double((id * 104729) % 997) AS y")
+    monkeypatch.setattr(models, "BUCKET_POINTS", 300)
+    own = sorted(r["x"] for r in points.collect())
+    for build_model, shares in ((models.build_strtree, [k / 6 for k in range(1, 6)]), (models.build_kdtree, [0.5])):
+        model = build_model(points, i.BOUNDS, 200, accuracy=10)
+        got = model.cuts.first()["xs"] if model.kind == "strtree" else [model.cuts.where("node = 1").first()["cut"]]
+        assert got == [own[math.ceil(share * 6000) - 1] for share in shares]
+    assert models.build_quadtree(points_of(spark, [("a", 5.0, 5.0, 1)] * 50), i.BOUNDS, 10).shape["over_full"] == 1
+
+
 def test_edge_points(spark):
     points = points_of(spark, EDGE_POINTS)
     model = models.build_grid(spark, i.BOUNDS, 256, 256)
