@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the given tables, and their SQL."""
+"""The queries of the thirteen operators over the given tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import chat, decontamination, hnsw, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, url_filters
+from geotrail.llm import (
+    chat,
+    decontamination,
+    hnsw,
+    jaccard_join,
+    language_id,
+    packing,
+    quality,
+    resampling,
+    sharding,
+    substring_dedup,
+    token_counts,
+    url_filters,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,3 +161,85 @@ def op10_quality(spark, d):
     model = quality.train(docs, labels)
     scored = quality.score(docs, model, keep=["doc_id", (fold(5) == 0).alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+CRC_TABLE = """crc_table AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+        lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+"""The 256 entries of CRC-32, for SQL."""
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text beside ``crc_table``, in SQL."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: xor(crcs[xor(c, b) % 256 + 1], c >> 8)), 4294967295)"
+
+
+@query
+def op11_sharding(spark, d):
+    """All documents in 16 shards of near equal bytes."""
+    placed = sharding.shard(table(spark, d, "documents"), shards=16)
+    crc = F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("text_crc32")
+    return placed.select("doc_id", "size", crc, "law", "shard", "slot", "grown_shard")
+
+
+SQL["op11_sharding"] = f"""
+WITH {CRC_TABLE}, d AS (
+    SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size,
+           ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k
+    FROM documents
+), o AS (
+    SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS below FROM d
+), all_bytes AS (
+    SELECT sum(size) AS total FROM d
+), b AS (
+    SELECT s.s, arg_min(p.below, abs(p.below - total * s.s // 16) * 2 + CASE WHEN p.below > total * s.s // 16 THEN 1 ELSE 0 END) AS cut
+    FROM (SELECT unnest(range(1, 16)) AS s) s, all_bytes, (SELECT below FROM o UNION ALL SELECT total FROM all_bytes) p GROUP BY s.s
+), placed AS (
+    SELECT *, (SELECT count(*) FROM b WHERE cut <= below) AS shard FROM o
+)
+SELECT doc_id, size, {sql_crc32('text')} AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY below) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM placed, crc_table
+"""
+
+
+@query
+def op12_resampling(spark, d):
+    """All documents with their weight towards the benchmark, a tenth of them drawn."""
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"), percent=10, min_words=20, buckets=10_000, seed=2024)
+
+
+SQL["op12_resampling"] = rf"""
+WITH {CRC_TABLE}, texts AS (
+    SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+    SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), v AS (
+    SELECT word, {sql_crc32('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc_table
+), f AS MATERIALIZED (
+    SELECT side, id, bucket, count(*) AS n FROM w JOIN v USING (word) GROUP BY ALL
+), g AS (
+    SELECT b.bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t
+    FROM (SELECT unnest(range(0, 10000)) AS bucket) b LEFT JOIN f ON b.bucket = f.bucket GROUP BY b.bucket
+), gain AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM g
+), weighed AS (
+    SELECT id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM documents LEFT JOIN weighed ON id = doc_id
+), ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS k FROM scored WHERE n_features >= 20
+)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query
+def op13_whitening(spark, d):
+    """Every embedding on the first four whitened components."""
+    rows = table(spark, d, "embeddings")
+    return whitening.whiten(rows, whitening.fit_whitening(rows, components=4), components=4)
