@@ -27,7 +27,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotrail.scratch import publish_with_facts
@@ -35,7 +35,7 @@ from geotrail.scratch import publish_with_facts
 PART_BYTES = 64 << 20
 MAX_PARTS = 16_384
 """Parts of all shards together; beyond it parts grow, and are sorted on disk."""
-PROBES = 65_536
+PROBES = 16_384
 PART_TOLERANCE = 0.02
 """How far, in parts, a boundary inside a shard may be off."""
 LAW = "bytes"
@@ -85,6 +85,11 @@ def row_size(text: str) -> Column:
     return F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
 
 
+def _listed(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A small table, written into the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(f.replace(' ', ': ') for f in fields.split(', '))}>>")))
+
+
 def find_splitters(keys: DataFrame, total: int, rows: int, bounds: tuple, targets: dict[int, int], probes: int = PROBES) -> dict[int, Splitter]:
     """The splitter of each target: bytes wanted on the left -> how far it may be off.
 
@@ -97,8 +102,8 @@ def find_splitters(keys: DataFrame, total: int, rows: int, bounds: tuple, target
     ranges = [f(k).alias(f"{name}_{k}") for k in KEYS for name, f in (("low", F.min), ("high", F.max))]
     while open_now:
         each = max(16, probes // len(open_now))
-        asked = [(n, len(s.fixed), s.shift(each), s.low >> s.shift(each)) for n, s in open_now.items()]
-        probe = keys.sparkSession.createDataFrame(asked, "stretch int, level int, shift int, origin long")
+        asked = [{"stretch": n, "level": len(s.fixed), "shift": s.shift(each), "origin": s.low >> s.shift(each)} for n, s in open_now.items()]
+        probe = _listed(keys.sparkSession, asked, "stretch int, level int, shift int, origin bigint")
         value = F.element_at(F.array(*KEYS), F.col("level") + 1)
         bucket = F.call_function("shiftright", value, F.col("shift")) - F.col("origin")
         probed = keyed.join(F.broadcast(probe), "stretch").withColumn("bucket", bucket)
@@ -133,12 +138,12 @@ def find_splitters(keys: DataFrame, total: int, rows: int, bounds: tuple, target
                         while len(fixed) < len(KEYS) - 1 and c[f"low_k{len(fixed)}"] == c[f"high_k{len(fixed)}"]:
                             fixed = (*fixed, c[f"low_k{len(fixed)}"])
                     at = len(fixed)
-                    opened.append((n, c["bucket"], len(following)))
+                    opened.append({"stretch": n, "bucket": c["bucket"], "next": len(following)})
                     starts[len(following)] = (below, rows_below)
                     following[len(following)] = Stretch(fixed, c[f"low_k{at}"], c[f"high_k{at}"], inside)
                 below, rows_below = below + c["bytes"], rows_below + c["rows"]
         if following:
-            chosen = keys.sparkSession.createDataFrame(opened, "stretch int, bucket long, next int")
+            chosen = _listed(keys.sparkSession, opened, "stretch int, bucket bigint, next int")
             narrowed = probed.join(F.broadcast(chosen), ["stretch", "bucket"]).select(*KEYS, "size", F.col("next").alias("stretch"))
             keyed, _ = publish_with_facts(narrowed, "stretches", F.count(F.lit(1)).alias("n"))
         open_now, before = following, starts
