@@ -1,8 +1,8 @@
 """Region of each point: adds ``loc`` to a points table of any size, without a shuffle.
 
-Every assignment is a map over the points. The grid is arithmetic, the quadtree a
-chain of hash lookups in broadcast cell tables, k-d and STR models a few comparisons
-with the cuts of the model; all of it is generated code.
+The grid is arithmetic, the quadtree a chain of hash lookups in broadcast cell tables,
+k-d and STR models a few comparisons with the cuts of the model, which are an array in the
+plan; all of it is generated code. A model too large for that is joined.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geotrail.functions.cells import cell, coarser
 from geotrail.functions.predicates import in_bounds
 from geotrail.functions.sqltext import sql
-from geotrail.operators.models import SpatialModel, _search, _walk, kd_name, str_name
+from geotrail.operators.models import SpatialModel, kd_name, str_name, walk_kdtree, walk_tiles
 from geotrail.params import OUTSIDE
 from geotrail.scratch import BROADCAST_ROWS
 
@@ -82,16 +82,17 @@ def _cells_at(regions: DataFrame, stop: int) -> DataFrame:
 
 
 def assign_kdtree(points: DataFrame, model: SpatialModel) -> DataFrame:
-    """One comparison with a cut for each level, looked up by node."""
-    walked = _walk(points, model.cuts, model.shape["depth"])
-    return walked.withColumn("loc", _in_bounds_or_outside(kd_name(F.col("node")), model)).drop("node")
+    """A subscript and a comparison for each level, in an array of cuts that is part of the plan.
+
+    Only trees of more than 16 levels need a join, with the subtree that a point came to.
+    """
+    walked = walk_kdtree(points, model)
+    return walked.select(*points.columns, _in_bounds_or_outside(kd_name(F.col("_tree")), model).alias("loc"))
 
 
 def assign_strtree(points: DataFrame, model: SpatialModel) -> DataFrame:
     """Binary search for the slab, then for the tile in it. No point is outside."""
-    side = model.shape["side"]
-    if side == 1:
+    if model.shape["side"] == 1:
         return points.withColumn("loc", F.lit("s0_0"))
-    slabs = _search(points, "_slab", model.cuts.select("xs"), "x", side - 1, "0")
-    tiles = _search(slabs, "_tile", model.cuts.select("ys"), "y", side - 1, f"_slab * {side - 1}")
+    tiles = walk_tiles(points, model)
     return tiles.select(*points.columns, str_name(F.col("_slab"), F.col("_tile")).alias("loc"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import logging
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,24 +18,25 @@ from pyspark.sql import functions as F
 from geotrail.functions.cells import cell, coarser
 from geotrail.functions.predicates import box_touches_region, circle_touches_region, in_bounds
 from geotrail.functions.sqltext import sql
+from geotrail.operators.cuts import PACKED, in_heap, in_order, packed, select_cuts, sort_key, walk
 from geotrail.params import Bounds, require_positive
-from geotrail.scratch import BROADCAST_ROWS, publish, publish_with_facts
-
-ACCURACY = 100_000
-"""Accuracy of the sketches that lay out buckets; cuts are exact with any."""
-BUCKET_POINTS = 50_000
-"""Points in a bucket of one group, about, of which those with a cut are sorted."""
+from geotrail.scratch import publish, publish_with_facts
 
 
 @dataclass(frozen=True)
 class SpatialModel:
-    """A built model. ``kind`` is grid, quadtree, kdtree or strtree."""
+    """A built model. ``kind`` is grid, quadtree, kdtree or strtree.
+
+    ``cuts`` is the table of cuts of a k-d or STR model; ``top`` holds those that every
+    point meets, if they are at hand.
+    """
 
     kind: str
     bounds: Bounds
     regions: DataFrame
     shape: dict = field(default_factory=dict)
     cuts: DataFrame | None = None
+    top: list[float] | None = None
 
 
 def model_size(model: SpatialModel) -> DataFrame:
@@ -145,98 +147,141 @@ def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth:
 
 # ---- k-d tree ---------------------------------------------------------------------
 
+TOP_LEVELS = 16
+"""Levels of a k-d tree that are one array in the plan: 65,535 cuts."""
+LOWER_LEVELS = 10
+"""Levels below that are one row of the table of cuts: 1,023 cuts, 8 KB."""
+BROADCAST_BYTES = 64 << 20
+"""Largest table of cuts that is broadcast."""
+CHAINED = 30_000
+"""Most points of a node whose whole subtree is found in one task."""
+TASK_POINTS = 250_000
+"""Points of a task that finds subtrees, about."""
+
+
+def storeys(depth: int) -> list[tuple[int, int]]:
+    """First level and number of levels of each storey of a k-d tree."""
+    out = [(0, min(depth, TOP_LEVELS))]
+    while sum(out[-1]) < depth:
+        out.append((sum(out[-1]), min(LOWER_LEVELS, depth - sum(out[-1]))))
+    return out
 
-def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int = ACCURACY) -> SpatialModel:
+
+def build_kdtree(sample: DataFrame, bounds: Bounds, capacity: int) -> SpatialModel:
     """Halves every node at its median, x and y in turn, until nodes fit ``capacity``.
 
-    Exact medians for each level, as a table ``node, cut`` that stays in the cluster. A
-    node without sample points is not cut: its left child keeps the whole box and its
-    right child is empty.
+    Medians are exact. Those of a level are found together, in a few passes over the sample;
+    once no node holds more than ``CHAINED`` points, all levels below are found in one. The
+    cuts are kept in storeys, tables ``tree, cuts``: the array of a row holds the cuts of a
+    subtree, level after level, infinity where there is none. A node without sample points
+    is not cut: its left child keeps the whole box and its right child is empty.
     """
-    require_positive(capacity=capacity, accuracy=accuracy)
+    require_positive(capacity=capacity)
     spark = sample.sparkSession
-    inside, n = _kept(sample.where(in_bounds("x", "y", bounds)))
+    inside, facts = _keyed(sample.where(in_bounds("x", "y", bounds)))
+    n = largest = facts["n"]
     depth = max(0, math.ceil(math.log2(n / capacity))) if n else 0
-    table = spark.createDataFrame([], "node long, cut double")
-    walked = inside.withColumn("node", F.expr("1L"))
-    for level in range(depth):
-        cuts = exact_cuts(walked, "node", "xy"[level % 2], [0.5], n / 2**level, accuracy)
-        here = publish(cuts.select("node", F.col("cuts")[0].alias("cut")), "kdtree-cuts")
-        walked = _descend(walked, here, level)
-        table = here if not level else table.unionByName(here)
-    if depth:
-        table = publish(table, "kdtree-table")
-    return SpatialModel("kdtree", bounds, publish(_kd_regions(spark, table, depth, bounds), "kdtree"), {"depth": depth}, table)
-
-
-def exact_cuts(points: DataFrame, group: str, axis: str, shares: list[float], expected: float, accuracy: int = ACCURACY) -> DataFrame:
-    """``group, cuts``: for each of the ``shares``, the value of rank ceil(share * n) in its group, exactly.
-
-    Sketches lay out buckets of about ``BUCKET_POINTS`` of the ``expected`` points of a
-    group. Buckets are counted, running totals say which of them hold a cut, and only the
-    distinct values of those are sorted, each bucket for itself.
+    inside, top, tables = inside.withColumn("_tree", F.expr("1L")), [], []
+    for start, levels in storeys(depth):
+        if start:
+            inside = publish(_walk_kd(inside, tables[-1], top, *storeys(start)[-1]).hint("rebalance", "_tree"), "kdtree-sample")
+            largest = inside.groupBy("_tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        table, found, level = None, [], start
+        while level < start + levels:
+            here = _walk_kd(inside, table, top, start, level - start) if level > start else inside
+            if largest <= CHAINED:
+                cuts, following = _chained_cuts(here, n, level, start + levels), start + levels
+            else:
+                axis, following = "xy"[level % 2], level + 1
+                rows = here.select(F.col("_tree").alias("node"), F.col(f"k{axis}").alias("k"), F.col(axis).alias("v"))
+                cuts = select_cuts(rows, 2, n, largest, facts[f"low_{axis}"], facts[f"high_{axis}"])
+                cuts = cuts.selectExpr("node", "cuts[0].v AS v", "greatest(cuts[0].below, n - cuts[0].below) AS larger")
+            if start:
+                cuts, seen = publish_with_facts(cuts, "kdtree-cuts", F.max("larger").alias("larger"))
+                largest, found = seen["larger"] or largest, [*found, cuts]
+                table = publish(_subtrees(reduce(DataFrame.unionByName, found), start, following), "kdtree-subtrees")
+            else:
+                own = {r["node"]: r for r in cuts.collect()}
+                top += [own[k]["v"] if k in own else math.inf for k in range(2**level, 2**following)]
+                largest = max((r["larger"] or largest for r in own.values()), default=largest)
+            level = following
+        tables.append(table if start else spark.createDataFrame([(1, top)], "tree long, cuts array<double>"))
+    cuts = publish(reduce(DataFrame.unionByName, tables), "kdtree-table") if len(tables) > 1 else tables[0]
+    model = SpatialModel("kdtree", bounds, None, {"depth": depth}, cuts, top)
+    return replace(model, regions=publish(_kd_regions(model), "kdtree"))
+
+
+def _chained_cuts(rows: DataFrame, n: int, level: int, until: int) -> DataFrame:
+    """Medians of all nodes from ``level`` to ``until``: ``node, v, larger``; larger is null.
+
+    ``_tree`` names nodes of few points. They are moved once, neighbours to one task; the
+    levels below follow in that task, each a sort and a running number.
     """
-    n_edges = min(accuracy, math.ceil(expected / BUCKET_POINTS)) - 1
-    values = points.select(group, F.col(axis).alias("v")).where(F.col("v").isNotNull())
-    if n_edges > 0:
-        at = [k / (n_edges + 1) for k in range(1, n_edges + 1)]
-        edges = publish(values.groupBy(group).agg(F.percentile_approx("v", at, accuracy).alias("_edges")), "edges")
-        values = _search(values.join(edges, group), "bucket", F.col("_edges"), "v", n_edges, "0")
-    else:
-        values = values.withColumn("bucket", F.lit(0))
-    values = publish(values.groupBy(group, "bucket", "v").agg(F.count(F.lit(1)).alias("c")), "values")
-    up = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = values.groupBy(group, "bucket").agg(F.sum("c").alias("m")).withColumn("upto", F.sum("m").over(up))
-    totals = totals.withColumn("n", F.sum("m").over(Window.partitionBy(group)))
-    wanted = F.array(*(F.ceil(F.lit(float(s)) * F.col("n")).cast("long") for s in shares))
-    totals = totals.withColumn("wanted", F.filter(wanted, lambda r: (r > F.col("upto") - F.col("m")) & (r <= F.col("upto"))))
-    holding = totals.where(F.size("wanted") > 0).select(group, "bucket", (F.col("upto") - F.col("m")).alias("before"), "wanted")
-    run = Window.partitionBy(group, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.join(holding, [group, "bucket"]).withColumn("upto", F.col("before") + F.sum("c").over(run))
-    hits = F.filter("wanted", lambda r: (r > F.col("upto") - F.col("c")) & (r <= F.col("upto")))
-    found = ranked.select(group, "v", F.size(hits).alias("times")).where("times > 0")
-    return found.groupBy(group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("v", "times"))), lambda s: F.array_repeat(s["v"], s["times"]))).alias("cuts"))
-
-
-def _kept(sample: DataFrame) -> tuple[DataFrame, int]:
-    """The sample as a table of its own, in files of a good size, and its row count.
-
-    Several passes follow; they must not read the full data and sample it each time.
+    spark = rows.sparkSession
+    tasks = min(2**level, max(spark.sparkContext.defaultParallelism, -(-n // TASK_POINTS)))
+    none = F.array().cast("array<struct<node: bigint, v: double>>")
+    task = F.expr(f"int((_tree - {2**level}L) * {tasks}L div {2**level}L)").alias("_task")
+    walked = rows.select(task, F.col("_tree").alias("_node"), "x", "y", "kx", "ky", none.alias("_found")).repartitionById(tasks, "_task")
+    for k in range(level, until):
+        axis = "xy"[k % 2]
+        own = Window.partitionBy("_task", "_node").orderBy(f"k{axis}")
+        every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        one = F.count(F.lit(1))
+        walked = walked.withColumns({"_n": one.over(every), "_place": F.row_number().over(own), "_upto": one.over(own)})
+        middle = F.ceil(F.col("_n") * F.lit(0.5))
+        cut = F.array(F.struct(F.col("_node").alias("node"), F.col(axis).alias("v")))
+        found = F.when(F.col("_place") == middle, F.concat("_found", cut)).otherwise(F.col("_found"))
+        # at or above the median are the rows with so many rows up to their value
+        node = F.col("_node") * 2 + F.when(F.col("_upto") >= middle, 1).otherwise(0)
+        walked = walked.select("_task", node.alias("_node"), "x", "y", "kx", "ky", found.alias("_found"))
+    return walked.select(F.inline("_found")).withColumn("larger", F.lit(None).cast("long"))
+
+
+def _subtrees(cuts: DataFrame, start: int, until: int) -> DataFrame:
+    """Arrays of the cuts (node, v) below the nodes of level ``start``, level after level."""
+    deep = F.length(F.bin("node")) - 1 - start
+    tree = F.call_function("shiftright", "node", deep)
+    place = F.col("node") - F.call_function("shiftleft", tree, deep) + F.call_function("shiftleft", F.lit(1).cast("long"), deep) - 1
+    own = cuts.select(tree.alias("tree"), F.struct(place.alias("place"), "v").alias("own")).groupBy("tree").agg(F.map_from_entries(F.collect_list("own")).alias("own"))
+    places = F.sequence(F.lit(0), F.lit(2 ** (until - start) - 2))
+    return own.select("tree", F.transform(places, lambda k: F.coalesce(F.try_element_at("own", k.cast("long")), F.lit(math.inf))).alias("cuts"))
+
+
+def _walk_kd(points: DataFrame, table: DataFrame | None, top: list[float], start: int, levels: int) -> DataFrame:
+    """Moves ``_tree``, the heap number of a node at level ``start``, down by ``levels``.
+
+    The first storey is an array in the plan. For a lower one, points meet the array of
+    their subtree; the path through it is generated code again.
     """
-    table, facts = publish_with_facts(sample.select("x", "y").hint("rebalance"), "sample", F.count(F.lit(1)).alias("n"))
-    return table, facts["n"]
-
-
-def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Sets column ``name``, and keeps it computed once.
-
-    A chain of projections that use their predecessor twice is copied into every filter
-    above it, twice for each link. Filters on the output of ``explode`` stay above it, and
-    the explode of one element is a plain loop of generated code.
-    """
-    kept = [c for c in df.columns if c != name]
-    return df.select(*kept, value.alias("_next")).select(*kept, F.explode(F.array("_next")).alias(name))
-
-
-def _descend(walked: DataFrame, cuts: DataFrame, level: int) -> DataFrame:
-    """Replaces ``node`` by its child that holds the point; ``cuts`` are those of ``level``."""
-    small = 2**level <= BROADCAST_ROWS
-    cuts = cuts.withColumnRenamed("cut", "_cut")
-    met = walked.join(F.broadcast(cuts) if small else cuts, "node", "left")
-    right = F.coalesce(F.col("xy"[level % 2]) >= F.col("_cut"), F.lit(False))
-    return met.select(*(c for c in walked.columns if c != "node"), (F.col("node") * 2 + F.when(right, 1).otherwise(0)).alias("node"))
+    value = lambda level: F.col("xy"[(start + level) % 2])
+    if not start:
+        walked = walk(points, "_path", packed(top[: 2**levels - 1]), levels, in_heap, value)
+    else:
+        held = table.select(F.col("tree").alias("_tree"), F.col("cuts").alias("_cuts"))
+        small = 2 ** (start + levels) * 8 <= BROADCAST_BYTES
+        met = points.join(F.broadcast(held) if small else held, "_tree", "left")
+        walked = walk(met, "_path", F.col("_cuts"), levels, in_heap, value).drop("_cuts")
+    return walked.withColumn("_tree", F.shiftleft("_tree", levels) + F.col("_path")).drop("_path")
+
+
+def walk_kdtree(points: DataFrame, model: SpatialModel) -> DataFrame:
+    """Adds ``_tree``: heap number of the leaf that holds the point."""
+    walked, top = points.withColumn("_tree", F.expr("1L")), top_cuts(model)
+    for start, levels in storeys(model.shape["depth"]):
+        if levels:
+            walked = _walk_kd(walked, _storey(model, start), top, start, levels)
+    return walked
 
 
-def _cuts_at(cuts: DataFrame, level: int) -> DataFrame:
-    return cuts.where((F.col("node") >= 2**level) & (F.col("node") < 2 ** (level + 1)))
+def _storey(model: SpatialModel, start: int) -> DataFrame:
+    return model.cuts.where((F.col("tree") >= 2**start) & (F.col("tree") < 2 ** (start + 1)))
 
 
-def _walk(points: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
-    """Adds ``node``: heap number of the node at ``depth`` that holds the point."""
-    walked = points.withColumn("node", F.expr("1L"))
-    for level in range(depth):
-        walked = _descend(walked, _cuts_at(cuts, level), level)
-    return walked
+def top_cuts(model: SpatialModel) -> list[float]:
+    """The cuts of the first storey, at most 65,535."""
+    if model.top is not None:
+        return model.top
+    return model.cuts.where("tree = 1").first()["cuts"]
 
 
 def kd_name(node: Column) -> Column:
@@ -244,105 +289,138 @@ def kd_name(node: Column) -> Column:
     return F.concat(F.lit("k"), F.substring(F.bin(node), 2, 64))
 
 
-def _kd_regions(spark: SparkSession, cuts: DataFrame, depth: int, bounds: Bounds) -> DataFrame:
-    boxes = spark.range(2**depth, 2 ** (depth + 1)).select(
-        F.col("id").alias("node"),
-        F.lit(float(bounds.min_x)).alias("x0"),
-        F.lit(float(bounds.min_y)).alias("y0"),
-        F.lit(float(bounds.max_x)).alias("x1"),
-        F.lit(float(bounds.max_y)).alias("y1"),
-    )
-    for level in range(depth):
-        axis = "xy"[level % 2]
-        low, high = f"{axis}0", f"{axis}1"
-        parent, right = coarser("node", depth - level), f"{coarser('node', depth - level - 1)} % 2 = 1"
-        here = _cuts_at(cuts, level).withColumnRenamed("node", "_parent")
-        boxes = boxes.withColumn("_parent", F.expr(parent)).join(here, "_parent", "left").withColumn("_cut", F.expr(f"least(cut, {high})"))
-        boxes = boxes.withColumns({low: F.expr(f"if({right}, _cut, {low})"), high: F.expr(f"if({right}, {high}, _cut)")})
-        boxes = boxes.drop("_parent", "_cut", "cut")
-    return boxes.select(kd_name(F.col("node")).alias("loc"), "node", "x0", "y0", "x1", "y1")
+def _kd_regions(model: SpatialModel) -> DataFrame:
+    """Boxes of the leaves; every edge follows from the cuts above a leaf, which its number names."""
+    b, depth, top = model.bounds, model.shape["depth"], top_cuts(model)
+    spark = model.cuts.sparkSession
+    boxes = spark.range(2**depth, 2 ** (depth + 1)).withColumnRenamed("id", "node")
+    edges = {"x0": [F.lit(float(b.min_x))], "y0": [F.lit(float(b.min_y))], "x1": [F.lit(float(b.max_x))], "y1": [F.lit(float(b.max_y))]}
+    for start, levels in storeys(depth):
+        if not levels:
+            continue
+        cuts = F.lit(None)
+        if start:
+            name = f"_cuts{start}"
+            boxes = boxes.withColumn("tree", F.shiftright("node", depth - start))
+            boxes = boxes.join(_storey(model, start).withColumnRenamed("cuts", name), "tree", "left").drop("tree")
+            cuts = F.coalesce(name, F.array().cast("array<double>"))
+        else:
+            cuts = packed(top)
+        for level in range(start, start + levels):
+            place = F.expr(f"shiftright(node, {depth - level}) - shiftleft(shiftright(node, {depth - start}), {level - start}) + {2 ** (level - start) - 1}")
+            cut = F.coalesce(F.get(cuts, place.cast("int")), F.lit(math.inf))
+            right = F.expr(f"shiftright(node, {depth - level - 1}) % 2 = 1")
+            axis = "xy"[level % 2]
+            edges[f"{axis}0"].append(F.when(right, cut))
+            edges[f"{axis}1"].append(F.when(~right, cut))
+    box = {}
+    for axis in "xy":
+        high = F.least(*edges[f"{axis}1"]) if len(edges[f"{axis}1"]) > 1 else edges[f"{axis}1"][0]
+        low = F.greatest(*edges[f"{axis}0"]) if len(edges[f"{axis}0"]) > 1 else edges[f"{axis}0"][0]
+        box |= {f"{axis}0": F.least(low, high), f"{axis}1": high}
+    return boxes.select(kd_name(F.col("node")).alias("loc"), "node", *(box[e].alias(e) for e in ("x0", "y0", "x1", "y1")))
+
+
+def _keyed(sample: DataFrame) -> tuple[DataFrame, dict]:
+    """The sample as a table of its own, in files of a good size, with sort keys; counts and ranges.
+
+    Several passes follow; they must not read the full data and sample it each time.
+    """
+    rows = sample.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y").hint("rebalance")
+    keyed = rows.selectExpr("x", "y", f"{sort_key('x')} AS kx", f"{sort_key('y')} AS ky")
+    ranges = [f(f"k{a}").alias(f"{name}_{a}") for a in "xy" for name, f in (("low", F.min), ("high", F.max))]
+    return publish_with_facts(keyed, "sample", F.count(F.lit(1)).alias("n"), *ranges)
 
 
 # ---- STR tiles --------------------------------------------------------------------
 
 
-def build_strtree(sample: DataFrame, bounds: Bounds, capacity: int, accuracy: int = ACCURACY) -> SpatialModel:
+def build_strtree(sample: DataFrame, bounds: Bounds, capacity: int) -> SpatialModel:
     """Sort-tile-recursive packing: equal slabs by x, then equal tiles by y in each slab.
 
-    The outer tiles have no outer edges, so every point has a tile. Cuts are exact, from
-    counted buckets: no group is gathered.
+    The outer tiles have no outer edges, so every point has a tile. Cuts are exact, and a
+    table ``tree, cuts`` with one row for each slab; row -1 holds those between slabs, as
+    many as the root of the number of tiles.
     """
-    require_positive(capacity=capacity, accuracy=accuracy)
+    require_positive(capacity=capacity)
     spark = sample.sparkSession
-    sample, n = _kept(sample)
+    sample, facts = _keyed(sample)
+    n = facts["n"]
     side = max(1, math.ceil(math.sqrt(math.ceil(n / capacity))))
-    shares = [i / side for i in range(1, side)]
-    no_cuts = F.array().cast("array<double>")
-
-    def cuts_of(points: DataFrame, group: str, axis: str, expected: float) -> DataFrame:
-        if not shares:
-            return points.groupBy(group).agg(F.first(no_cuts).alias("cuts"))
-        return exact_cuts(points, group, axis, shares, expected, accuracy)
-
-    every = cuts_of(sample.withColumn("every", F.lit(0)), "every", "x", n)
-    x_cuts = publish(every.agg(F.coalesce(F.first("cuts"), no_cuts).alias("xs")), "strtree-x")
-    slabs = cuts_of(_slab(sample, x_cuts, side), "slab", "y", n / side).withColumnRenamed("cuts", "ys")
-    # a slab without sample points (equal cuts) is one open tile and side - 1 empty ones
-    open_tiles = F.array_repeat(F.lit(math.inf), side - 1)
-    y_cuts = publish(
-        spark.range(side)
-        .select(F.col("id").alias("slab"))
-        .join(slabs, "slab", "left")
-        .select("slab", F.coalesce("ys", open_tiles).alias("ys")),
-        "strtree-y",
-    )
-    cuts = publish(
-        y_cuts.agg(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slab", "ys"))), lambda s: s["ys"])).alias("ys")
-        ).select(x_cuts.scalar().alias("xs"), "ys"),
-        "strtree-cuts",
-    )
-
-    def edge(cuts_name: str, position: Column, beyond: float) -> Column:
-        return F.coalesce(F.get(cuts_name, position), F.lit(beyond))
-
-    tiles = (
-        y_cuts.withColumn("xs", x_cuts.scalar())
-        .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
-        .withColumns(
-            {
-                "x0": edge("xs", F.col("slab").cast("int") - 1, -math.inf),
-                "x1": edge("xs", F.col("slab").cast("int"), math.inf),
-                "y0": edge("ys", F.col("tile") - 1, -math.inf),
-                "y1": edge("ys", F.col("tile"), math.inf),
-            }
-        )
+    x_cuts, rows_of_slab = [], n
+    if side > 1:
+        found = select_cuts(sample.selectExpr("0L AS node", "kx AS k", "x AS v"), side, n, n, facts["low_x"], facts["high_x"]).first()["cuts"]
+        x_cuts, below = [c["v"] for c in found], [0, *(c["below"] for c in found), n]
+        rows_of_slab = max(b - a for a, b in zip(below, below[1:], strict=False))
+    top = spark.createDataFrame([(-1, x_cuts)], "tree long, cuts array<double>")
+    model = SpatialModel("strtree", bounds, None, {"side": side}, top, x_cuts)
+    slabs = spark.range(side).withColumnRenamed("id", "tree")
+    if side > 1:
+        rows = walk_slabs(sample, model).select(F.col("_slab").cast("long").alias("node"), F.col("ky").alias("k"), F.col("y").alias("v"))
+        tiles = select_cuts(rows, side, n, rows_of_slab, facts["low_y"], facts["high_y"])
+        tiles = tiles.select(F.col("node").alias("tree"), F.transform("cuts", lambda c: c["v"]).alias("cuts"))
+        # a slab without sample points (equal cuts) is one open tile and side - 1 empty ones
+        open_tiles = F.array_repeat(F.lit(math.inf), side - 1)
+        slabs = slabs.join(tiles, "tree", "left").select("tree", F.coalesce("cuts", open_tiles).alias("cuts"))
+    else:
+        slabs = slabs.select("tree", F.array().cast("array<double>").alias("cuts"))
+    model = replace(model, cuts=publish(top.unionByName(slabs), "strtree-cuts"))
+    return replace(model, regions=publish(_str_regions(model), "strtree"))
+
+
+def _str_regions(model: SpatialModel) -> DataFrame:
+    """Boxes of all tiles; a slab's tiles are made from its own row."""
+    side, xs = model.shape["side"], packed(model.top) if model.top else F.array().cast("array<double>")
+
+    def edge(cuts: Column | str, position: Column, beyond: float) -> Column:
+        return F.coalesce(F.get(cuts, position), F.lit(beyond))
+
+    tiles = model.cuts.where("tree >= 0").select(F.col("tree").cast("int").alias("slab"), "cuts")
+    tiles = tiles.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    return tiles.select(
+        str_name(F.col("slab"), F.col("tile")).alias("loc"),
+        F.col("slab").cast("long").alias("slab"),
+        "tile",
+        edge(xs, F.col("slab") - 1, -math.inf).alias("x0"),
+        edge("cuts", F.col("tile") - 1, -math.inf).alias("y0"),
+        edge(xs, F.col("slab"), math.inf).alias("x1"),
+        edge("cuts", F.col("tile"), math.inf).alias("y1"),
     )
-    regions = tiles.select(str_name(F.col("slab"), F.col("tile")).alias("loc"), "slab", "tile", "x0", "y0", "x1", "y1")
-    return SpatialModel("strtree", bounds, publish(regions, "strtree"), {"side": side}, cuts)
 
 
-def str_name(slab: Column, tile: Column) -> Column:
-    return F.concat(F.lit("s"), slab.cast("string"), F.lit("_"), tile.cast("string"))
+def walk_slabs(points: DataFrame, model: SpatialModel) -> DataFrame:
+    """Adds ``_slab``, by binary search in the cuts between slabs."""
+    xs = model.top if model.top is not None else model.cuts.where("tree = -1").first()["cuts"]
+    levels = len(xs).bit_length()
+    walked = walk(points, "_slab", packed(xs), levels, in_order(levels), lambda _: F.col("x"))
+    return walked.withColumn("_slab", F.least("_slab", F.lit(len(xs))))
 
 
-def _search(df: DataFrame, name: str, cuts: DataFrame | Column, value: str, n: int, start: str) -> DataFrame:
-    """Adds ``name``: how many of the ``n`` sorted cuts from place ``start`` on are <= ``value``.
+def walk_tiles(points: DataFrame, model: SpatialModel) -> DataFrame:
+    """Adds ``_slab`` and ``_tile``: binary search for the slab, then in the slab's own cuts.
 
-    Binary search, one comparison for each bit of the answer.
+    The cuts of all slabs are one array in the plan where they are few; otherwise points
+    meet the row of their slab, which is broadcast up to a size and shuffled beyond it.
     """
-    found = df.withColumn(name, F.expr("0"))
-    held = cuts.scalar() if isinstance(cuts, DataFrame) else cuts
-    for bit in reversed(range(n.bit_length())):
-        step = 1 << bit
-        cut = F.get(held, F.expr(f"int({start} + {name} + {step - 1})"))
-        ahead = F.expr(f"{name} + {step} <= {n}") & (cut <= F.col(value))
-        found = _computed(found, name, F.when(ahead, F.expr(f"{name} + {step}")).otherwise(F.col(name)))
-    return found
-
-
-def _slab(points: DataFrame, x_cuts: DataFrame, side: int) -> DataFrame:
-    return _search(points, "slab", x_cuts, "x", side - 1, "0")
+    side = model.shape["side"]
+    slabs = walk_slabs(points, model)
+    levels = (side - 1).bit_length()
+    width = 2**levels - 1
+    value = lambda _: F.col("y")
+    if side * width <= PACKED:
+        rows = sorted(model.cuts.where("tree >= 0").collect(), key=lambda r: r["tree"])
+        flat = [c for r in rows for c in [*r["cuts"], *[math.inf] * (width - side + 1)]]
+        place = in_order(levels)
+        found = walk(slabs, "_tile", packed(flat), levels, lambda level, path: F.col("_slab") * width + place(level, path), value)
+    else:
+        own = model.cuts.where("tree >= 0").select(F.col("tree").cast("int").alias("_slab"), F.col("cuts").alias("_cuts"))
+        met = slabs.join(F.broadcast(own) if side * side * 8 <= BROADCAST_BYTES else own, "_slab", "left")
+        found = walk(met, "_tile", F.col("_cuts"), levels, in_order(levels), value).drop("_cuts")
+    return found.withColumn("_tile", F.least("_tile", F.lit(side - 1)))
+
+
+def str_name(slab: Column, tile: Column) -> Column:
+    return F.concat(F.lit("s"), slab.cast("string"), F.lit("_"), tile.cast("string"))
 
 
 def tight_boxes(assigned: DataFrame) -> DataFrame:

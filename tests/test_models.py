@@ -1,13 +1,16 @@
 """Regions tile the bounds, hold what they may, and every point has exactly one."""
 
 import math
+import random
+import struct
+from dataclasses import replace
 
 import pytest
 from helpers import EDGE_POINTS, KINDS, build, points_of, rows
 from pyspark.sql import functions as F
 
 from geotrail import Bounds
-from geotrail.operators import assign, models, sample
+from geotrail.operators import assign, cuts, models, sample
 from geotrail.plans import inputs as i
 
 
@@ -50,14 +53,58 @@ def test_kd_leaves_are_even(spark, sf_dir):
     assert max(counts) <= 110 and sum(counts) == points.count()
 
 
-def test_cuts_are_exact_with_any_sketch(spark, monkeypatch):
-    points = spark.range(6000).selectExpr("double((id * 7919) % 5003) / 5 AS x", "double((id * 104729) % 997) AS y")
-    monkeypatch.setattr(models, "BUCKET_POINTS", 300)
-    own = sorted(r["x"] for r in points.collect())
-    for build_model, shares in ((models.build_strtree, [k / 6 for k in range(1, 6)]), (models.build_kdtree, [0.5])):
-        model = build_model(points, i.BOUNDS, 200, accuracy=10)
-        got = model.cuts.first()["xs"] if model.kind == "strtree" else [model.cuts.where("node = 1").first()["cut"]]
-        assert got == [own[math.ceil(share * 6000) - 1] for share in shares]
+ODD_DOUBLES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1e308, 1e16, float("inf"), float("-inf")]
+
+
+def test_sort_keys_order_like_doubles(spark):
+    rng = random.Random(3)
+    numbers = ODD_DOUBLES + [math.ldexp(1.0, e) for e in range(-1074, 1024)] + [math.nextafter(math.ldexp(1.0, e), d) for e in range(-1000, 1000, 7) for d in (-math.inf, math.inf)]
+    numbers += [struct.unpack("d", rng.randbytes(8))[0] for _ in range(3000)]
+    numbers = [v for v in numbers if v == v] + [-v for v in numbers if v == v]
+    keys = {r["v"]: r["k"] for r in spark.createDataFrame([(v,) for v in numbers], "v double").selectExpr("v", f"{cuts.sort_key('v')} AS k").collect()}
+    for v, k in keys.items():
+        raw = struct.unpack("q", struct.pack("d", abs(v)))[0]
+        assert k == (raw if v > 0 else -raw), v
+    nan, top = spark.sql(f"SELECT {cuts.sort_key('v')} AS k FROM VALUES (double('NaN')), (double('Infinity')) AS t(v)").collect()
+    assert nan["k"] > top["k"]
+
+
+@pytest.mark.parametrize("opened", [10**9, 50, 3])
+def test_selected_cuts_are_those_of_sorting(spark, monkeypatch, opened):
+    monkeypatch.setattr(cuts, "OPENED", opened)
+    monkeypatch.setattr(cuts, "LEADING_BITS", 13 if opened > 3 else 4)
+    shapes = {1: lambda k: (k * 7919) % 5003 / 5, 2: lambda k: 1.0 if k % 3 else 2.0**-k, 3: lambda k: -1e300 * (k % 7), 4: lambda k: k, 5: lambda k: 7.5}
+    rows = [(node, float(f(k))) for node, f in shapes.items() for k in range(node * 150 if node < 4 else 2)]
+    table = spark.createDataFrame(rows, "node long, v double").selectExpr("node", f"{cuts.sort_key('v')} AS k", "v").repartition(5)
+    low, high = table.agg(F.min("k"), F.max("k")).first()
+    for parts in (2, 7, 400):
+        found = cuts.select_cuts(table, parts, len(rows), 10**6 if opened < 10**6 else 1, low, high).collect()
+        got = {r["node"]: (r["n"], [(c["i"], c["v"], c["below"]) for c in r["cuts"]]) for r in found}
+        for node in shapes:
+            own = sorted(v for n, v in rows if n == node)
+            want = [own[math.ceil(i / parts * len(own)) - 1] for i in range(1, parts)]
+            assert got[node] == (len(own), [(i, v, sum(o < v for o in own)) for i, v in enumerate(want, 1)]), (node, parts)
+
+
+def test_trees_of_several_storeys(spark, sf_dir, monkeypatch):
+    points = i.points(spark, sf_dir)
+    want = {kind: (rows(m.regions.select("loc", "x0", "y0", "x1", "y1")), rows(assign.assign_regions(points, m).select("event_id", "loc"))) for kind in ("kdtree", "strtree") for m in [build(kind, spark, points, capacity=7)]}
+    monkeypatch.setattr(models, "TOP_LEVELS", 3)
+    monkeypatch.setattr(models, "LOWER_LEVELS", 2)
+    monkeypatch.setattr(models, "PACKED", 10)
+    for limit, chained in ((1 << 26, 3), (0, 50), (0, 200)):
+        monkeypatch.setattr(models, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(models, "CHAINED", chained)
+        for kind in want:
+            model = build(kind, spark, points, capacity=7)
+            assert len(models.storeys(model.shape.get("depth", 0))) > 2 or kind == "strtree"
+            found = rows(assign.assign_regions(points, model).select("event_id", "loc"))
+            assert (rows(model.regions.select("loc", "x0", "y0", "x1", "y1")), found) == want[kind]
+            kept = replace(model, top=None)
+            assert rows(assign.assign_regions(points, kept).select("event_id", "loc")) == found
+
+
+def test_over_full_leaves_are_counted(spark):
     assert models.build_quadtree(points_of(spark, [("a", 5.0, 5.0, 1)] * 50), i.BOUNDS, 10).shape["over_full"] == 1
 
 
