@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from geotrail.functions.cells import cover_cells
 from geotrail.functions.keys import div
 from geotrail.functions.predicates import box_touches_region, circle_touches_region, within
-from geotrail.operators.models import SpatialModel
+from geotrail.operators.dealing import ROWS, WORK, spread_join
+from geotrail.operators.models import SpatialModel, model_regions
 from geotrail.params import OUTSIDE, require_positive
+from geotrail.scratch import BROADCAST_ROWS
 
 SPAN = 8
 """Most blocks (or coarser blocks) into which a join unrolls one interval, about."""
 
 SCALES = 8
+CELLS_OF_REGION = 48
+"""Cells of one region in the pyramid, at its own level and above, at most about."""
 
 
 def is_circles(workload: DataFrame) -> bool:
@@ -46,14 +50,24 @@ def extent(workload: DataFrame) -> tuple[str, str, str, str]:
     return "x0", "y0", "x1", "y1"
 
 
+def block_range(ta: Column, tb: Column, window: int) -> Column:
+    """Struct ``first_block, last_block`` of an interval of any length; null if it is reversed."""
+    require_positive(window=window)
+    return F.when(ta <= tb, F.struct(div(ta, window).alias("first_block"), div(tb, window).alias("last_block")))
+
+
 def blocks_for_interval(ta: Column, tb: Column, window: int) -> Column:
-    """Array of the blocks from ``ta`` to ``tb``; empty if the interval is reversed."""
+    """Array of the blocks from ``ta`` to ``tb``; empty if the interval is reversed.
+
+    One element for each block: for intervals of known length. ``block_range`` says the
+    same of any interval in two numbers.
+    """
     require_positive(window=window)
     none = F.array().cast("array<bigint>")
     return F.when(ta <= tb, F.sequence(div(ta, window), div(tb, window))).otherwise(none)
 
 
-def candidate_regions(workload: DataFrame, model: SpatialModel) -> DataFrame:
+def candidate_regions(workload: DataFrame, model: SpatialModel, broadcast_rows: int = BROADCAST_ROWS, work: int = WORK, rows: int = ROWS) -> DataFrame:
     """Workload rows with each region they touch: ``loc`` is added.
 
     Instead of testing every query against every region, both are put on a pyramid of
@@ -61,6 +75,10 @@ def candidate_regions(workload: DataFrame, model: SpatialModel) -> DataFrame:
     share a cell at the coarser of their levels, so an equi join on cells finds all
     pairs; the exact test keeps the true ones. A pair that shares several cells is taken
     at the lowest of them only: no pair comes twice and nothing has to be deduplicated.
+
+    All queries meet at the coarsest cells. A model of few regions is broadcast, so queries
+    stay where they are; with more than ``broadcast_rows`` region cells, by the size of the
+    model, both sides are shuffled and the cells where many rows meet are joined as grids.
     """
     b = model.bounds
     columns, shape = workload.columns, shape_columns(workload)
@@ -89,12 +107,29 @@ def candidate_regions(workload: DataFrame, model: SpatialModel) -> DataFrame:
     )
     touches = circle_touches_region if is_circles(workload) else box_touches_region
     lowest = F.expr("ax = greatest(lx, _rlx) AND ay = greatest(ly, _rly)")
-    pairs = query_cells.join(region_cells.unionByName(outside), keys)
+    region_cells = region_cells.unionByName(outside)
+    if model_regions(model) * CELLS_OF_REGION <= broadcast_rows:
+        pairs = query_cells.join(F.broadcast(region_cells), keys)
+    else:
+        pairs = spread_join(query_cells, region_cells, keys, work, rows)
     return pairs.where(lowest & ((F.col("kind") == 2) | touches(*shape, b, "_r"))).select(*columns, "loc")
 
 
+def candidate_ranges(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:
+    """Partitions of each query as runs of blocks: the workload, ``loc, first_block, last_block``.
+
+    A run is one row however long it is, so intervals may be open.
+    """
+    run = block_range(F.col("ta"), F.col("tb"), window)
+    return candidate_regions(workload, model).withColumn("_run", run).select(*workload.columns, "loc", "_run.*")
+
+
 def candidate_partitions(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:
-    """Partition keys of each query: ``query_id, loc, block`` and the workload columns."""
+    """Partition keys of each query, listed: ``query_id, loc, block`` and the workload columns.
+
+    Lists every block of an interval, also those without points, so intervals must be of
+    known length; ``candidate_ranges`` and ``existing_candidates`` take any.
+    """
     regions = candidate_regions(workload, model)
     return regions.withColumn("block", F.explode(blocks_for_interval(F.col("ta"), F.col("tb"), window)))
 
@@ -102,13 +137,15 @@ def candidate_partitions(workload: DataFrame, model: SpatialModel, window: int)
 def existing_candidates(workload: DataFrame, model: SpatialModel, window: int, counts: DataFrame) -> DataFrame:
     """Like ``candidate_partitions``, but only partitions that hold points.
 
-    ``counts`` has one row ``loc, block`` for each partition, as a store keeps it. Nothing
-    is unrolled: an interval of any length is a range of the blocks that exist.
+    ``counts`` has one row ``loc, block`` for each partition, as a store keeps it. Nothing is
+    unrolled: a run of blocks meets the blocks that exist by an equi join on blocks of its
+    own scale, a few for each run, and the run's ends are tested on what meets.
     """
     require_positive(window=window)
-    regions = candidate_regions(workload, model).selectExpr("*", f"ta div {window}L AS _first", f"tb div {window}L AS _last")
-    pairs = regions.join(counts.select("loc", "block"), "loc").where("block BETWEEN _first AND _last")
-    return pairs.select(*workload.columns, "loc", "block")
+    keys = candidate_join_keys(workload, model, window).withColumnRenamed("block", "_block")
+    present, on = at_scales(counts.select("loc", "block"), list(range(SCALES)))
+    pairs = spread_join(keys, present, on)
+    return pairs.where(f"block BETWEEN ta div {window}L AND tb div {window}L").select(*workload.columns, "loc", "block")
 
 
 def scaled_block(block: str, scale: str) -> str:
@@ -117,6 +154,18 @@ def scaled_block(block: str, scale: str) -> str:
     return f"CASE {scale} WHEN 0 THEN {block} {cases} ELSE 0L END"
 
 
+def at_scales(keyed: DataFrame, scales: list[int]) -> tuple[DataFrame, list[str]]:
+    """Rows with ``loc, block`` at the time scales of a workload, and the join columns."""
+    if scales == [0]:
+        return keyed, ["loc", "block"]
+    used = F.explode(F.array(*(F.lit(s) for s in scales)))
+    return keyed.withColumn("scale", used).withColumn("_block", F.expr(scaled_block("block", "scale"))), [
+        "loc",
+        "scale",
+        "_block",
+    ]
+
+
 def candidate_join_keys(workload: DataFrame, model: SpatialModel, window: int) -> DataFrame:
     """Like ``candidate_partitions``, with long intervals in coarser blocks.
 

@@ -44,6 +44,13 @@ def model_size(model: SpatialModel) -> DataFrame:
     return model.regions.agg(F.count("*").alias("n_regions"))
 
 
+def model_regions(model: SpatialModel) -> int:
+    """The number of regions, from the shape of the model alone."""
+    shape = model.shape
+    sizes = {"grid": lambda: shape["n"] * shape["m"], "quadtree": lambda: sum(shape["regions_at"]), "kdtree": lambda: 2 ** shape["depth"]}
+    return sizes[model.kind]() if model.kind in sizes else shape["side"] ** 2
+
+
 def _box(ix: str, iy: str, nx: str, ny: str, bounds: Bounds) -> list[str]:
     """Edges of a cell; the same integers always give the same edge."""
 

@@ -6,27 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.functions.predicates import in_box, in_circle, in_time
-from geotrail.operators.candidates import (
-    SCALES,
-    candidate_join_keys,
-    extent,
-    is_circles,
-    scaled_block,
-    shape_columns,
-)
+from geotrail.operators.candidates import SCALES, at_scales, candidate_join_keys, extent, is_circles, shape_columns
+from geotrail.operators.dealing import ROWS, WORK, dealt_join, heavy_keys, sizes
 from geotrail.operators.gather import MAX_POINTS, build_trajectories
 from geotrail.operators.models import SpatialModel, regions_for_box, regions_for_circle
 from geotrail.operators.numbering import number_rows
-from geotrail.operators.partition import partition_counts
 from geotrail.params import OUTSIDE, BoxQuery, CircleQuery
 from geotrail.scratch import BROADCAST_ROWS, publish_with_facts
 
 LISTED_REGIONS = 2_000
 """Most region names written into a filter; more are joined instead."""
 
-SPLIT_POINTS = 1_000_000
-"""A partition with more points is split when points are shuffled to meet queries."""
-
 
 def _bounding_box(q: CircleQuery | BoxQuery) -> tuple[float, float, float, float]:
     if isinstance(q, CircleQuery):
@@ -125,15 +115,18 @@ def workload_points(
     window: int,
     counts: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
-    split_points: int = SPLIT_POINTS,
+    split_points: int = ROWS,
+    work: int = WORK,
 ) -> DataFrame:
     """Hits of a whole workload in one job: the columns of ``points`` and ``query_id``.
 
     Points meet queries by an equi join on their partition. The candidate table is
     written first and its rows are counted: up to ``broadcast_rows`` it is broadcast and
-    the points are not moved at all. Beyond that both sides are shuffled, and partitions
-    with more than ``split_points`` points are dealt to several tasks; they are found in
-    ``counts``, the partition counts of a store, or by counting.
+    the points are not moved at all; beyond that both sides are shuffled. Partitions whose
+    points times queries are more than ``work``, or, where points are shuffled, with more
+    than ``split_points`` rows of a side, are joined as grids instead, spread over many
+    tasks. They are found in ``counts``, the partition counts of a store, or by counting the
+    points of the partitions that many queries ask for.
     """
     carried = [*shape_columns(workload), "ta", "tb"]
     columns = points.columns
@@ -159,39 +152,41 @@ def workload_points(
     near = points.where(
         in_time("t", facts["ta"], facts["tb"]) & in_box("x", "y", facts["x0"], facts["y0"], facts["x1"], facts["y1"])
     )
-    near, on = _at_scales(near, scales)
+    near, on = at_scales(near, scales)
     if scales == [0]:
         keys = keys.drop("scale").withColumnRenamed("_block", "block")
-    if facts["n"] <= broadcast_rows:
-        keys = F.broadcast(keys)
+    small = facts["n"] <= broadcast_rows
+    heavy, n_heavy, cells = _heavy_partitions(points, keys, on, scales, counts, work, None if small else split_points)
+
+    def hits(met: DataFrame) -> DataFrame:
+        return met.where(_inside(workload)).select("query_id", *columns)
+
+    if not n_heavy:
+        return hits(near.join(F.broadcast(keys) if small else keys, on))
+    known = heavy.select(*on)
+    known = F.broadcast(known) if n_heavy <= BROADCAST_ROWS else known
+    light = keys.join(known, on, "left_anti")
+    others = hits(near.join(F.broadcast(light) if small else light, on))
+    return others.unionByName(hits(dealt_join(near, keys, on, heavy, n_heavy, cells)))
+
+
+def _heavy_partitions(
+    points: DataFrame, keys: DataFrame, on: list[str], scales: list[int], counts: DataFrame | None, work: int, rows: int | None
+) -> tuple[DataFrame | None, int, int]:
+    """Partitions to be joined as grids; nothing is counted that cannot be one."""
+    asked = sizes(keys, on, "_r")
+    total = counts.agg(F.sum("n_points")).first()[0] if counts is not None else points.count()
+    most = asked.agg(F.max("_r")).first()[0] if total else 0
+    if not total or (most * total <= work and (not rows or max(total, most) <= rows)):
+        return None, 0, 0
+    if counts is None:
+        wanted = asked if rows else asked.where(F.col("_r") * total > work)
+        at, _ = at_scales(points.select("loc", "block"), scales)
+        held = sizes(at.join(wanted.select(*on), on, "left_semi"), on, "_l")
     else:
-        sizes, _ = _at_scales(partition_counts(points) if counts is None else counts, scales)
-        pieces = F.ceil(F.sum("n_points") / split_points).cast("int").alias("_pieces")
-        large, found = publish_with_facts(
-            sizes.groupBy(*on).agg(pieces).where("_pieces > 1"), "large-partitions", F.count(F.lit(1)).alias("n")
-        )
-        if found["n"]:
-            # dealt by the place of a row in its scan: that splits copies too, and a
-            # repeated task reads the same rows in the same order
-            large = F.broadcast(large) if found["n"] <= BROADCAST_ROWS else large
-            placed = near.withColumn("_row", F.monotonically_increasing_id()).join(large, on, "left")
-            near = placed.withColumn("_piece", F.expr("int(_row % coalesce(_pieces, 1))")).drop("_row", "_pieces")
-            every = F.expr("explode(sequence(0, coalesce(_pieces, 1) - 1))")
-            keys = keys.join(large, on, "left").withColumn("_piece", every).drop("_pieces")
-            on = [*on, "_piece"]
-    return near.join(keys, on).where(_inside(workload)).select("query_id", *columns)
-
-
-def _at_scales(keyed: DataFrame, scales: list[int]) -> tuple[DataFrame, list[str]]:
-    """Rows with ``loc, block`` at the time scales of a workload, and the join columns."""
-    if scales == [0]:
-        return keyed, ["loc", "block"]
-    used = F.explode(F.array(*(F.lit(s) for s in scales)))
-    return keyed.withColumn("scale", used).withColumn("_block", F.expr(scaled_block("block", "scale"))), [
-        "loc",
-        "scale",
-        "_block",
-    ]
+        at, _ = at_scales(counts, scales)
+        held = at.groupBy(*on).agg(F.sum("n_points").alias("_l"))
+    return heavy_keys(held, asked, on, work, rows)
 
 
 def circle_workload(points, workload, model, window, max_points=MAX_POINTS, longest=None, counts=None) -> DataFrame:

@@ -313,6 +313,36 @@ def blocks_for_interval(spark, d):
     return i.every_circle(spark, d).select("query_id", F.explode(blocks).alias("block"))
 
 
+@check
+def block_ranges(spark, d):
+    """Runs of blocks, of bounded and of open intervals."""
+    run = candidates.block_range(F.col("ta"), F.col("tb"), i.WINDOW)
+    bounded, opened = i.every_circle(spark, d), i.open_circles(spark, d)
+    return bounded.select("query_id", run.alias("run")).unionByName(opened.select((-F.col("query_id") - 1).alias("query_id"), run.alias("run"))).select("query_id", "run.*")
+
+
+@check
+def candidate_ranges(spark, d):
+    runs = candidates.candidate_ranges(i.circles(spark, d), quadtree(spark, d), i.WINDOW)
+    return runs.select("query_id", "loc", "first_block", "last_block")
+
+
+@check
+def candidates_open_interval(spark, d):
+    """The partitions that circles without ends in time can have hits in."""
+    model, keyed = keyed_points(spark, d)
+    held = candidates.existing_candidates(i.open_circles(spark, d), model, i.WINDOW, partition.partition_counts(keyed))
+    return held.select("query_id", *KEYS)
+
+
+@check
+def last_access_open_interval(spark, d):
+    """Accesses of circles without ends in time, to the partitions that there are."""
+    model, keyed = keyed_points(spark, d)
+    held = candidates.existing_candidates(i.open_circles(spark, d), model, i.WINDOW, partition.partition_counts(keyed))
+    return activity.last_access(activity.access_log(held))
+
+
 @check
 def candidate_partitions(spark, d):
     return workload_partitions(spark, d, quadtree(spark, d)).select("query_id", *KEYS)
@@ -379,6 +409,39 @@ def box_workload(spark, d):
     return flat(queries.box_workload(keyed, i.boxes(spark, d), model, i.WINDOW))
 
 
+def workload_on(spark, d, model, run, asked):
+    keyed = partition.partition_points(i.points(spark, d), model, i.WINDOW)
+    return flat(run(keyed, asked, model, i.WINDOW))
+
+
+@check
+def circle_workload_kdtree(spark, d):
+    return workload_on(spark, d, kdtree(spark, d), queries.circle_workload, i.circles(spark, d))
+
+
+@check
+def circle_workload_strtree(spark, d):
+    return workload_on(spark, d, strtree(spark, d), queries.circle_workload, i.circles(spark, d))
+
+
+@check
+def box_workload_kdtree(spark, d):
+    return workload_on(spark, d, kdtree(spark, d), queries.box_workload, i.boxes(spark, d))
+
+
+@check
+def box_workload_grid(spark, d):
+    return workload_on(spark, d, models.build_grid(spark, i.BOUNDS, *i.GRID), queries.box_workload, i.boxes(spark, d))
+
+
+@check
+def hot_workload(spark, d):
+    """Every circle moved to one place and one interval: few partitions do all the work."""
+    model, keyed = keyed_points(spark, d)
+    hits = queries.workload_points(keyed, i.hot_circles(spark, d), model, i.WINDOW, work=1 << 16)
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_points"), F.sum("event_id").alias("id_sum"))
+
+
 @check
 def workload_open_interval(spark, d):
     """Circles whose intervals are as long as numbers go."""

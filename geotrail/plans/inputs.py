@@ -62,6 +62,13 @@ def open_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circles(spark, sf_dir).withColumns({"ta": F.lit(-(2**63)), "tb": F.lit(2**63 - 1)})
 
 
+def hot_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circles, all within a square of 50 at the crowded end of x, with one interval."""
+    asked = {"x": F.expr("20 + query_id div 50 % 50"), "y": F.expr("200 + query_id div 2500 % 50"), "ta": F.lit(0), "tb": F.lit(400_000)}
+    kinds = {"x": "double", "y": "double", "ta": "bigint", "tb": "bigint"}
+    return circles(spark, sf_dir).withColumns({c: v.cast(kinds[c]) for c, v in asked.items()})
+
+
 def _around(p: DataFrame) -> DataFrame:
     return p.selectExpr(
         "event_id AS query_id",

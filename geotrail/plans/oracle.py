@@ -323,6 +323,24 @@ FROM asked a LEFT JOIN hits h ON a.query_id = h.query_id GROUP BY a.query_id""",
         [ST_POINTS, EVERY_CIRCLE],
         f"SELECT query_id, unnest(range(ta // {i.WINDOW}, tb // {i.WINDOW} + 1)) AS block FROM every_circle",
     ),
+    "block_ranges": with_ctes(
+        [ST_POINTS, CIRCLES, EVERY_CIRCLE],
+        f"""SELECT query_id, ta // {i.WINDOW} AS first_block, tb // {i.WINDOW} AS last_block FROM every_circle
+UNION ALL SELECT -query_id - 1, {-(2**63 // i.WINDOW)}, {(2**63 - 1) // i.WINDOW} FROM circles""",
+    ),
+    "candidate_ranges": with_ctes(
+        QUAD + CANDIDATES[:2],
+        f"SELECT query_id, loc, ta // {i.WINDOW} AS first_block, tb // {i.WINDOW} AS last_block FROM touched",
+    ),
+    "candidates_open_interval": with_ctes(
+        KEYED_ALL + CANDIDATES[:2],
+        "SELECT t.query_id, k.loc, k.block FROM touched t JOIN (SELECT DISTINCT loc, block FROM keyed) k ON t.loc = k.loc",
+    ),
+    "last_access_open_interval": with_ctes(
+        KEYED_ALL + CANDIDATES[:2],
+        """SELECT k.loc, k.block, max(t.issued_ms) AS last_ms
+FROM touched t JOIN (SELECT DISTINCT loc, block FROM keyed) k ON t.loc = k.loc GROUP BY k.loc, k.block""",
+    ),
     "candidate_partitions": with_ctes(QUAD + CANDIDATES, "SELECT query_id, loc, block FROM cand"),
     "fetch_partitions": with_ctes(
         KEYED_ALL + CANDIDATES, "SELECT event_id, loc, block FROM keyed WHERE (loc, block) IN (SELECT (loc, block) FROM cand)"
@@ -339,6 +357,17 @@ FROM asked a LEFT JOIN hits h ON a.query_id = h.query_id GROUP BY a.query_id""",
     "box_query": with_ctes([ST_POINTS, BOX_HITS], TRAJECTORIES),
     "circle_workload": with_ctes([ST_POINTS, CIRCLES, WORKLOAD_HITS], TRAJECTORIES),
     "box_workload": with_ctes([ST_POINTS, CIRCLES, BOXES, BOX_WORKLOAD_HITS], TRAJECTORIES),
+    "circle_workload_kdtree": with_ctes([ST_POINTS, CIRCLES, WORKLOAD_HITS], TRAJECTORIES),
+    "circle_workload_strtree": with_ctes([ST_POINTS, CIRCLES, WORKLOAD_HITS], TRAJECTORIES),
+    "box_workload_kdtree": with_ctes([ST_POINTS, CIRCLES, BOXES, BOX_WORKLOAD_HITS], TRAJECTORIES),
+    "box_workload_grid": with_ctes([ST_POINTS, CIRCLES, BOXES, BOX_WORKLOAD_HITS], TRAJECTORIES),
+    "hot_workload": with_ctes(
+        [ST_POINTS, CIRCLES],
+        """SELECT q.query_id, count(*) AS n_points, CAST(sum(p.event_id) AS BIGINT) AS id_sum
+FROM (SELECT query_id, 20 + query_id // 50 % 50 AS x, 200 + query_id // 2500 % 50 AS y, r FROM circles) q
+JOIN st_points p ON p.t BETWEEN 0 AND 400000 AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= q.r * q.r
+GROUP BY q.query_id""",
+    ),
     "workload_open_interval": with_ctes(
         [ST_POINTS, CIRCLES, "always AS (SELECT query_id, x, y, r, -1 AS ta, 9223372036854775807 AS tb FROM circles)",
          f"hits AS ({CIRCLE_JOIN.format(workload='always')})"],

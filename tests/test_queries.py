@@ -5,7 +5,7 @@ from helpers import EDGE_POINTS, KINDS, build, points_of, rows
 from pyspark.sql import functions as F
 
 from geotrail import BoxQuery, CircleQuery
-from geotrail.operators import candidates, gather, models, partition, queries
+from geotrail.operators import candidates, dealing, gather, models, partition, queries
 from geotrail.plans import inputs as i
 
 HIT = ["query_id", "traj_id", "t", "x", "y"]
@@ -200,3 +200,59 @@ def test_open_intervals_cost_one_row_for_each_region(spark):
         assert rows(hits) == [(1, 7), (2, 4), (3, 2), (5, 1)]
         held = candidates.existing_candidates(asked, model, window, partition.partition_counts(keyed)).groupBy("query_id").count()
         assert rows(held) == rows(hits)
+
+
+def _plan_free_of_broadcast(spark, body):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return body()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_heavy_partitions_are_joined_as_grids(spark, sf_dir, broadcast_rows):
+    points = i.points(spark, sf_dir)
+    copies = points.where("event_id % 10 = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("n")
+    points = points.unionByName(copies.withColumns({"x": F.lit(7.0), "y": F.lit(7.0), "t": F.lit(500_000).cast("bigint")}))
+    crowd = i.every_circle(spark, sf_dir).withColumns({"query_id": F.col("query_id") + 10**6, "x": F.lit(6.0), "y": F.lit(6.0), "r": F.lit(3.0), "ta": F.lit(0).cast("bigint"), "tb": F.lit(10**9).cast("bigint")})
+    workload = i.circles(spark, sf_dir).unionByName(crowd.where("query_id % 3 = 0"))
+    model = build("quadtree", spark, points, capacity=50)
+    keyed = partition.partition_points(points, model, i.WINDOW)
+    want = rows(scan_workload(points, workload))
+    counts = partition.partition_counts(keyed)
+    for given in (None, counts):
+        got = queries.workload_points(keyed, workload, model, i.WINDOW, given, broadcast_rows=broadcast_rows, work=10_000)
+        assert rows(got.select(*HIT)) == want and len(want) > 100_000
+
+
+def test_cells_of_a_grid_are_even(spark):
+    left = spark.range(9_000).select(F.lit(1).alias("k"), F.col("id").alias("l")).unionByName(spark.range(50).select(F.col("id").cast("int").alias("k"), F.col("id").alias("l")))
+    right = spark.range(2_000).select(F.lit(1).alias("k"), F.col("id").alias("r")).unionByName(spark.range(50).select(F.col("id").cast("int").alias("k"), F.col("id").alias("r")))
+    heavy, n, cells = dealing.heavy_keys(dealing.sizes(left, ["k"], "_l"), dealing.sizes(right, ["k"], "_r"), ["k"], 1_000_000, None)
+    assert n == 1 and cells == 30
+    met = dealing.dealt_join(left, right, ["k"], heavy, n, cells).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in met) == 9_001 * 2_001 and max(r["count"] for r in met) <= 6 * 1_000_000
+    joined = dealing.spread_join(left, right, ["k"], 1_000_000)
+    assert joined.count() == 9_001 * 2_001 + 49
+
+
+def test_queries_meet_regions_without_broadcasts(spark, sf_dir):
+    points = i.points(spark, sf_dir)
+    workload = i.circles(spark, sf_dir)
+    model = build("quadtree", spark, points, capacity=20)
+    want = rows(candidates.candidate_regions(workload, model).select("query_id", "loc"))
+    for work in (10**9, 500):
+        got = _plan_free_of_broadcast(spark, lambda work=work: rows(candidates.candidate_regions(workload, model, broadcast_rows=0, work=work, rows=100).select("query_id", "loc")))
+        assert got == want
+
+
+def test_ranges_say_what_lists_say(spark, sf_dir):
+    model = build("grid", spark, i.points(spark, sf_dir))
+    workload = i.circles(spark, sf_dir)
+    runs = candidates.candidate_ranges(workload, model, i.WINDOW).select("query_id", "loc", F.explode(F.expr("sequence(first_block, last_block)")).alias("block"))
+    assert rows(runs) == rows(candidates.candidate_partitions(workload, model, i.WINDOW).select("query_id", "loc", "block"))
+    ends = candidates.candidate_ranges(i.open_circles(spark, sf_dir), model, 1).select("first_block", "last_block").distinct()
+    assert rows(ends) == [(-(2**63), 2**63 - 1)]
+    assert candidates.candidate_ranges(workload.withColumn("ta", F.col("tb") + 1), model, 1).count() == 0
