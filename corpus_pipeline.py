@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows it is given and, but
 last, returns the columns of ``docs``. Extra columns pass through; names that an operator
 adds cannot clash, as rows travel inside a struct. Defined results of the stages:
 
-- language ID drops texts without a language (null, or without a letter) and no others,
-  also where no language could be learned;
+- language ID names the language of rows whose ``lang`` is null, and drops texts without a
+  language (null, or without a letter) and no others, also where no language could be learned;
 - the n-gram Jaccard join keeps of each class the document with the smallest id, of rows
   with one id the first by text; rows with a null id stay;
 - substring dedup replaces texts; documents that lose every word go;
@@ -33,12 +33,14 @@ def _unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language."""
+    """Drop documents in no language, and name the language of those that have no name for it."""
     model = language_id.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.predict(_wrapped(docs), model)
-    return _unwrapped(found.where(F.col("lang_pred") != language_id.UNKNOWN), docs)
+    named = F.coalesce(F.col("row.lang"), F.col("lang_pred").cast(dict(docs.dtypes)["lang"]))
+    rows = found.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("row", F.col("row").withField("lang", named))
+    return _unwrapped(rows, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
