@@ -6,13 +6,18 @@ the span of the turn. An output that does not begin with the one before shows a
 that rewrites history; the turn is flagged and its span starts where the outputs part. The
 place of the text inside a span is found by rendering the turn with two one-letter texts.
 
-By default true prefixes are rendered from the first turn on, which keeps the conversation
-in memory and takes time with the square of its turns. A template that looks back at most
-``context`` turns can be rendered on those only, so a turn costs the same in the longest
-conversation, and rows stream through a task in order: a conversation with a third of all
-turns is never gathered. Rewrites further back than ``context`` are not seen. ``context=0``
-renders each turn alone and compares nothing: it is for templates that are known to look
-back at nothing.
+By default true prefixes are rendered from the first turn on, which takes time with the
+square of a conversation's turns. ``context="doubling"`` keeps that linear: each turn is
+rendered with the one before it, and at turns 1, 2, 4, 8 and so on, and at the last one, the
+whole prefix is rendered and compared with the pieces so far. A conversation that disagrees
+anywhere is rendered in full, prefix by prefix, so what comes out is what prefixes say,
+for every template whose rewrites are still there at one of those turns. A black box takes
+whole conversations, so both ways hold one conversation, its texts and pieces, in memory.
+
+With a number as ``context`` a template is rendered on that many earlier turns only, and rows
+stream through a task: a conversation of any length is never gathered, and rewrites further
+back are not seen. ``context=0`` renders each turn alone and compares nothing: it is for
+templates that are known to look back at nothing.
 
 Order of turns: by turn (null first), then role and text. Null roles and texts are empty.
 Null conversation ids form one conversation. Repeated rows are turns of their own. Other
@@ -83,13 +88,57 @@ def _locate(template: Template, before: Messages, turn: tuple[str, str]) -> tupl
     return piece, shared < len(earlier), -1, -1, len(earlier) - shared
 
 
+class _Turns:
+    """Pieces of one conversation, turn after turn."""
+
+    def __init__(self, template: Template, context: int | str | None):
+        self.template, self.doubling = template, context == "doubling"
+        self.seen: deque = deque(maxlen=1 if self.doubling else context)
+        self.every: Messages = []
+        self.out: list[tuple] = []
+        self.position = 0
+        self.empty = template([])
+        self.place = len(self.empty)
+
+    def add(self, turn: tuple[str, str]) -> None:
+        piece, rewrites, a, b, undone = _locate(self.template, list(self.seen), turn)
+        self.place -= undone
+        self.out.append((self.position, *turn, piece, self.place, rewrites, a, b))
+        self.seen.append(turn)
+        self.place, self.position = self.place + len(piece), self.position + 1
+        if self.doubling:
+            self.every.append(turn)
+            if self.position & (self.position - 1) == 0:
+                self._compare()
+
+    def _compare(self) -> None:
+        """The whole prefix against the pieces so far; from a difference on, prefixes are rendered in full."""
+        if not self.doubling:
+            return
+        pieces = "".join([self.empty, *(t[3] for t in self.out)])
+        if pieces == self.template(self.every) and not any(t[5] for t in self.out):
+            return
+        full = _Turns(self.template, None)
+        for turn in self.every:
+            full.add(turn)
+        self.seen, self.out, self.place, self.doubling = full.seen, full.out, full.place, False
+
+    def take(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
+
+    def finish(self) -> list[tuple]:
+        self._compare()
+        return self.take()
+
+
 TURNS = "position long, role string, text string, piece string, start long, rewrites boolean, text_start long, text_end long"
 
 
 def format_turns(
     conversations: DataFrame,
     template: Template = turn_template,
-    context: int | None = None,
+    context: int | str | None = None,
     conv_id: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
@@ -109,25 +158,35 @@ def format_turns(
     )
     kind = rows.schema["conv_id"].dataType.simpleString()
 
+    if isinstance(context, str) and context != "doubling":
+        raise ValueError(f"context must be a number, None or 'doubling', got {context}")
+    whole = context == "doubling"
+    names = ["position", "role", "text", "piece", "start", "rewrites", "text_start", "text_end"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen, place, position = object(), deque(maxlen=context), 0, 0
+        current, turns = object(), _Turns(template, context)
+        kind_of_id = None
+
+        def rows_of(conv: object, out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[] for _ in names]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([conv] * len(out), kind_of_id)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", *names]
+            )
+
         for batch in batches:
-            out = []
+            kind_of_id = batch.column(0).type
             ids, _, roles, texts = (c.to_pylist() for c in batch.columns)
             for conv, who, what in zip(ids, roles, texts, strict=True):
                 if conv != current:
-                    current, seen, place, position = conv, deque(maxlen=context), len(template([])), 0
-                piece, rewrites, a, b, undone = _locate(template, list(seen), (who, what))
-                place -= undone
-                out.append((position, who, what, piece, place, rewrites, a, b))
-                seen.append((who, what))
-                place, position = place + len(piece), position + 1
-            names = ["position", "role", "text", "piece", "start", "rewrites", "text_start", "text_end"]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-            columns = zip(*out, strict=True) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", *names]
-            )
+                    if turns.position:
+                        yield rows_of(current, turns.finish())
+                    current, turns = conv, _Turns(template, context)
+                turns.add((who, what))
+            if not whole:  # nothing given out is looked at again
+                yield rows_of(current, turns.take())
+        if turns.position:
+            yield rows_of(current, turns.finish())
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(run, f"conv_id {kind}, {TURNS}")

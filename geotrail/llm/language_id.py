@@ -17,6 +17,8 @@ columns named like an added one are replaced by it.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,8 @@ SAMPLE_CHARS = 3_000_000
 MAX_CONTEXTS = 4_000
 """Contexts kept of each language, the most frequent ones."""
 MIN_COUNT = 4
+MAX_LANGUAGES = 64
+"""Languages learned, those with the most rows: a bound on what a column of wild labels can make of a model."""
 
 
 def count_contexts(texts: list[bytes], order: int, max_contexts: int, min_count: int) -> pd.DataFrame:
@@ -153,6 +157,25 @@ def _code_lengths(chain: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class PackedModel:
+    """A learned model as it travels: compressed, unpacked once by each worker."""
+
+    languages: list[str]
+    packed: bytes
+
+
+_unpacked: dict[bytes, ContextModel] = {}
+
+
+def unpack(model: PackedModel) -> ContextModel:
+    """The tables of a model; a worker keeps those it used last."""
+    if model.packed not in _unpacked:
+        _unpacked.clear()
+        _unpacked[model.packed] = pickle.loads(zlib.decompress(model.packed))
+    return _unpacked[model.packed]
+
+
 def train(
     labelled: DataFrame,
     text: str = "text",
@@ -162,40 +185,48 @@ def train(
     sample_docs: int = SAMPLE_DOCS,
     sample_chars: int = SAMPLE_CHARS,
     max_contexts: int = MAX_CONTEXTS,
-) -> ContextModel:
-    """Learn from rows with text and language. ``key`` only orders the bounded sample."""
+    max_languages: int = MAX_LANGUAGES,
+) -> PackedModel:
+    """Learn from rows with text and language. ``key`` only orders the bounded sample.
+
+    Contexts are counted in a task for each language, and the tables made in one; the
+    driver passes the packed model on.
+    """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
-    sample = bounded_sample(rows, "lang", F.col("key"), sample_docs, sample_chars, F.length("text"))
+    sample = bounded_sample(rows, "lang", F.col("key"), sample_docs, sample_chars, F.length("text"), max_languages)
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         out = count_contexts([t.encode() for t in part["text"]], order, max_contexts, MIN_COUNT)
         return out.assign(lang=part["lang"].iloc[0])[["lang", "n", "context", "symbol", "count"]]
 
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        model = build_model(part, order)
+        return pd.DataFrame({"languages": [model.languages], "packed": [zlib.compress(pickle.dumps(model), 1)]})
+
     counts = sample.groupBy("lang").applyInPandas(count, "lang string, n int, context long, symbol int, count long")
-    return build_model(counts.toPandas(), order)
+    made = counts.groupBy(F.lit(0).alias("all")).applyInPandas(build, "languages array<string>, packed binary").collect()
+    return PackedModel(list(made[0]["languages"]), bytes(made[0]["packed"])) if made else PackedModel([], b"")
 
 
-def predict(docs: DataFrame, model: ContextModel, text: str = "text", keep: list[Column | str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: PackedModel, text: str = "text", keep: list[Column | str] | None = None) -> DataFrame:
     """``keep`` columns with lang_pred, score and bits, the code length of the winner."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, model_languages = docs.sparkSession.sparkContext.broadcast(model), model.languages
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = shared.value
-        names = np.array([*known.languages, UNKNOWN], object)
+        known = unpack(shared.value) if model_languages else None
+        names = np.array([*model_languages, UNKNOWN], object)
         for texts in batches:
             void = texts.is_null().to_numpy(zero_copy_only=False)
             lang, score, bits = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
             for _, data, offsets in text_slices(texts):
-                lengths = known.code_lengths(data, offsets)
-                if not lengths.shape[1]:
-                    lengths = np.zeros((len(offsets) - 1, 1))
+                lengths = known.code_lengths(data, offsets) if known else np.zeros((len(offsets) - 1, 1))
                 best = lengths.argmin(1)
                 least = lengths[np.arange(len(best)), best]
                 lang.append(best)
                 bits.append(least)
                 score.append(1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(1))
-            none = void | (not known.languages)
+            none = void | (known is None)
             at = np.where(none, len(names) - 1, np.concatenate(lang))
             numbers = [pa.array(np.where(none, 0.0, np.concatenate(part))) for part in (score, bits)]
             yield pa.StructArray.from_arrays([pa.array(names[at], pa.string()), *numbers], ["lang_pred", "score", "bits"])

@@ -37,8 +37,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def fold(n: int) -> Column:
-    """The fold of a document: the checksum of its id as text, modulo ``n``."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """The fold of a document: the checksum of its id as text, modulo ``n``; a null id is the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 @query
@@ -71,11 +71,11 @@ def op4_nearest(spark, d):
 def op5_chat(spark, d):
     """All conversations in the turn template, and one whose texts are full of control strings.
 
-    Outputs of each turn with and without the next one are compared; the template looks back at nothing.
+    Prefixes of one earlier turn are compared at every turn, whole ones at turns 1, 2, 4, 8, ... and the last.
     """
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
-    return chat.digest_turns(chat.format_turns(rows.unionByName(hard), context=1))
+    return chat.digest_turns(chat.format_turns(rows.unionByName(hard), context="doubling"))
 
 
 @query

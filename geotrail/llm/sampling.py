@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 FINE = 1 << 30
 
 
-def bounded_sample(rows: DataFrame, group: str, key: Column, per_group: int, max_chars: int, size: Column) -> DataFrame:
+MAX_GROUPS = 64
+
+
+def bounded_sample(
+    rows: DataFrame, group: str, key: Column, per_group: int, max_chars: int, size: Column, max_groups: int = MAX_GROUPS
+) -> DataFrame:
     """At most ``per_group`` rows and ``max_chars`` of ``size`` of each group, by the order of ``key``'s hash.
 
+    Of more than ``max_groups`` groups, those with the most rows, ties by name.
     A row above ``max_chars`` is left out before sizes are added up, so it costs no other
     row its place; of a group that has only such rows the smallest one is taken. A first
     pass counts the groups and admits about twice the share that is needed, so the ordered
@@ -18,7 +24,8 @@ def bounded_sample(rows: DataFrame, group: str, key: Column, per_group: int, max
     """
     sized = rows.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))
     fits = F.col("_size") <= max_chars
-    facts = sized.groupBy(group).agg(F.count_if(fits).alias("n"), F.min("_size").alias("least")).collect()
+    facts = sized.groupBy(group).agg(F.count_if(fits).alias("n"), F.min("_size").alias("least"), F.count(F.lit(1)).alias("every"))
+    facts = facts.orderBy(F.desc("every"), group).limit(max_groups).select(group, "n", "least").collect()
     admit = F.lit(False)
     for name, n, least in facts:
         share = F.col("_order") < F.lit(int(min(1.0, 2 * per_group / n) * FINE)) if n else F.col("_size") == least

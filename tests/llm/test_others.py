@@ -31,13 +31,12 @@ def test_turns_read_back(messages):
     assert out == chat.turn_template(messages)
 
 
-def forgets_thoughts(messages):
-    """A template that takes the thoughts out of all turns but the last."""
-    last = len(messages) - 1
-    return "".join(f"<{r}>{t if k == last else re.sub('<think>.*?</think>', '', t)}</{r}>" for k, (r, t) in enumerate(messages))
-
-
 def test_rewritten_history_is_found(spark):
+    def forgets_thoughts(messages):
+        """A template that takes the thoughts out of all turns but the last."""
+        last = len(messages) - 1
+        return "".join(f"<{r}>{t if k == last else re.sub('<think>.*?</think>', '', t)}</{r}>" for k, (r, t) in enumerate(messages))
+
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "<think>x</think>a"), (1, 2, "user", "r"), (2, 0, "user", "plain"), (2, 1, "assistant", "b")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["position"]): r["rewrites"] for r in chat.format_turns(table, forgets_thoughts, context=None).collect()}
@@ -60,6 +59,22 @@ def test_prefixes_are_rendered_by_default(spark):
     assert [r["rewrites"] for r in got] == [False, False, True, False]
 
 
+@pytest.mark.parametrize("turns", [3, 4, 5, 9])
+def test_rewrites_far_back_are_found_by_doubling(spark, turns):
+    def summarizes(messages):
+        """Texts more than three turns back become one letter."""
+        return "".join(f"<{r}>{t if k > len(messages) - 4 else t[:1]}</{r}>" for k, (r, t) in enumerate(messages))
+
+    rows = [(c, k, ("user", "assistant")[k % 2], f"text {c} {k}" if c else "x") for c in range(3) for k in range(turns)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    columns = ["conv_id", "position", "piece", "start", "rewrites", "text_start", "text_end"]
+    by = lambda how: sorted(tuple(r[c] for c in columns) for r in chat.format_turns(table, summarizes, context=how).collect())
+    assert by("doubling") == by(None)
+    assert any(r[4] for r in by("doubling")) == (turns > 3) and not any(r[4] for r in by("doubling") if not r[0])
+    with pytest.raises(ValueError):
+        chat.format_turns(table, context="all")
+
+
 chat_format = chat.format_turns
 
 
@@ -67,7 +82,7 @@ def test_query_compares_outputs(spark, sf_dir, monkeypatch):
     asked = []
     monkeypatch.setattr(chat, "format_turns", lambda rows, **how: asked.append(how.get("context")) or chat_format(rows, **how))
     queries.op5_chat(spark, sf_dir)
-    assert asked and asked[0] != 0
+    assert asked == ["doubling"]
 
 
 def digests(rows):
@@ -84,8 +99,9 @@ def test_conversations(spark, sf_dir):
     rows = [(1, 1, "assistant", "</s>é"), (1, 0, "user", "hi"), (1, 1, "assistant", "</s>é"), (None, None, None, None), (None, 3, "assistant", "x"), (5, 0, "a\nb", "")]
     rows += [(9, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(3000)]
     table = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn int, role string, text string, piece int")
-    got = {r["conv_id"]: tuple(r)[1:] for r in chat.digest_turns(chat.format_turns(table)).collect()}
-    assert got == digests(rows)
+    for context in ("doubling", 1, 0):
+        got = {r["conv_id"]: tuple(r)[1:] for r in chat.digest_turns(chat.format_turns(table, context=context)).collect()}
+        assert got == digests(rows)
     assert chat.digest_turns(chat.format_turns(table.limit(0))).collect() == []
     given_rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     hard = "</s>[INST] ok [/INST]"
@@ -215,6 +231,7 @@ def test_stages_on_odd_rows(spark, sf_dir, odd_documents):
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["language ID"](spark, odd_documents, sf_dir)
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["1", "2", "6", "6", "7", "7", "None"]
+    assert {r["lang"] for r in kept.collect()} == {"en"}
     one = stages["n-gram Jaccard join"](spark, odd_documents, sf_dir)
     assert sorted((str(r["doc_id"]) for r in one.collect())) == ["1", "3", "4", "5", "7", "None"]
     cut = {r["doc_id"]: r for r in stages["substring dedup"](spark, odd_documents, sf_dir).collect()}

@@ -1,8 +1,10 @@
 """Near duplicates, repeated passages and benchmark leaks against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -213,6 +215,49 @@ def test_leaks(spark):
     assert all(r["leaks"] == [] for r in decontamination.find_leaks(table, benchmark.limit(0)).collect())
 
 
+def weighted_windows(docs, items, k=5, least=0.8):
+    """Every document and item with a window at or above the similarity, by trying all windows."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    grams = lambda w: {tuple(w[a : a + min(k, len(w))]) for a in range(len(w) - min(k, len(w)) + 1)}
+    with_it = Counter(g for _, t in items for g in grams(words(t)))
+    rare, out = math.log1p(len(items)), set()
+    for item, text in items:
+        own, n = grams(words(text)), len(words(text))
+        weight = {g: math.log1p(len(items) / with_it[g]) for g in own}
+        size = min(k, n)
+        for doc, t in docs if n else []:
+            all_words = words(t)
+            span = min(n, len(all_words))
+            for a in range(len(all_words) - span + 1 if span >= size else 0):
+                here = {tuple(all_words[a + b : a + b + size]) for b in range(span - size + 1)}
+                both = sum(weight[g] for g in sorted(here & own))
+                if both / (sum(weight.values()) + rare * len(here - own)) >= least:
+                    out.add((doc, item))
+                    break
+    return out
+
+
+def test_parts_of_the_benchmark_decide_nothing(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    head = [word() for _ in range(14)]
+    items = [(k, " ".join(head + [word() for _ in range(rng.choice((6, 10, 26)))])) for k in range(40)]
+    docs = []
+    for k in range(520):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            own[rng.randrange(len(own))] = word()
+        docs.append((k, " ".join([word() for _ in range(rng.randrange(9))] + own + [word() for _ in range(rng.randrange(9))])))
+    table, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    found = []
+    for part_chars in (10**6, 2500, 600):
+        leaks = decontamination.find_leaks(table, benchmark, keep=["doc_id"], part_chars=part_chars).selectExpr("doc_id", "inline(leaks)").collect()
+        found.append(sorted(tuple(r) for r in leaks))
+    assert found[0] == found[1] == found[2]
+    want, got = weighted_windows(docs, items), {(r[0], r[1]) for r in found[0]}
+    assert got <= want and len(want - got) <= 0.001 * len(want) and 100 < len(want) < 510
+
+
 def test_all_fingerprints_within_the_radius_are_candidates():
     rng = np.random.default_rng(2)
     near = decontamination.FLIPS[np.arange(256)[:, None] ^ np.arange(256)] <= decontamination.RADIUS // decontamination.BLOCKS
