@@ -257,22 +257,20 @@ def join_similar(
         F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n_docs"), F.first("tokens").alias("tokens")
     )
     sets = publish(classes, "sets")
-    buckets = publish(_buckets(sets.select("set_id", "n_shingles", "tokens"), threshold, recall, depth, small), "final")
+    buckets = _buckets(sets.select("set_id", "n_shingles", "tokens"), threshold, recall, depth, small)
+    own = buckets.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("run", "bucket", "n", "total"))).alias("own"))
+    members = publish(own.join(sets.select("set_id", "n_docs", "sig1", "n_shingles"), "set_id"), "members")
 
+    # shingles are taken from the texts on their way to the units, so they are moved once
     runs = runs_for(depth, threshold, recall)
-    # a bucket of several runs counts in the first one, for homes as for trails
-    once = buckets.groupBy("set_id", "bucket").agg(F.min("run").alias("run"), F.max("n").alias("n"), F.max("total").alias("total"))
-    units = _units(once, small, block)
-    sized = units.join(sets.select("set_id", "n_shingles"), "set_id")
-    units, facts = publish_with_facts(sized, "units", F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total"))
+    in_run = F.map_from_entries(F.transform("own", lambda o: F.struct(o["run"], o["bucket"])))
+    trail = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at(in_run, r), F.lit(0)))
+    homes = members.select("set_id", F.col("own")[0]["bucket"].alias("home"), F.inline(F.array_distinct(F.transform("own", lambda o: o.dropFields("run")))))
+    units = _units(homes, small, block).groupBy("set_id").agg(F.collect_list(F.struct("bucket", "block", "i", "j")).alias("units"))
+    trails = units.join(members, "set_id").select("set_id", "n_docs", "sig1", "n_shingles", trail.alias("trail"), "units")
+    shingles = F.coalesce(F.sum(F.col("n_shingles") * F.size("units")), F.lit(0)).alias("total")
+    trails, facts = publish_with_facts(trails, "trails", shingles)
     bins = 1 + facts["total"] // UNIT_SHINGLES
-
-    # shingles are taken from the texts on their way to the units, so they are moved once
-    in_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0)) for r in range(runs)]
-    trails = buckets.groupBy("set_id").agg(F.array(*in_run).alias("trail"))
-    lists = units.groupBy("set_id").agg(F.collect_list(F.struct("bucket", "block", "i", "j")).alias("units"))
-    trails = trails.join(lists, "set_id").join(sets.select("set_id", "n_docs", "sig1"), "set_id")
-    trails = publish(trails, "trails")
     near = may_matter(rows, document_filter(trails.select(F.col("set_id").alias("doc_id"))))
     wanted = near.join(trails, F.col("doc_id") == F.col("set_id")).select("set_id", "n_docs", "trail", "units", "sig1", "text")
     work = _with_shingles(wanted.distinct(), k).select("set_id", "n_docs", "trail", "shingles", F.inline("units"))
@@ -307,15 +305,14 @@ def join_similar(
     return answers.unionByName(alone)
 
 
-def _units(members: DataFrame, small: int, block: int) -> DataFrame:
+def _units(crowds: DataFrame, small: int, block: int) -> DataFrame:
     """Units of work (set_id, bucket, block, i, j): a set goes to every pair of blocks it is in.
 
+    ``crowds`` has every bucket of a set once, with ``home``, the first bucket of the set.
     Buckets of later runs mostly hold what one bucket held before, and pairs of that were
     compared there. A bucket of such sets alone is passed over; in a large one only the
     blocks of the other members meet all blocks. A small bucket is one block.
     """
-    before = members.groupBy("set_id").agg(F.min_by("bucket", F.struct("run", "bucket")).alias("home"))
-    crowds = members.join(before, "set_id")
     homes = crowds.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("total").alias("total"))
     done = F.when(F.col("home") != F.col("bucket"), F.col("m")).otherwise(0)
     plan = homes.groupBy("bucket").agg(

@@ -159,12 +159,24 @@ def _code_lengths(chain: list[np.ndarray], width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class PackedModel:
-    """A learned model as it travels: compressed, unpacked once by each worker."""
+    """A learned model as it travels; every worker unpacks it once.
+
+    Most contexts of a node are unknown to most languages, which then code as in a shorter
+    one: only the different rows of a language are kept, and which row each node has.
+    """
 
     languages: list[str]
     packed: bytes
 
 
+def pack(model: ContextModel) -> bytes:
+    width, rows = model.child.shape[1], []
+    for column in range(len(model.languages)):
+        distinct, which = np.unique(model.bits[:, column].reshape(-1, width), axis=0, return_inverse=True)
+        rows.append((distinct, which.astype(np.int32).ravel()))
+    return zlib.compress(pickle.dumps((model.languages, model.order, model.symbol, model.child, rows)), 1)
+
+
 _unpacked: dict[bytes, ContextModel] = {}
 
 
@@ -172,7 +184,11 @@ def unpack(model: PackedModel) -> ContextModel:
     """The tables of a model; a worker keeps those it used last."""
     if model.packed not in _unpacked:
         _unpacked.clear()
-        _unpacked[model.packed] = pickle.loads(zlib.decompress(model.packed))
+        languages, order, symbol, child, rows = pickle.loads(zlib.decompress(model.packed))
+        bits = np.empty((len(rows[0][1]) * child.shape[1], len(languages)), np.float32)
+        for column, (distinct, which) in enumerate(rows):
+            bits[:, column] = distinct[which].ravel()
+        _unpacked[model.packed] = ContextModel(languages, order, symbol, child, bits)
     return _unpacked[model.packed]
 
 
@@ -202,7 +218,7 @@ def train(
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         model = build_model(part, order)
-        return pd.DataFrame({"languages": [model.languages], "packed": [zlib.compress(pickle.dumps(model), 1)]})
+        return pd.DataFrame({"languages": [model.languages], "packed": [pack(model)]})
 
     counts = sample.groupBy("lang").applyInPandas(count, "lang string, n int, context long, symbol int, count long")
     made = counts.groupBy(F.lit(0).alias("all")).applyInPandas(build, "languages array<string>, packed binary").collect()

@@ -35,6 +35,13 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1, rel=1e-4)
 
 
+def test_models_travel_whole():
+    counts = pd.concat([language_id.count_contexts([t], 3, 50, 1).assign(lang=lang) for lang, t in (("x", b"the cat sat on the mat"), ("y", b"die Katze sass"))])
+    model = language_id.build_model(counts, 3)
+    again = language_id.unpack(language_id.PackedModel(model.languages, language_id.pack(model)))
+    assert np.array_equal(model.bits, again.bits) and np.array_equal(model.child, again.child) and again.languages == ["x", "y"]
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     got = queries.op2_language_id(spark, sf_dir).toPandas()
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").toPandas()
