@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words. A word is removed if a window over it also starts
 in a document with a smaller id.
 
-1. Every window names its rarest place: the ``gram`` words in it whose hash is smallest.
+1. Every window names one place: the ``gram`` words in it whose hash is smallest.
    Windows with equal words name the same grams, so a run of windows with one such gram (a
    segment) only needs to meet the segments with that gram. Segments are ranged by gram and
    document, so a gram of a third of all documents spreads over many tasks, and segments
@@ -45,7 +45,7 @@ from geotrail.scratch import publish, publish_with_facts
 
 WINDOW = 13
 GRAM = 5
-SHARD_WORDS = 300_000
+SHARD_WORDS = 150_000
 CROWD = 2_000
 
 

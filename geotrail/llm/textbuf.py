@@ -1,7 +1,9 @@
 """Text columns as flat byte buffers, so that numpy handles many documents in one step.
 
-Every function works on slices of a few megabytes: whole documents, as many as fit, and at
-least one. Memory is therefore bounded by the slice or by the longest single document.
+Every function works on slices of a quarter of a megabyte: whole documents, as many as fit,
+and at least one. Memory is therefore bounded by the slice or by the longest single document,
+of which words and hashes are held (about 10 bytes for each byte of text), never an array of
+64-bit numbers for its bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -37,14 +39,17 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+    """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each; kept up to a slice."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    tables = []
+    for base in (BASE, INVERSE):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps))
+    if n <= SLICE_BYTES + 1:
+        _powers[:] = tables
+    return tables[0], tables[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,12 +60,31 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of the bytes of each span; equal bytes give equal hashes."""
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """One 64-bit hash of the bytes of each span; equal bytes give equal hashes.
+
+    Spans are ascending and do not overlap. Differences of running sums, taken a slice of
+    bytes at a time: a sum carries over, relative to the first byte of its slice.
+    """
+    size = SLICE_BYTES
+    up, down = powers(min(len(data), size) + 1)
+    out = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(data), size):
+        part = data[at : at + size]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        a, b = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part), "left")
+        if a >= b:
+            continue
+        here = np.arange(a, b)
+        low = np.maximum(starts[here] - at, 0)
+        own = sums[np.minimum(ends[here] - at, len(part))] - sums[low]
+        # seen from the start of the span: earlier slices are a whole number of slices behind
+        behind = np.maximum(at - starts[here], 0)
+        own = own * down[low]
+        for k in np.flatnonzero(behind):  # at most the one span that reaches in from before
+            own[k : k + 1] *= np.uint64(pow(int(BASE), int(behind[k]), 1 << 64))
+        out[here] += own
+    return mix(out)
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple:
