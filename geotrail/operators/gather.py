@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geotrail.operators.numbering import totals_before
 from geotrail.params import require_positive
-from geotrail.scratch import publish, publish_with_facts
+from geotrail.scratch import BROADCAST_ROWS, publish, publish_with_facts
 
 MAX_POINTS = 1_000_000
 """Most points that one nested row holds."""
@@ -47,8 +47,8 @@ def gather(
     each other in the order of ``part``, none above ``max_points``, nothing dropped.
     Parts are numbered from 0 by the rank of a row among the rows of its key, so they
     follow from the data alone. Unless ``longest`` is passed, a known bound of rows for
-    each key such as the one kept in a store, ``rows`` is written once, and large keys are
-    found by counting what was written.
+    each key such as the one kept in a store, keys are counted first, map side and without
+    the other columns; only the rows of large keys are written, to be ranked.
     """
     require_positive(max_points=max_points)
     keys, fields = list(keys), list(fields)
@@ -60,14 +60,17 @@ def gather(
 
     if longest is not None and longest <= max_points:
         return whole(rows)
-    rows = publish(rows.select(*dict.fromkeys(keys + fields)), "gathered")
+    rows = rows.select(*dict.fromkeys(keys + fields))
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_points).select(*keys)
     large, found = publish_with_facts(counted, "large-keys", F.count(F.lit(1)).alias("n"))
     if not found["n"]:
         return whole(rows)
-    slices = _ranked(rows.join(large, keys, "left_semi").select(*keys, *fields), keys, fields)
+    large = F.broadcast(large) if found["n"] <= BROADCAST_ROWS else large
+    # null keys are keys: compared so that null equals null
+    same = [F.col("_r." + k).eqNullSafe(F.col("_l." + k)) for k in keys]
+    slices = _ranked(rows.alias("_r").join(large.alias("_l"), same, "left_semi").select(*keys, *fields), keys, fields)
     slices = slices.withColumn("part", F.expr(f"_rank div {max_points}")).groupBy(*keys, "part").agg(points)
-    return whole(rows.join(large, keys, "left_anti")).unionByName(slices)
+    return whole(rows.alias("_r").join(large.alias("_l"), same, "left_anti")).unionByName(slices)
 
 
 def _ranked(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -83,7 +86,24 @@ def _ranked(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     runs = placed.groupBy(*keys, "_task").agg(F.min("_place").alias("_from"), F.count(F.lit(1)).alias("_n"))
     runs = totals_before(runs, ["_task"], "_n", by=keys)
     rank = F.col("_place") - F.col("_from") + F.col("before")
-    return placed.join(runs, [*keys, "_task"]).select(*keys, *fields, rank.alias("_rank"))
+    same = [F.col("_l." + k).eqNullSafe(F.col("_r." + k)) for k in [*keys, "_task"]]
+    met = placed.alias("_l").join(runs.alias("_r"), same)
+    return met.select(*(F.col("_l." + c) for c in [*keys, *fields]), rank.alias("_rank"))
+
+
+def number_in_order(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row in the order, from 1.
+
+    Rows are ranged into tasks by counted boundaries and written with their task and place;
+    a number is the rows of earlier tasks and the place in its own. One moment that all rows
+    share is many tasks like any other.
+    """
+    ranged = split_evenly(rows, order)
+    placed = publish(ranged.withColumns({"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "numbered")
+    sizes = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_from"))
+    starts = totals_before(sizes, ["_task"], "_n").select("_task", "_from", "before")
+    number = (F.col("_place") - F.col("_from") + F.col("before") + 1).cast("bigint")
+    return placed.join(F.broadcast(starts), "_task").select(*rows.columns, number.alias(name))
 
 
 def build_trajectories(hits: DataFrame, max_points: int = MAX_POINTS, longest: int | None = None) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from geotrail.functions.predicates import in_box, in_circle, in_time
 from geotrail.operators.candidates import SCALES, at_scales, candidate_join_keys, extent, is_circles, shape_columns
 from geotrail.operators.dealing import ROWS, WORK, dealt_join, heavy_keys, sizes
-from geotrail.operators.gather import MAX_POINTS, build_trajectories
+from geotrail.operators.gather import MAX_POINTS, build_trajectories, number_in_order
 from geotrail.operators.models import SpatialModel, regions_for_box, regions_for_circle
-from geotrail.operators.numbering import number_rows
 from geotrail.params import OUTSIDE, BoxQuery, CircleQuery
 from geotrail.scratch import BROADCAST_ROWS, publish_with_facts
 
@@ -215,7 +214,6 @@ def query_result_counts(workload: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def number_queries(workload: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+def number_queries(workload: DataFrame) -> DataFrame:
     """Adds ``query_no``, 1 for the query issued first; ties by ``query_id``."""
-    bucket = F.floor(F.col("issued_ms") / bucket_ms)
-    return number_rows(workload, bucket, ["issued_ms", "query_id"], "query_no")
+    return number_in_order(workload, ["issued_ms", "query_id"], "query_no")

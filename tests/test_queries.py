@@ -142,10 +142,31 @@ def test_candidates_equal_a_nested_loop(spark, sf_dir):
 
 
 def test_query_numbers_follow_submission(spark, sf_dir):
-    numbered = queries.number_queries(i.circles(spark, sf_dir), bucket_ms=10**8).orderBy("issued_ms", "query_id").collect()
+    numbered = queries.number_queries(i.circles(spark, sf_dir)).orderBy("issued_ms", "query_id").collect()
     assert [r["query_no"] for r in numbered] == list(range(1, len(numbered) + 1))
 
 
+def test_one_moment_is_many_tasks(spark):
+    crowd = spark.range(40_000).select(F.col("id").alias("query_id"), F.lit(7).cast("bigint").alias("issued_ms"))
+    numbered = queries.number_queries(crowd.unionByName(crowd.limit(50)))
+    assert numbered.where("query_no < query_id + 1 OR query_no > query_id + 51").count() == 0
+    assert numbered.select("query_no").distinct().count() == 40_050 and numbered.agg(F.max("query_no")).first()[0] == 40_050
+    tasks = gather.split_evenly(crowd, ["issued_ms", "query_id"], 8).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 3 * 40_000 / 8
+
+
+def test_only_large_keys_are_written(spark, monkeypatch):
+    written = []
+    save = gather.publish
+    monkeypatch.setattr(gather, "publish", lambda df, name: written.append((name, df.count())) or save(df, name))
+    small = points_of(spark, [(f"t{k}", 1.0, 1.0, k) for k in range(500)] + [(None, 1.0, 1.0, k) for k in range(30)])
+    assert gather.gather(small, ["traj_id"], ["t", "x", "y"], max_points=100).count() == 501 and not written
+    hot = small.unionByName(points_of(spark, [("hot", 1.0, 1.0, k) for k in range(150)] + [(None, 2.0, 1.0, k) for k in range(100)]))
+    nested = gather.gather(hot, ["traj_id"], ["t", "x", "y"], max_points=100)
+    assert nested.agg(F.sum(F.size("points"))).first()[0] == 780 and [n for _, n in written] == [280]
+    assert nested.where("traj_id IS NULL").count() == 2
+
+
 def test_blocks_of_reversed_and_negative_intervals(spark):
     given = spark.createDataFrame([(-5, 7), (4, 4), (9, 2)], "ta bigint, tb bigint")
     got = given.select(candidates.blocks_for_interval(F.col("ta"), F.col("tb"), 3)).collect()
