@@ -23,6 +23,9 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 CACHE_PIECES = 1_000_000
 """Known pieces that a Python worker keeps; beyond it the store starts anew."""
 
+ENCODED_BYTES = 1 << 20
+"""Bytes of texts that are encoded at once; every call looks new pieces up among all known ones."""
+
 # Lead bytes of characters that may be white space beyond ASCII: no cut before them.
 _MAY_BE_SPACE = [0xC2, 0xE1, 0xE2, 0xE3]
 _PRINTS = ~SPACES.copy()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.llm.encoding import column_of, encoder, tokenizer_path
+from geotrail.llm.encoding import ENCODED_BYTES, column_of, encoder, tokenizer_path
 from geotrail.llm.textbuf import text_slices
 from geotrail.scratch import publish_with_facts
 
@@ -53,7 +53,7 @@ def encode_pieces(
         coder, mark = encoder(path), np.array([end_id], "<u4")
         for batch in batches:
             ids = column_of(batch, "doc_id")
-            for row, data, offsets in text_slices(column_of(batch, "text")):
+            for row, data, offsets in text_slices(column_of(batch, "text"), ENCODED_BYTES):
                 tokens, pointers = coder.encode(data, offsets)
                 tokens, owner, out, pieces = tokens.astype("<u4"), [], [], []
                 for k in range(len(offsets) - 1):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.encoding import column_of, encoder, tokenizer_path
+from geotrail.llm.encoding import ENCODED_BYTES, column_of, encoder, tokenizer_path
 from geotrail.llm.textbuf import rows_of, text_slices
 
 SCHEMA = "section int, char_start long, char_end long, n_tokens long, n_crossing long"
@@ -78,7 +78,7 @@ def count_tokens(
         coder = encoder(path)
         for batch in batches:
             ids, given = column_of(batch, "doc_id"), column_of(batch, "spans") if spans else None
-            for row, data, offsets in text_slices(column_of(batch, "text")):
+            for row, data, offsets in text_slices(column_of(batch, "text"), ENCODED_BYTES):
                 tokens, pointers = coder.encode(data, offsets)
                 ends = np.cumsum(coder.token_bytes[tokens])
                 starts = ends - coder.token_bytes[tokens]
