@@ -12,6 +12,8 @@ from geotrail.params import require_positive
 TICK_MS = 10_000
 TICKS_PER_BUCKET = 6
 DAY_MS = 86_400_000
+CHUNK = 1_024
+"""Values of a series in one stored row."""
 
 
 def query_counter(finished: DataFrame, tick_ms: int = TICK_MS) -> DataFrame:
@@ -84,8 +86,41 @@ def throughput_rollup(series: DataFrame, size: int = TICKS_PER_BUCKET) -> DataFr
     return leading.unionByName(sums)
 
 
+def series_chunks(series: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Values in stored chunks: ``series, chunk, items`` from ``series, pos, v``.
+
+    A chunk holds the positions ``chunk * size`` up to the next chunk in order, null where there
+    is no value; a series grows by rows, not by longer arrays. ``chunk_values`` turns it back.
+    """
+    require_positive(size=size)
+    at = series.select("series", div(F.col("pos"), size).alias("chunk"), (F.col("pos") % size).cast("int").alias("_at"), "v")
+    held = F.map_from_entries(F.collect_list(F.struct("_at", "v")))
+    return at.groupBy("series", "chunk").agg(
+        F.transform(F.sequence(F.lit(0), F.max("_at")), lambda k: F.try_element_at(held, k)).alias("items")
+    )
+
+
+def chunk_values(chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``series, pos, v`` of stored chunks."""
+    require_positive(size=size)
+    values = chunks.select("series", "chunk", F.posexplode("items").alias("_at", "v")).where("v IS NOT NULL")
+    return values.select("series", (F.col("chunk") * size + F.col("_at")).alias("pos"), "v")
+
+
+def rollup_chunks(chunks: DataFrame, size: int = TICKS_PER_BUCKET, chunk_size: int = CHUNK) -> DataFrame:
+    """``throughput_rollup`` of stored chunks.
+
+    Every chunk is summed by itself, without a shuffle; what is moved is one partial sum for
+    each bucket of a chunk, and those of a bucket across a chunk's edge are added up.
+    """
+    return throughput_rollup(chunk_values(chunks, chunk_size), size)
+
+
 def format_series(buckets: DataFrame) -> DataFrame:
-    """Text lines ``name 0 s1 s2 ...``; a line holds what its input line held."""
+    """Text lines ``name 0 s1 s2 ...`` for export: a series is one line, so it must fit a row.
+
+    Series of any length are kept and read as ``series_chunks``.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "total")))
     values = F.transform(ordered, lambda b: b["total"].cast("string"))
     return buckets.groupBy("series").agg(F.array_join(values, " ").alias("_v")).select(

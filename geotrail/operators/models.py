@@ -82,50 +82,93 @@ def build_grid(spark: SparkSession, bounds: Bounds, n: int, m: int) -> SpatialMo
 # ---- quadtree ---------------------------------------------------------------------
 
 
-def quadtree_counts(sample: DataFrame, bounds: Bounds, max_depth: int) -> DataFrame:
-    """Points in each non-empty cell of each level: ``level, ix, iy, n``.
+STEP = 8
+"""Levels that one pass over the sample counts while the depth is taken from the data."""
+DEEPEST = 30
+"""Depth at which a quadtree ends in any case: two cell numbers still make one long key."""
+
+
+def quadtree_counts(
+    sample: DataFrame, bounds: Bounds, max_depth: int, first: int = 0, crowded: DataFrame | None = None, places: bool = False
+) -> DataFrame:
+    """Points in each non-empty cell of the levels from ``first`` on: ``level, ix, iy, n``.
 
     Points are first counted in the finest cells, map side, so that a crowded place is
     a number before anything is shuffled; the coarser levels add up those numbers.
+    ``crowded`` are cells ``ix, iy`` of the level above ``first``, outside which nothing is
+    counted. ``places`` adds ``spread``: whether the points of a cell lie at several places.
     """
+    ends = [f(c).alias(f.__name__ + c) for c in "xy" for f in (F.min, F.max)] if places else []
     finest = (
         sample.where(in_bounds("x", "y", bounds))
         .selectExpr(
             cell("x", bounds.min_x, bounds.width, max_depth) + " AS fx",
             cell("y", bounds.min_y, bounds.height, max_depth) + " AS fy",
+            *(["x", "y"] if places else []),
         )
         .groupBy("fx", "fy")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), *ends)
     )
+    if crowded is not None:
+        above = max_depth - first + 1
+        finest = finest.join(crowded, F.expr(f"{coarser('fx', above)} = ix AND {coarser('fy', above)} = iy"), "left_semi")
     up = f"{max_depth} - level"
+    again = [F.min("minx") < F.max("maxx"), F.min("miny") < F.max("maxy")] if places else []
     return (
-        finest.selectExpr("*", f"explode(sequence(0, {max_depth})) AS level")
-        .selectExpr("level", f"{coarser('fx', up)} AS ix", f"{coarser('fy', up)} AS iy", "n")
+        finest.selectExpr("*", f"explode(sequence({first}, {max_depth})) AS level")
+        .withColumns({"ix": F.expr(coarser("fx", up)), "iy": F.expr(coarser("fy", up))})
         .groupBy("level", "ix", "iy")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), *([(again[0] | again[1]).alias("spread")] if places else []))
     )
 
 
+def _counts_to_any_depth(sample: DataFrame, bounds: Bounds, capacity: int) -> tuple[DataFrame, int]:
+    """Counts of all levels down to the first at which no cell is to be split, and that level.
+
+    Every pass goes ``STEP`` levels deeper and counts only what lies in cells that are still
+    crowded, so the passes follow from the depth and not from the number of points.
+    """
+    done, crowded, first = [], None, 0
+    for last in range(STEP, DEEPEST + STEP, STEP):
+        last = min(last, DEEPEST)
+        split = (F.col("level") == last) & (F.col("n") > capacity) & F.col("spread")
+        counts, facts = publish_with_facts(
+            quadtree_counts(sample, bounds, last, first, crowded, places=True), "quadtree-counts", F.count_if(split).alias("left")
+        )
+        done.append(counts)
+        if not facts["left"]:
+            break
+        crowded, first = counts.where(split).select("ix", "iy"), last + 1
+    return reduce(DataFrame.unionByName, done), last
+
+
 QUADTREE_NAME = """concat('q', array_join(transform(
     CASE WHEN level > 0 THEN sequence(1, level) ELSE CAST(array() AS ARRAY<INT>) END,
     i -> string(shiftright(ix, level - i) % 2 + shiftright(iy, level - i) % 2 * 2)), ''))"""
 """``q`` and one base-4 digit for each level, the coarsest first."""
 
 
-def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth: int = 8) -> SpatialModel:
+def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth: int | None = None) -> SpatialModel:
     """Splits a node in four while it holds more than ``capacity`` sample points.
 
     Split nodes name themselves and their four children; the nodes never named as split
     are the leaves, empty ones included, so they tile the bounds. Keys stay integers; the
-    name comes last. Leaves of ``max_depth`` are not split; how many of them hold more than
-    ``capacity`` is logged and in ``shape["over_full"]``.
+    name comes last.
+
+    Without ``max_depth`` the depth follows from the data: only cells whose points all lie at
+    one place, and those of level ``DEEPEST``, stay over-full. With it, leaves of that level
+    are not split. How many leaves hold more than ``capacity`` is logged and in
+    ``shape["over_full"]``.
     """
-    require_positive(capacity=capacity, max_depth=max_depth)
-    over = F.count_if((F.col("level") == max_depth) & (F.col("n") > capacity)).alias("over_full")
-    counts, facts = publish_with_facts(quadtree_counts(sample, bounds, max_depth), "quadtree-counts", over)
-    if facts["over_full"]:
-        logging.getLogger(__name__).warning("quadtree: %d leaves of depth %d hold more than %d points", facts["over_full"], max_depth, capacity)
-    split = counts.where((F.col("n") > capacity) & (F.col("level") < max_depth))
+    require_positive(capacity=capacity)
+    full = F.col("n") > capacity
+    if max_depth is None:
+        counts, limit = _counts_to_any_depth(sample, bounds, capacity)
+        split = counts.where(full & F.col("spread") & (F.col("level") < limit))
+    else:
+        require_positive(max_depth=max_depth)
+        counts, limit = publish(quadtree_counts(sample, bounds, max_depth), "quadtree-counts"), max_depth
+        split = counts.where(full & (F.col("level") < limit))
 
     named = """inline(array(named_struct('level', level, 'ix', ix, 'iy', iy, 'is_split', true), {}))""".format(
         ", ".join(
@@ -141,15 +184,20 @@ def build_quadtree(sample: DataFrame, bounds: Bounds, capacity: int, max_depth:
         .agg(F.max("is_split").alias("is_split"))
         .where("NOT is_split")
     )
+    leaves = leaves.join(counts.where(full).select("level", "ix", "iy", F.lit(True).alias("is_full")), ["level", "ix", "iy"], "left")
     regions, seen = publish_with_facts(
         leaves.selectExpr(
-            f"{QUADTREE_NAME} AS loc", "level", "ix", "iy", *_box("ix", "iy", "power(2D, level)", "power(2D, level)", bounds)
+            f"{QUADTREE_NAME} AS loc", "level", "ix", "iy", *_box("ix", "iy", "power(2D, level)", "power(2D, level)", bounds), "is_full"
         ),
         "quadtree",
-        *(F.expr(f"count_if(level = {n})").alias(str(n)) for n in range(max_depth + 1)),
+        F.count_if("is_full").alias("over_full"),
+        *(F.expr(f"count_if(level = {n})").alias(str(n)) for n in range(limit + 1)),
     )
-    regions_at = [seen[str(n)] for n in range(max_depth + 1)]
-    return SpatialModel("quadtree", bounds, regions, {"max_depth": max_depth, "regions_at": regions_at, "over_full": facts["over_full"]})
+    depth = max_depth or max(n for n in range(limit + 1) if n < 2 or seen[str(n)])
+    if seen["over_full"]:
+        logging.getLogger(__name__).warning("quadtree: %d leaves hold more than %d points", seen["over_full"], capacity)
+    shape = {"max_depth": depth, "regions_at": [seen[str(n)] for n in range(depth + 1)], "over_full": seen["over_full"]}
+    return SpatialModel("quadtree", bounds, regions.drop("is_full"), shape)
 
 
 # ---- k-d tree ---------------------------------------------------------------------

@@ -32,3 +32,13 @@ def number_rows(df: DataFrame, bucket: Column, order: Sequence[Column | str], na
         .withColumn(name, (F.row_number().over(window) + F.col("before")).cast("bigint"))
         .drop("_bucket", "before")
     )
+
+
+def number_within(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Numbers from 0 inside each group of ``by``, in buckets like ``number_rows``."""
+    rows = df.withColumn("_bucket", bucket)
+    totals = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    before = totals_before(totals, ["_bucket"], "_n", by).select(*by, "_bucket", "before")
+    window = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    numbered = rows.join(before, [*by, "_bucket"])
+    return numbered.withColumn(name, F.row_number().over(window) - 1 + F.col("before")).drop("_bucket", "before")

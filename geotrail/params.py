@@ -55,22 +55,22 @@ class Bounds:
 
 @dataclass(frozen=True)
 class PartitionParams:
-    """What the partitioning of a data set depends on."""
+    """What the partitioning of a data set depends on; without ``max_depth`` the data decide it."""
 
     bounds: Bounds
     time_window: int
     node_capacity: int
     sample_size: int
-    max_depth: int = 8
+    max_depth: int | None = None
 
     def __post_init__(self):
         require_positive(
             time_window=self.time_window,
             node_capacity=self.node_capacity,
             sample_size=self.sample_size,
-            max_depth=self.max_depth,
+            max_depth=1 if self.max_depth is None else self.max_depth,
         )
-        if self.max_depth > 20:
+        if self.max_depth is not None and self.max_depth > 20:
             raise ValueError("max_depth must not be above 20")
 
 

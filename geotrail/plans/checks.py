@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from geotrail.functions.keys import index_key, parse_index_key, time_block
 from geotrail.functions.predicates import in_box, in_circle, in_time
 from geotrail.operators import activity, assign, candidates, gather, metrics, models, partition, queries, sample
+from geotrail.operators.numbering import number_within
 from geotrail.params import Bounds
 from geotrail.plans import inputs as i
 from geotrail.scratch import scratch_dir
@@ -66,6 +67,21 @@ def read_trajectories(spark, d):
     return source.flatten_points(source.read_trajectories(spark, path))
 
 
+@check
+def read_points(spark, d):
+    """Points at a location of one's choice, here in the shared folder as JSON."""
+    path = scratch_dir(spark, "points")
+    i.points(spark, d).select(*POINT).write.json(path)
+    return source.read_points(spark, path, "json")
+
+
+@check
+def set_partitions(spark, d):
+    """Rows of each Spark partition, counted: as many partitions as were asked for."""
+    dealt = source.set_partitions(i.points(spark, d), i.PARTITIONS).groupBy(F.spark_partition_id().alias("part")).count()
+    return dealt.agg(F.count("*").alias("n_partitions"), F.sum("count").alias("n_points"))
+
+
 @check
 def replicate_dataset(spark, d):
     return source.replicate(i.points(spark, d), 3).select(*POINT)
@@ -198,6 +214,14 @@ def quadtree_model(spark, d):
     return quadtree(spark, d).regions.select("loc", F.col("level").cast("bigint").alias("level"), "ix", "iy", *BOX)
 
 
+@check
+def quadtree_any_depth(spark, d):
+    """A quadtree whose depth the data decide: the points of each region."""
+    points = i.points(spark, d)
+    model = models.build_quadtree(points, i.BOUNDS, i.SMALL_CAPACITY)
+    return assign.assign_regions(points, model).groupBy("loc").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+
+
 @check
 def quadtree_assign(spark, d):
     return assign.assign_regions(i.points(spark, d), quadtree(spark, d)).select("event_id", "loc")
@@ -536,14 +560,26 @@ def throughput(spark, d):
     return metrics.throughput(samples, 8640)
 
 
+def hourly(spark, d):
+    """Events of each type by hour, as a series of values."""
+    hours = i.events(spark, d).groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("v"))
+    return number_within(hours, ["series"], F.date_trunc("day", "hour"), ["hour"], "pos").select("series", "pos", "v")
+
+
+@check
+def series_chunks(spark, d):
+    chunks = metrics.series_chunks(hourly(spark, d), i.CHUNK)
+    return chunks.select("series", "chunk", F.array_join(F.transform("items", lambda v: v.cast("string")), " ").alias("items"))
+
+
 @check
 def throughput_rollup(spark, d):
-    hours = i.events(spark, d).groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
-    values = F.array_sort(F.collect_list(F.struct("hour", "n")))
-    lines = hours.groupBy("event_type").agg(values.alias("v")).select(
-        F.concat_ws(" ", "event_type", F.array_join(F.transform("v", lambda h: h["n"].cast("string")), " ")).alias("value")
-    )
-    return metrics.throughput_rollup(logs.parse_series(lines))
+    return metrics.rollup_chunks(metrics.series_chunks(hourly(spark, d), i.CHUNK), chunk_size=i.CHUNK)
+
+
+@check
+def parse_series(spark, d):
+    return logs.parse_series(metrics.format_series(throughput_rollup(spark, d)))
 
 
 @check

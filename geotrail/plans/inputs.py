@@ -14,6 +14,9 @@ BOUNDS = Bounds(0.0, 0.0, 1024.0, 1024.0)
 WINDOW = 20_000
 CAPACITY = 200
 MAX_DEPTH = 8
+SMALL_CAPACITY = 4
+PARTITIONS = 7
+CHUNK = 100
 GRID = (16, 8)
 SAMPLE = 100
 SEED = 7

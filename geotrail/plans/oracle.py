@@ -13,6 +13,7 @@ SIDE = i.BOUNDS.width
 FINE = 2**i.MAX_DEPTH
 PAD = repr(i.BOUNDS.pad)
 KD_LEVELS = 16
+DEEPEST = 30
 FINISHED_US = "epoch_us(ts)"
 
 ST_POINTS = f"""st_points AS (
@@ -98,6 +99,12 @@ STATUS = [
 ]
 
 
+HOURLY = [
+    "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)",
+    "placed AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS pos FROM hours)",
+]
+
+
 def kd_ctes() -> list[str]:
     """Median cuts, one level after the other, down to the depth the count asks for."""
     ctes = [
@@ -214,6 +221,8 @@ STREAM_LATE_US = 3_600_000_000
 ORACLE: dict[str, str] = {
     "read_trajectories": ALL_POINTS,
     "flatten_points": ALL_POINTS,
+    "read_points": ALL_POINTS,
+    "set_partitions": with_ctes([ST_POINTS], f"SELECT {i.PARTITIONS} AS n_partitions, count(*) AS n_points FROM st_points"),
     "replicate_dataset": with_ctes(
         [ST_POINTS], "SELECT traj_id || '#' || k.k AS traj_id, x, y, t FROM st_points, (SELECT unnest(range(0, 3)) AS k) k"
     ),
@@ -267,6 +276,29 @@ FROM (SELECT 'g' || ix || '_' || iy AS loc, ix * {SIDE} / {N} AS x0, iy * {SIDE}
     ),
     "grid_assign": with_ctes([ST_POINTS], f"SELECT event_id, {GRID_LOC} AS loc FROM st_points"),
     "quadtree_model": with_ctes(QUAD, "SELECT loc, level, ix, iy, x0, y0, x1, y1 FROM regions"),
+    "quadtree_any_depth": with_ctes(
+        [
+            ST_POINTS,
+            f"""finest AS MATERIALIZED (
+  SELECT event_id, x, y, CAST(floor(x / {SIDE} * {2**DEEPEST}) AS BIGINT) AS fx, CAST(floor(y / {SIDE} * {2**DEEPEST}) AS BIGINT) AS fy
+  FROM st_points WHERE x >= 0 AND x < {SIDE} AND y >= 0 AND y < {SIDE})""",
+            f"""cells AS MATERIALIZED (
+  SELECT event_id, x, y, level, fx >> ({DEEPEST} - level) AS ix, fy >> ({DEEPEST} - level) AS iy
+  FROM finest, (SELECT unnest(range(0, {DEEPEST} + 1)) AS level))""",
+            f"""split AS (
+  SELECT level, ix, iy FROM cells GROUP BY ALL
+  HAVING count(*) > {i.SMALL_CAPACITY} AND (min(x) < max(x) OR min(y) < max(y)) AND level < {DEEPEST})""",
+            """leaf AS (
+  SELECT event_id, min(level) AS level FROM cells c
+  WHERE NOT EXISTS (SELECT 1 FROM split s WHERE s.level = c.level AND s.ix = c.ix AND s.iy = c.iy) GROUP BY 1)""",
+            """named AS (
+  SELECT event_id, 'q' || array_to_string([((ix >> (level - k)) % 2) + 2 * ((iy >> (level - k)) % 2)
+                                           for k in range(1, level + 1)], '') AS loc
+  FROM leaf JOIN cells USING (event_id, level))""",
+        ],
+        """SELECT coalesce(loc, 'outside') AS loc, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum
+FROM st_points LEFT JOIN named USING (event_id) GROUP BY 1""",
+    ),
     "quadtree_assign": with_ctes(QUAD, "SELECT event_id, loc FROM located"),
     "kdtree_model": with_ctes(KD, "SELECT loc, x0, y0, x1, y1 FROM kd_regions"),
     "kdtree_assign": with_ctes(
@@ -410,21 +442,25 @@ FROM status s JOIN keyed k ON s.loc = k.loc AND s.block = k.block GROUP BY s.loc
         f"""SELECT 'events' AS run, tick_ms // {i.TICK_MS} AS seq,
        counter - lag(counter, 1, 0) OVER (ORDER BY tick_ms) AS throughput FROM counter""",
     ),
+    "series_chunks": with_ctes(
+        HOURLY,
+        f"""SELECT event_type AS series, pos // {i.CHUNK} AS chunk, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY pos) AS items
+FROM placed GROUP BY 1, 2""",
+    ),
     "throughput_rollup": with_ctes(
-        [
-            "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)",
-            "placed AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS pos FROM hours)",
-        ],
+        HOURLY,
         """SELECT event_type AS series, -1 AS bucket, 0 AS total FROM placed GROUP BY 1
 UNION ALL
 SELECT event_type, (pos - 1) // 6, CAST(sum(n) AS BIGINT) FROM placed WHERE pos >= 1 GROUP BY 1, 2""",
+    ),
+    "parse_series": with_ctes(
+        HOURLY,
+        """SELECT event_type AS series, 0 AS pos, 0 AS v FROM placed GROUP BY 1
+UNION ALL
+SELECT event_type, (pos - 1) // 6 + 1, CAST(sum(n) AS BIGINT) FROM placed WHERE pos >= 1 GROUP BY 1, 2""",
     ),
     "format_series": with_ctes(
-        [
-            "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)",
-            "placed AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS pos FROM hours)",
-            "sums AS (SELECT event_type, (pos - 1) // 6 AS bucket, sum(n) AS total FROM placed WHERE pos >= 1 GROUP BY 1, 2)",
-        ],
+        [*HOURLY, "sums AS (SELECT event_type, (pos - 1) // 6 AS bucket, sum(n) AS total FROM placed WHERE pos >= 1 GROUP BY 1, 2)"],
         """SELECT event_type || ' 0 ' || string_agg(CAST(total AS BIGINT)::VARCHAR, ' ' ORDER BY bucket) AS value
 FROM sums GROUP BY event_type""",
     ),

@@ -162,3 +162,31 @@ def test_sampled_model_covers_all_points(spark, sf_dir):
         model = build(kind, spark, sample.sample_trajectories(points, 3), capacity=20)
         assigned = assign.assign_regions(points, model)
         assert assigned.where("loc IS NULL OR loc = 'outside'").count() == 0
+
+
+def test_depth_follows_the_data(spark):
+    rng = random.Random(5)
+    tight = [("a", 10 + rng.random() / 4096, 10 + rng.random() / 4096, 1) for _ in range(300)]
+    pile = [("b", 900.0, 900.0, 1)] * 60
+    wide = [("c", rng.random() * 1024, rng.random() * 1024, 1) for _ in range(300)]
+    points = points_of(spark, tight + pile + wide)
+    model = models.build_quadtree(points, i.BOUNDS, 10)
+    assert model.shape["max_depth"] > 16 and model.shape["over_full"] == 1  # the pile cannot be split
+    assigned = assign.assign_regions(points, model)
+    counts = {r["loc"]: r["count"] for r in assigned.groupBy("loc").count().collect()}
+    assert sorted(counts.values())[-2:] == [max(n for n in counts.values() if n < 60), 60] and sorted(counts.values())[-2] <= 10
+    held = assigned.join(model.regions, "loc").where("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+    assert held.count() == points.count()
+    assert model.regions.agg(F.sum(F.expr("(x1 - x0) * (y1 - y0)"))).first()[0] == i.BOUNDS.width * i.BOUNDS.height
+    assert sum(model.shape["regions_at"]) == model.regions.count()
+
+
+def test_a_depth_from_the_data_agrees_with_a_given_one(spark, sf_dir):
+    odd = Bounds(-3.7, 11.1, 987.3, 1001.9)
+    points = i.points(spark, sf_dir)
+    free = models.build_quadtree(points, odd, 20)
+    given = models.build_quadtree(points, odd, 20, free.shape["max_depth"])
+    assert free.shape == given.shape and free.shape["over_full"] == 0
+    assert rows(free.regions) == rows(given.regions)
+    for empty in (points.limit(0), points.where("x < -100")):
+        assert rows(models.build_quadtree(empty, odd, 20).regions.select("loc")) == [("q",)]

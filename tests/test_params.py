@@ -12,6 +12,7 @@ def test_parameters_must_be_positive():
         given = {"bounds": i.BOUNDS, "time_window": 1, "node_capacity": 1, "sample_size": 1} | bad
         with pytest.raises(ValueError):
             PartitionParams(**given)
+    assert PartitionParams(i.BOUNDS, 1, 1, 1).max_depth is None
     with pytest.raises(ValueError):
         Bounds(0, 0, 0, 1)
 

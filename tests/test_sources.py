@@ -107,3 +107,24 @@ def test_series_rollup(spark):
     lines = spark.createDataFrame([("cold 9 1 2 3 4 5 6 7",), ("short 4",)], "value string")
     buckets = metrics.throughput_rollup(logs.parse_series(lines))
     assert rows(metrics.format_series(buckets)) == [("cold 0 21 7",), ("short 0",)]
+
+
+def test_series_in_chunks(spark):
+    values = [("long", k, 3 * k + 1) for k in range(1000) if k % 97] + [("one", 0, 5)]
+    series = spark.createDataFrame(values, "series string, pos bigint, v bigint")
+    for size in (1, 7, 64, 5000):
+        chunks = metrics.series_chunks(series, size)
+        assert chunks.where(F.size("items") > size).count() == 0
+        assert rows(metrics.chunk_values(chunks, size)) == sorted(values)
+        assert rows(metrics.rollup_chunks(chunks, 6, size)) == rows(metrics.throughput_rollup(series, 6))
+
+
+def test_partitions_and_locations(spark, sf_dir, tmp_path):
+    points = i.points(spark, sf_dir)
+    assert source.set_partitions(points, 5).rdd.getNumPartitions() == 5
+    ranged = source.set_partitions(points, 5, "t").groupBy(F.spark_partition_id().alias("p")).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    spans = sorted((r["a"], r["b"]) for r in ranged.collect())
+    assert len(spans) == 5 and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    points.select("traj_id", "x", "y", "t").write.parquet(f"file://{tmp_path}/uri")
+    for path in (f"file://{tmp_path}/uri", f"{tmp_path}/uri"):
+        assert rows(source.read_points(spark, path)) == rows(points.select("traj_id", "x", "y", "t"))
