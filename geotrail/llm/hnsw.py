@@ -1,18 +1,22 @@
 """Operator 4, approximate nearest neighbours: a small-world graph for each shard.
 
 Equal vectors are one node, so a vector that a third of all rows share does not fill its
-neighbourhood with copies. Nodes are dealt to shards of about ``shard_rows`` by hash. A
-shard's graph has layers, each with a share of the nodes below it; a node's neighbours in a
-layer are the closest ones that are not closer to a neighbour already chosen, and links go
-both ways. A layer is a flat array of ``degree`` neighbours per node. Searches start in the top layer and keep the
-``width`` best nodes on the way in the bottom layer; many queries walk at once. The shards'
-results are merged by exact inner product in double precision.
+neighbourhood with copies. Nodes go to the cell of their nearest centre, and every cell is cut
+by hash into shards of about ``shard_rows``; the centres are fitted on a bounded sample, every
+node is indexed. A shard's graph has layers, each with a share of the nodes below it; a node's
+neighbours in a layer are the closest ones that are not closer to a neighbour already chosen,
+and links go both ways. A layer is a flat array of ``degree`` neighbours per node. Searches start
+in the top layer and keep the ``width`` best nodes on the way in the bottom layer; many queries
+walk at once. The shards' results are merged by exact inner product in double precision.
 
 The inner product is turned into a distance by one more coordinate that gives all vectors
 of a shard the same length.
 
-Queries are dealt to blocks, and every block meets every shard, as a stated query set
-against all rows must; neither side is ever gathered whole.
+A query first visits the shards of its best cell. What it finds there is a lower bound of its
+last result, so it then visits those cells alone whose upper bound, from centre, radius and
+longest vector, is no smaller: a cell that is passed over holds no result. Only the queries
+that visit a shard are sent to it, and its index is copied once for every ``block`` of them,
+so what is shuffled follows the visits.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite components take no part; equal scores are ordered by id; a query is
@@ -21,6 +25,8 @@ never its own result; repeated ids count as one row if their vectors are equal.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +37,13 @@ from geotrail.scratch import publish, publish_with_facts
 SHARD_ROWS = 8_192
 DEGREE = 32
 WIDTH = 96
-BLOCK = 512
+BLOCK = 2_048
+"""Queries of a shard that one copy of its index answers, about."""
+CELLS = 1_024
+"""Most cells; larger tables have several shards in a cell."""
+SAMPLE, SAMPLE_OF_CELL = 8_192, 64
+"""Distinct vectors on which the centres are fitted, about: the larger of these, the second for each cell."""
+ROUNDS = 12
 LAYER_SHARE = 16
 UPPER_WIDTH = 32
 NEAREST = 96
@@ -161,6 +173,103 @@ def search_graph(queries: np.ndarray, vectors: np.ndarray, layers: list[tuple[np
     raise AssertionError("a graph has at least one layer")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Centres, and of each cell the largest distance from its centre, the longest vector and the number of shards."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    longest: np.ndarray
+    shards: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.shards) - self.shards
+
+    def bounds(self, asks: np.ndarray) -> np.ndarray:
+        """No inner product of a query with a vector of a cell is larger."""
+        length = np.sqrt((asks**2).sum(1))[:, None]
+        ball = asks @ self.centres.T + length * self.radius
+        bound = np.minimum(ball, length * self.longest)
+        return bound + 1e-9 * (1 + np.abs(bound))
+
+    def shards_of(self, cells: np.ndarray) -> np.ndarray:
+        first = self.first
+        return np.concatenate([np.arange(first[c], first[c] + self.shards[c]) for c in cells]) if len(cells) else np.zeros(0, np.int64)
+
+    def best(self, asks: np.ndarray) -> np.ndarray:
+        """The cell that a query visits first."""
+        return np.where(self.shards > 0, asks @ self.centres.T, -np.inf).argmax(1)
+
+
+def fit_centres(points: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
+    """Centres of ``count`` cells by a few rounds of k-means."""
+    rng = np.random.default_rng(seed)
+    centres = points[np.sort(rng.permutation(len(points))[:count])].copy()
+    for _ in range(ROUNDS):
+        cell, _ = nearest_centre(points, centres)
+        held = np.bincount(cell, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, cell, points)
+        centres[held > 0] = sums[held > 0] / held[held > 0, None]
+        # an empty cell starts anew inside the fullest one
+        for empty in np.flatnonzero(held == 0):
+            centres[empty] = points[rng.choice(np.flatnonzero(cell == held.argmax()))]
+    return centres
+
+
+def nearest_centre(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each point and its distance from the centre."""
+    cell = np.empty(len(points), np.int64)
+    square = (centres**2).sum(1)
+    for at in range(0, len(points), 4096):
+        cell[at : at + 4096] = (square - 2 * points[at : at + 4096] @ centres.T).argmin(1)
+    return cell, np.sqrt(((points - centres[cell]) ** 2).sum(1))
+
+
+def _table(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list())
+
+
+def _make_cells(nodes: DataFrame, total: int, dim: int, shard_rows: int) -> tuple[Cells, Column]:
+    """The cells of all nodes, and the shard of a node as a column."""
+    count = min(CELLS, -(-total // shard_rows))
+    if count == 1:
+        centres = np.zeros((1, dim))
+    else:
+        share = -(-total // max(SAMPLE, SAMPLE_OF_CELL * count))
+        sample = nodes.where(F.pmod(F.xxhash64("h1", "h2", F.lit(7)), F.lit(share)) == 0).select("h1", "h2", "v")
+
+        def fit(part: pd.DataFrame) -> pd.DataFrame:
+            points = _table(part.sort_values(["h1", "h2"])["v"])
+            return pd.DataFrame({"centres": [_bytes(fit_centres(points, min(count, len(points))))]})
+
+        fitted = sample.groupBy().applyInPandas(fit, "centres binary").first()
+        centres = np.frombuffer(fitted["centres"]).reshape(-1, dim) if fitted else np.zeros((1, dim))
+
+    @F.pandas_udf("cell int, distance double, length double")
+    def place(v: pd.Series) -> pd.DataFrame:
+        points = _table(v)
+        cell, distance = nearest_centre(points, centres)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "distance": distance, "length": np.sqrt((points**2).sum(1))})
+
+    placed = nodes.select(place("v").alias("at")).groupBy("at.cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("at.distance").alias("radius"), F.max("at.length").alias("longest")
+    )
+    facts = {r["cell"]: r for r in placed.collect()}  # at most CELLS rows
+    column = lambda name: np.array([facts[c][name] if c in facts else 0 for c in range(len(centres))])
+    cells = Cells(centres, column("radius"), column("longest"), -(-column("n") // shard_rows))
+    first, shards = cells.first, cells.shards
+
+    @F.pandas_udf("long")
+    def shard(v: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
+        cell, _ = nearest_centre(_table(v), centres)
+        dealt = (h1.to_numpy().astype(np.uint64) ^ (h2.to_numpy().astype(np.uint64) >> np.uint64(7))) % np.maximum(shards[cell], 1).astype(np.uint64)
+        return pd.Series(first[cell] + dealt.astype(np.int64))
+
+    return cells, shard("v", "h1", "h2")
+
+
 def _bytes(table: np.ndarray) -> bytes:
     return np.ascontiguousarray(table).tobytes()
 
@@ -202,7 +311,7 @@ def nearest(
     few = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.max("asks").alias("asks")).join(few, ["h1", "h2"])
     nodes, facts = publish_with_facts(nodes, "nodes", F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("asking"))
-    shards, blocks = -(-facts["n"] // shard_rows), max(1, -(-(facts["asking"] or 0) // block))
+    cells, shard_of = _make_cells(nodes, facts["n"], dim, shard_rows)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h1", "h2"])
@@ -220,14 +329,11 @@ def nearest(
             }
         )
 
-    shard_of = F.pmod(F.xxhash64("h1", "h2", F.lit(5)), F.lit(shards))
     index = nodes.withColumn("shard", shard_of).groupBy("shard").applyInPandas(
         build, "shard long, vectors binary, ids binary, held binary, nodes array<binary>, links array<binary>"
     )
     index = publish(index, "index")
-    asked = nodes.where("asks").withColumn("block", F.pmod(F.xxhash64("h1", "h2", F.lit(6)), F.lit(blocks)))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = nodes.where("asks").select("h1", "h2", "v")
 
     def search(questions: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(shard):
@@ -253,13 +359,38 @@ def nearest(
             out_scores.append(owner[order])
         return pd.DataFrame({"h1": questions["h1"], "h2": questions["h2"], "ids": out_ids, "scores": out_scores})
 
-    hits = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(
-        search, "h1 long, h2 long, ids array<long>, scores array<double>"
-    )
-    hits = hits.select("h1", "h2", F.explode(F.arrays_zip("ids", "scores")).alias("hit"))
-    merged = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
-    best = hits.select("h1", "h2", F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
-    best = best.withColumn("n", F.row_number().over(merged)).where(F.col("n") <= k + 1)
+    def ask(visits: DataFrame) -> DataFrame:
+        """What queries (h1, h2, v, shard) find in the shards they visit: h1, h2, vec_id, score."""
+        copies = F.ceil(F.count(F.lit(1)) / block).alias("copies")
+        per_shard = publish(visits.groupBy("shard").agg(copies), "visits")
+        dealt = visits.join(per_shard, "shard").withColumn("copy", F.pmod(F.xxhash64("h1", "h2", F.lit(6)), F.col("copies")))
+        held = index.join(per_shard, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        found = dealt.select("h1", "h2", "v", "shard", "copy").groupBy("shard", "copy").cogroup(held.drop("copies").groupBy("shard", "copy"))
+        found = found.applyInPandas(search, "h1 long, h2 long, ids array<long>, scores array<double>")
+        found = found.select("h1", "h2", F.explode(F.arrays_zip("ids", "scores")).alias("hit"))
+        return found.select("h1", "h2", F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        merged = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
+        return hits.withColumn("n", F.row_number().over(merged)).where(F.col("n") <= k + 1)
+
+    @F.pandas_udf("array<long>")
+    def first_shards(v: pd.Series) -> pd.Series:
+        return pd.Series([cells.shards_of([c]) for c in cells.best(_table(v))])
+
+    @F.pandas_udf("array<long>")
+    def other_shards(v: pd.Series, least: pd.Series) -> pd.Series:
+        asks = _table(v)
+        open_ = (cells.bounds(asks) >= least.to_numpy()[:, None]) & (cells.shards > 0)
+        open_[np.arange(len(asks)), cells.best(asks)] = False
+        return pd.Series([cells.shards_of(np.flatnonzero(row)) for row in open_])
+
+    best = publish(ranked(ask(asked.withColumn("shard", F.explode(first_shards("v"))))), "hits")
+    if np.count_nonzero(cells.shards) > 1:
+        least = best.where(F.col("n") == k + 1).select("h1", "h2", F.col("score").alias("least"))
+        least = asked.join(least, ["h1", "h2"], "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        more = ask(least.select("h1", "h2", "v", F.explode(other_shards("v", "least")).alias("shard")))
+        best = ranked(best.drop("n").unionByName(more))
     lists = best.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     mine = rows.where("asks").select(F.col("vec_id").alias("query_id"), "h1", "h2").join(lists, ["h1", "h2"])
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)

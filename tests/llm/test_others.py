@@ -204,6 +204,54 @@ def test_recall_against_brute_force(spark, sf_dir):
     assert sum(len(set(ids) & set(want[q])) for q, ids in got) >= 0.95 * 20 * len(want)
 
 
+def clustered(count, cells, dim=16, noise=0.05):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(cells, dim))
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    return middle[rng.integers(0, cells, count)] + noise * rng.normal(size=(count, dim))
+
+
+def test_bounds_of_cells_hold_and_pass_over_far_ones():
+    points = clustered(3000, 24)
+    centres = hnsw.fit_centres(points, 24)
+    cell, distance = hnsw.nearest_centre(points, centres)
+    top = lambda values: np.array([values[cell == c].max(initial=0) for c in range(24)])
+    held = np.bincount(cell, minlength=24)
+    cells = hnsw.Cells(centres, top(distance), top(np.linalg.norm(points, axis=1)), -(-held // 50))
+    assert (held > 0).all() and sorted(np.concatenate([cells.shards_of([c]) for c in range(24)])) == list(range(cells.shards.sum()))
+    products = points[::20] @ points.T
+    best = np.stack([products[:, cell == c].max(1) for c in range(24)], 1)
+    assert (cells.bounds(points[::20]) >= best).all()
+    needed = np.sort(products, 1)[:, -21]
+    assert (cells.bounds(points[::20]) >= needed[:, None]).sum(1).mean() < 8
+    # a cell whose points all lie in one place, fewer places than cells, lone points
+    same = np.ones((40, 3))
+    assert (hnsw.nearest_centre(same, hnsw.fit_centres(same, 4))[1] == 0).all()
+
+
+def test_nearest_over_many_cells(spark):
+    vectors = clustered(3000, 24)
+    rows = list(enumerate(vectors))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")
+    got = hnsw.nearest(table, F.col("vec_id") % 20 == 0, shard_rows=120, block=9).groupBy("query_id").agg(F.collect_list("vec_id")).collect()
+    want = exact_nearest(rows, lambda i: i % 20 == 0, 20)
+    assert {q for q, _ in got} == set(want) and all(len(ids) == 20 for _, ids in got)
+    assert sum(len(set(ids) & set(want[q])) for q, ids in got) >= 0.98 * 20 * len(want)
+
+
+def test_registered_search_over_several_shards(spark, tmp_path):
+    vectors = np.random.default_rng(8).normal(size=(12_000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.op4_nearest(spark, str(tmp_path)).groupBy("query_id").agg(F.collect_list("vec_id")).collect()
+    products = vectors[::20] @ vectors.T
+    products[np.arange(600), np.arange(600) * 20] = -np.inf
+    want = np.argsort(-products, axis=1)[:, :20]
+    assert len(got) == 600
+    assert sum(len(set(ids) & set(want[q // 20])) for q, ids in got) >= 0.95 * 20 * 600
+
+
 @pytest.fixture(scope="module")
 def odd_documents(spark):
     line = " ".join(f"shared{k}" for k in range(60))
