@@ -277,3 +277,32 @@ def test_ranges_say_what_lists_say(spark, sf_dir):
     ends = candidates.candidate_ranges(i.open_circles(spark, sf_dir), model, 1).select("first_block", "last_block").distinct()
     assert rows(ends) == [(-(2**63), 2**63 - 1)]
     assert candidates.candidate_ranges(workload.withColumn("ta", F.col("tb") + 1), model, 1).count() == 0
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_workload_trajectories_move_no_hits(spark, kind):
+    """Places beyond one mask, copies of a point, runs and gaps; shapes at edges of groups."""
+    table = [("long", float(k % 9), float(k % 7), k) for k in range(150)] + [("twice", 3.0, 3.0, 5)] * 3
+    table += [("one", 900.0, 900.0, 7), ("beyond", 2000.0, 3.0, 7), ("none", None, 3.0, 7)]
+    points = points_of(spark, table)
+    model = build(kind, spark, points, 5)
+    asked = [(q, 2.0 + q % 5, 3.0, 1.0 + q % 4, q % 9, 20 * q) for q in range(12)] + [(90, 2000.0, 0.0, 5.0, 0, 99), (91, 900.0, 900.0, 0.0, 7, 7)]
+    workload = spark.createDataFrame(asked, "query_id long, x double, y double, r double, ta long, tb long")
+    got = queries.circle_workload(partition.partition_points(points, model, 10), workload, model, 10)
+    want = {}
+    for name, x, y, t in table:
+        for q, cx, cy, r, ta, tb in asked:
+            if x is not None and (x - cx) ** 2 + (y - cy) ** 2 <= r * r and ta <= t <= tb:
+                want.setdefault((q, name, 0), []).append((t, x, y))
+    found = {(r["query_id"], r["traj_id"], r["part"]): [tuple(p) for p in r["points"]] for r in got.collect()}
+    assert found == {k: sorted(v) for k, v in want.items()} and len(found) > 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" not in plan
+
+
+def test_workload_with_repeated_ids_keeps_each_hit(spark):
+    table = points_of(spark, [("a", 5.0, 5.0, 1), ("a", 6.0, 5.0, 2), (None, 5.0, 5.0, 3)])
+    model = models.build_grid(spark, i.BOUNDS, 4, 4)
+    workload = spark.createDataFrame([(1, 5.0, 5.0, 2.0, 0, 9)] * 2, "query_id long, x double, y double, r double, ta long, tb long")
+    got = queries.circle_workload(partition.partition_points(table, model, 10), workload, model, 10).collect()
+    assert sorted((r["traj_id"] or "", [p["t"] for p in r["points"]]) for r in got) == [("", [3, 3]), ("a", [1, 1, 2, 2])]
