@@ -19,6 +19,8 @@ WORK = 1 << 30
 """Comparisons of one task, about."""
 ROWS = 1_000_000
 """Most rows of one side that a cell of a shuffled join holds, about."""
+TASK_PAIRS = 1 << 22
+"""Pairs that one task of a shuffled join puts out, about."""
 MAX_TASKS = 10_000
 
 
@@ -29,16 +31,26 @@ def heavy_keys(left: DataFrame, right: DataFrame, on: Sequence[str], work: int =
     Square cells cost the fewest copies: the shorter side is cut only when both are longer
     than the root of ``work``. ``rows`` also bounds each side of a cell.
     """
+    return _measured(left, right, on, work, rows)[:3]
+
+
+def _measured(left: DataFrame, right: DataFrame, on: Sequence[str], work: int, rows: int | None) -> tuple[DataFrame, int, int, float]:
+    """``heavy_keys``, and the comparisons of all keys."""
     side = int(work**0.5)
     bounds = [f"_l > {rows} OR _r > {rows}"] if rows else []
     over = " OR ".join([f"double(_l) * _r > {float(work)!r}D", *bounds])
     a, b = f"ceil(_l / greatest({side}D, {float(work)!r}D / _r))", f"ceil(_r / greatest({side}D, {float(work)!r}D / _l))"
     if rows:
         a, b = f"greatest({a}, ceil(_l / {rows}))", f"greatest({b}, ceil(_r / {rows}))"
-    both = left.join(right, list(on)).where(over)
-    heavy = both.selectExpr(*on, f"int({a}) AS _a", f"int({b}) AS _b")
-    table, facts = publish_with_facts(heavy, "heavy-keys", F.count(F.lit(1)).alias("n"), F.sum(F.col("_a").cast("long") * F.col("_b")).alias("cells"))
-    return table, facts["n"], facts["cells"] or 0
+    grids = left.join(right, list(on)).selectExpr(*on, "_l", "_r", f"int({a}) AS _a", f"int({b}) AS _b", f"{over} AS _over")
+    table, facts = publish_with_facts(
+        grids,
+        "joined-keys",
+        F.count_if("_over").alias("n"),
+        F.expr("sum(CASE WHEN _over THEN CAST(_a AS BIGINT) * _b END)").alias("cells"),
+        F.expr("sum(double(_l) * _r)").alias("pairs"),
+    )
+    return table.where("_over").select(*on, "_a", "_b"), facts["n"] or 0, facts["cells"] or 0, facts["pairs"] or 0.0
 
 
 def dealt_join(left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame, n_heavy: int, cells: int) -> DataFrame:
@@ -66,15 +78,21 @@ def sizes(rows: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     return rows.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], work: int = WORK, rows: int = ROWS) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], work: int = WORK, rows: int = ROWS, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """An inner join by shuffle in which no task has much more than ``work`` comparisons.
 
-    Both sides are read twice: counted by key, and joined.
+    Both sides are read twice: counted by key, and joined. Few bytes can be very many pairs, so
+    the tasks follow from the pairs, ``task_pairs`` each, and are not lowered for being few bytes.
     """
     on = list(on)
-    heavy, n, cells = heavy_keys(sizes(left, on, "_l"), sizes(right, on, "_r"), on, work, rows)
+    heavy, n, cells, pairs = _measured(sizes(left, on, "_l"), sizes(right, on, "_r"), on, work, rows)
+    tasks = min(int(pairs / task_pairs) + 1, MAX_TASKS)
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.repartition(tasks, *on).join(b.repartition(tasks, *on), on) if tasks > 1 else a.join(b, on)
+
     if not n:
-        return left.join(right, on)
+        return joined(left, right)
     known = F.broadcast(heavy.select(*on)) if n <= BROADCAST_ROWS else heavy.select(*on)
-    light = left.join(known, on, "left_anti").join(right.join(known, on, "left_anti"), on)
+    light = joined(left.join(known, on, "left_anti"), right.join(known, on, "left_anti"))
     return light.unionByName(dealt_join(left, right, on, heavy, n, cells))

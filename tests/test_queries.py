@@ -306,3 +306,10 @@ def test_workload_with_repeated_ids_keeps_each_hit(spark):
     workload = spark.createDataFrame([(1, 5.0, 5.0, 2.0, 0, 9)] * 2, "query_id long, x double, y double, r double, ta long, tb long")
     got = queries.circle_workload(partition.partition_points(table, model, 10), workload, model, 10).collect()
     assert sorted((r["traj_id"] or "", [p["t"] for p in r["points"]]) for r in got) == [("", [3, 3]), ("a", [1, 1, 2, 2])]
+
+
+def test_join_of_few_bytes_takes_tasks_by_its_pairs(spark):
+    left = spark.range(400).selectExpr("id % 20 AS k", "id AS a")
+    joined = dealing.spread_join(left, left.withColumnRenamed("a", "b"), ["k"], task_pairs=500)
+    assert joined.count() == 400 * 20
+    assert joined.select(F.spark_partition_id().alias("p")).distinct().count() > 4
