@@ -313,3 +313,13 @@ def test_join_of_few_bytes_takes_tasks_by_its_pairs(spark):
     joined = dealing.spread_join(left, left.withColumnRenamed("a", "b"), ["k"], task_pairs=500)
     assert joined.count() == 400 * 20
     assert joined.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_crowded_regions_are_grouped(spark, monkeypatch):
+    """More regions where the queries are than cells of their level: the workload is still broadcast."""
+    table = points_of(spark, [(str(k % 50), (k % 97) / 97, (k % 89) / 89, k) for k in range(2000)])
+    model = models.build_kdtree(table, i.BOUNDS, 10)
+    workload = spark.createDataFrame([(q, 0.5, 0.5, 0.5, 0, 9999) for q in range(20)], "query_id long, x double, y double, r double, ta long, tb long")
+    monkeypatch.setattr(queries, "BROADCAST_ROWS", 500)
+    keyed = partition.partition_points(table, model, 10_000)
+    assert queries._dealt_sides(keyed, workload, model, 10_000, 40, queries.CUT_WORK, 500) is not None
