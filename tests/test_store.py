@@ -4,7 +4,7 @@ import pytest
 from helpers import KINDS, build, rows
 from pyspark.sql import functions as F
 
-from geotrail.operators import partition, queries
+from geotrail.operators import candidates, models, partition, queries
 from geotrail.plans import inputs as i
 from geotrail.sources import store
 
@@ -97,3 +97,15 @@ def test_assignment_moves_no_points(spark, sf_dir):
         plan = plan_of(partition.partition_points(points, build(kind, spark, points), i.WINDOW))
         assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
         assert "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_many_partitions_are_not_broadcast_for_the_size_of_their_file(spark, new_dir):
+    """Sorted counts are a small file and many rows, and a few queries meet few of them."""
+    counts = spark.range(60_000).selectExpr("'g0_0' AS loc", "id AS block", "1L AS n_points")
+    counts.coalesce(1).write.parquet(new_dir)
+    model = models.build_grid(spark, i.BOUNDS, 2, 2)
+    asked = spark.createDataFrame([(1, 5.0, 5.0, 1.0, 10, 25)], "query_id long, x double, y double, r double, ta long, tb long")
+    got = candidates.existing_candidates(asked, model, 10, spark.read.parquet(new_dir)).select("query_id", "loc", "block")
+    assert rows(got) == [(1, "g0_0", 1), (1, "g0_0", 2)]
+    joins = [line for line in plan_of(got).split("Initial Plan")[0].splitlines() if "Join [loc" in line]
+    assert joins and not any("BuildRight" in line for line in joins)
