@@ -29,28 +29,26 @@ def heavy_keys(left: DataFrame, right: DataFrame, on: Sequence[str], work: int =
 
     ``left`` and ``right`` have a row for each key and its number of rows, ``_l`` and ``_r``.
     Square cells cost the fewest copies: the shorter side is cut only when both are longer
-    than the root of ``work``. ``rows`` also bounds each side of a cell.
+    than the root of ``work``. ``rows`` also bounds each side of a cell. Cells beyond ``MAX_TASKS``
+    would be joined by the same tasks, with more copies: ``work`` is at least the share of one of them.
     """
-    return _measured(left, right, on, work, rows)[:3]
+    return measured_keys(left, right, on, work, rows)[:3]
 
 
-def _measured(left: DataFrame, right: DataFrame, on: Sequence[str], work: int, rows: int | None) -> tuple[DataFrame, int, int, float]:
+def measured_keys(left: DataFrame, right: DataFrame, on: Sequence[str], work: int, rows: int | None) -> tuple[DataFrame, int, int, float]:
     """``heavy_keys``, and the comparisons of all keys."""
+    table, facts = publish_with_facts(left.join(right, list(on)).select(*on, "_l", "_r"), "joined-keys", F.expr("sum(double(_l) * _r)").alias("pairs"))
+    pairs = facts["pairs"] or 0.0
+    work = max(work, int(pairs / MAX_TASKS))
     side = int(work**0.5)
     bounds = [f"_l > {rows} OR _r > {rows}"] if rows else []
     over = " OR ".join([f"double(_l) * _r > {float(work)!r}D", *bounds])
     a, b = f"ceil(_l / greatest({side}D, {float(work)!r}D / _r))", f"ceil(_r / greatest({side}D, {float(work)!r}D / _l))"
     if rows:
         a, b = f"greatest({a}, ceil(_l / {rows}))", f"greatest({b}, ceil(_r / {rows}))"
-    grids = left.join(right, list(on)).selectExpr(*on, "_l", "_r", f"int({a}) AS _a", f"int({b}) AS _b", f"{over} AS _over")
-    table, facts = publish_with_facts(
-        grids,
-        "joined-keys",
-        F.count_if("_over").alias("n"),
-        F.expr("sum(CASE WHEN _over THEN CAST(_a AS BIGINT) * _b END)").alias("cells"),
-        F.expr("sum(double(_l) * _r)").alias("pairs"),
-    )
-    return table.where("_over").select(*on, "_a", "_b"), facts["n"] or 0, facts["cells"] or 0, facts["pairs"] or 0.0
+    heavy = table.where(over).selectExpr(*on, f"int({a}) AS _a", f"int({b}) AS _b")
+    found = heavy.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(CAST(_a AS BIGINT) * _b)").alias("cells")).first()
+    return heavy, found["n"], found["cells"] or 0, pairs
 
 
 def dealt_join(left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame, n_heavy: int, cells: int) -> DataFrame:
@@ -87,7 +85,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], work: int
     are always dealt, so that a side is broadcast only once its true size is known.
     """
     on = list(on)
-    heavy, n, cells, pairs = _measured(sizes(left, on, "_l"), sizes(right, on, "_r"), on, work, rows)
+    heavy, n, cells, pairs = measured_keys(sizes(left, on, "_l"), sizes(right, on, "_r"), on, work, rows)
     tasks = min(int(pairs / task_pairs) + 1, MAX_TASKS)
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:

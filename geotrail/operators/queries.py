@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.predicates import in_box, in_circle, in_time
 from geotrail.operators.candidates import SCALES, at_scales, candidate_join_keys, extent, is_circles, shape_columns
-from geotrail.operators.dealing import MAX_TASKS, ROWS, WORK, dealt_join, heavy_keys, sizes
+from geotrail.operators.dealing import MAX_TASKS, ROWS, WORK, dealt_join, measured_keys, sizes
 from geotrail.operators.gather import MAX_POINTS, build_trajectories, number_in_order
 from geotrail.operators.models import SpatialModel, model_regions, regions_for_box, regions_for_circle
 from geotrail.operators.regroup import grouped_model, rows_by_level, with_groups
@@ -22,6 +22,8 @@ CUT_WORK = 1 << 21
 """Comparisons of one task, about, where trajectories are dealt to tasks: for hits, and for their places."""
 FEW_REGIONS = 64
 """Regions of a model that need no groups."""
+GROUP_ROWS = 16
+"""Most rows that regions in groups may take in a shuffled join, for one row of one group, about."""
 BITS = 62
 MASKS = 16
 """Places in a trajectory that one number marks, and most such numbers of a row."""
@@ -133,7 +135,7 @@ def workload_points(
     ``broadcast_rows`` at some coarseness is broadcast, its regions in groups, and points are
     dealt by trajectory to as many tasks as there is work: all hits of a trajectory come out of
     one task, and putting them together moves none of them. Otherwise, and where one trajectory
-    has more comparisons than ``work``, the candidate table is broadcast up to
+    has more comparisons than ``work``, the candidate table, of groups too, is broadcast up to
     ``broadcast_rows`` and both sides are shuffled beyond that. Partitions whose
     points times queries are more than ``work``, or, where points are shuffled, with more
     than ``split_points`` rows of a side, are joined as grids instead, spread over many
@@ -157,26 +159,52 @@ def _workload_points(points, workload, model, window, counts, longest, broadcast
         met = at.join(F.broadcast(keys), on)
         return met.where(_inside(workload)).select("query_id", *own)
     columns = points.columns
-    keys, facts = _published_keys(workload, model, window)
+    placed, grouped, counts = _in_groups(points, workload, model, window, counts, broadcast_rows)
+    keys, facts = _published_keys(workload, grouped, window)
     if not facts["n"]:
         return points.where("false").select(F.lit(0).cast("bigint").alias("query_id"), *columns)
-    scales, keys, near = _sides(points, workload, keys, facts)
+    scales, keys, near = _sides(placed, workload, keys, facts)
     near, on = at_scales(near, scales)
     small = facts["n"] <= broadcast_rows
-    heavy, n_heavy, cells = _heavy_partitions(points, keys, on, scales, counts, work, None if small else split_points)
+    heavy, n_heavy, cells, pairs = _heavy_partitions(placed, keys, on, scales, counts, work, None if small else split_points)
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, min(int(max(pairs / TASK_WORK, facts["n"] / ROWS)) + 1, MAX_TASKS))
+    own = [F.col("_loc").alias("loc") if c == "loc" and "_loc" in near.columns else F.col(c) for c in columns]
 
     def hits(met: DataFrame) -> DataFrame:
-        return met.where(_inside(workload)).select("query_id", *columns)
+        return met.where(_inside(workload)).select("query_id", *own)
+
+    def plain(keys: DataFrame) -> DataFrame:
+        if small:
+            return (near.repartition(tasks) if pairs > TASK_WORK else near).join(F.broadcast(keys), on)
+        # few bytes of file can be very many keys: never broadcast by the size of the file
+        return near.repartition(tasks, *on).join(keys.repartition(tasks, *on).hint("shuffle_hash"), on)
 
     if not n_heavy:
-        return hits(near.join(F.broadcast(keys) if small else keys, on))
+        return hits(plain(keys))
     known = heavy.select(*on)
     known = F.broadcast(known) if n_heavy <= BROADCAST_ROWS else known
-    light = keys.join(known, on, "left_anti")
-    others = hits(near.join(F.broadcast(light) if small else light, on))
+    others = hits(plain(keys.join(known, on, "left_anti")))
+    # several cells of little work share a task
+    cells = min(cells, int(pairs / TASK_WORK) + 1)
     return others.unionByName(hits(dealt_join(near, keys, on, heavy, n_heavy, cells)))
 
 
+def _in_groups(points: DataFrame, workload: DataFrame, model: SpatialModel, window: int, counts: DataFrame | None, broadcast_rows: int) -> tuple[DataFrame, SpatialModel, DataFrame | None]:
+    """Points, model and partition counts with regions in groups, for a join by partition.
+
+    The groups are the finest with which the workload can be broadcast or, where that is finer, has
+    ``GROUP_ROWS`` times the rows that it has with one group.
+    """
+    n_regions = model_regions(model)
+    if n_regions <= FEW_REGIONS:
+        return points, model, counts
+    by_level = rows_by_level(workload, model.bounds, window)
+    level = max(k for k, n in enumerate(by_level) if n <= max(broadcast_rows, GROUP_ROWS * by_level[0]))
+    grouped, groups = grouped_model(model, level)
+    few = n_regions <= BROADCAST_ROWS
+    return with_groups(points, groups, few), grouped, None if counts is None else with_groups(counts, groups, few)
+
+
 def _published_keys(workload: DataFrame, model: SpatialModel, window: int) -> tuple[DataFrame, dict]:
     """The candidate table and its bounds."""
     x0, y0, x1, y1 = extent(workload)
@@ -245,13 +273,13 @@ def _dealt_sides(
 
 def _heavy_partitions(
     points: DataFrame, keys: DataFrame, on: list[str], scales: list[int], counts: DataFrame | None, work: int, rows: int | None
-) -> tuple[DataFrame | None, int, int]:
-    """Partitions to be joined as grids; nothing is counted that cannot be one."""
+) -> tuple[DataFrame | None, int, int, float]:
+    """Partitions to be joined as grids, and the comparisons of all that are counted; nothing is counted that cannot be one."""
     asked = sizes(keys, on, "_r")
     total = counts.agg(F.sum("n_points")).first()[0] if counts is not None else points.count()
     most = asked.agg(F.max("_r")).first()[0] if total else 0
     if not total or (most * total <= work and (not rows or max(total, most) <= rows)):
-        return None, 0, 0
+        return None, 0, 0, 0.0
     if counts is None:
         wanted = asked if rows else asked.where(F.col("_r") * total > work)
         at, _ = at_scales(points.select("loc", "block"), scales)
@@ -259,7 +287,7 @@ def _heavy_partitions(
     else:
         at, _ = at_scales(counts, scales)
         held = at.groupBy(*on).agg(F.sum("n_points").alias("_l"))
-    return heavy_keys(held, asked, on, work, rows)
+    return measured_keys(held, asked, on, work, rows)
 
 
 def _workload_trajectories(points, workload, model, window, max_points, longest, counts) -> DataFrame:

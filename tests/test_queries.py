@@ -323,3 +323,31 @@ def test_crowded_regions_are_grouped(spark, monkeypatch):
     monkeypatch.setattr(queries, "BROADCAST_ROWS", 500)
     keyed = partition.partition_points(table, model, 10_000)
     assert queries._dealt_sides(keyed, workload, model, 10_000, 40, queries.CUT_WORK, 500) is not None
+
+
+def test_hot_workload_takes_few_keys_and_cells(spark, monkeypatch):
+    """Queries over many small regions: few candidates, none broadcast for the size of their file, the same hits."""
+    table = points_of(spark, [(str(k % 50), (k * 7 % 401) / 10, (k * 11 % 397) / 10, k - 40) for k in range(3000)] + EDGE_POINTS)
+    model = models.build_quadtree(table, i.BOUNDS, 4, 8)
+    keyed = partition.partition_points(table, model, 100)
+    asked = [(q, 20.0 + q % 7, 20.0 + q % 5, 15.0, -30, 2000) for q in range(60)]
+    workload = spark.createDataFrame(asked, "query_id long, x double, y double, r double, ta long, tb long")
+    near = "p.t BETWEEN ta AND tb AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= r * r"
+    want = keyed.alias("p").join(workload.alias("q"), F.expr(near)).select("query_id", "p.*")
+    seen, publish = [], queries._published_keys
+    monkeypatch.setattr(queries, "_published_keys", lambda *a: seen.append(publish(*a)) or seen[-1])
+    for work in (300, 1 << 30):
+        got = queries.workload_points(keyed, workload, model, 100, broadcast_rows=0, work=work)
+        assert rows(got) == rows(want)
+        plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not any("BroadcastHashJoin" in line and "_qta#" in line for line in plan)
+    assert max(facts["n"] for _, facts in seen) < candidates.candidate_join_keys(workload, model, 100).count()
+
+
+def test_cells_are_no_more_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "MAX_TASKS", 4)
+    left = spark.range(9_000).selectExpr("1L AS k", "id AS a")
+    sides = dealing.sizes(left, ["k"], "_l"), dealing.sizes(left.limit(2_000), ["k"], "_r")
+    heavy, n, cells = dealing.heavy_keys(*sides, ["k"], 10_000, None)
+    assert n == 1 and cells <= 6
+    assert dealing.dealt_join(left, left.limit(2_000).withColumnRenamed("a", "b"), ["k"], heavy, n, cells).count() == 18_000_000
