@@ -351,3 +351,44 @@ def test_cells_are_no_more_than_tasks(spark, monkeypatch):
     heavy, n, cells = dealing.heavy_keys(*sides, ["k"], 10_000, None)
     assert n == 1 and cells <= 6
     assert dealing.dealt_join(left, left.limit(2_000).withColumnRenamed("a", "b"), ["k"], heavy, n, cells).count() == 18_000_000
+
+
+def test_result_counts_move_no_hits(spark, monkeypatch):
+    """Many cells of few words, trajectories in several regions, points of none: counted in the task of their cell."""
+    table = [(f"t{k % 300}", float(k * 7 % 401) / 10, float(k * 11 % 397) / 10, k - 40) for k in range(6000)] + [("copy", 20.0, 20.0, 5)] * 5
+    table += [(None, 20.0, 20.0 + k % 3, k) for k in range(50)] + EDGE_POINTS
+    points = points_of(spark, table)
+    model = models.build_quadtree(points, i.BOUNDS, 4, 8)
+    keyed = partition.partition_points(points, model, 100)
+    asked = [(q, 20.0 + q % 17, 20.0 + q % 15, 1.0 + q % 9, -30, 300 * q) for q in range(60)] + [(90, 5000.0, 0.0, 9.0, 0, 99), (91, 5.0, 5.0, -1.0, 0, 99), (92, 1.0, 1.0, 9.0, 99, 0)]
+    asked += [(7, 5.0, 5.0, 9.0, -30, 9000), asked[9], (None, 20.0, 20.0, 9.0, 0, 9000)]
+    circles = spark.createDataFrame(asked, "query_id long, x double, y double, r double, ta long, tb long")
+    boxes = circles.selectExpr("query_id", "x - r AS x0", "y - r AS y0", "x + r AS x1", "y + r AS y1", "ta", "tb")
+    written = []
+    save = queries.publish
+    monkeypatch.setattr(queries, "publish", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, name))
+    for name, n in (("CELL_KEYS", 60), ("CELL_WORDS", 2), ("NAMES", 100)):
+        monkeypatch.setattr(queries, name, n)
+    for workload in (circles, boxes):
+        marked = queries.workload_points(keyed, workload, model, 100, marked=True)
+        hits = scan_workload(points, workload)
+        known = "query_id IS NOT NULL AND traj_id IS NOT NULL"
+        assert rows(marked.select(*HIT).where(known)) == rows(hits.where(known)) and marked.count() == hits.count()
+        assert marked.select("_cell").distinct().count() > 8
+        want = queries.query_result_counts(workload, hits)
+        got = queries.query_result_counts(workload, marked)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert len(written) == 2 and not any("Exchange hashpartitioning(_cell" in p and "_word" in line for p in written for line in p.splitlines() if "Exchange" in line)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_result_counts_of_long_trajectories(spark):
+    """Where hits cannot be marked, they are counted as before; ids may repeat in both."""
+    table = points_of(spark, [("a", 5.0, 5.0, 1), ("a", 6.0, 5.0, 2), (None, 5.0, 5.0, 3), ("b", 5.0, 5.0, 3)])
+    model = models.build_grid(spark, i.BOUNDS, 4, 4)
+    keyed = partition.partition_points(table, model, 10)
+    twice = spark.createDataFrame([(1, 5.0, 5.0, 2.0, 0, 9)] * 2, "query_id long, x double, y double, r double, ta long, tb long")
+    for work in (1 << 30, 1):
+        hits = queries.workload_points(keyed, twice, model, 10, work=work, marked=True)
+        assert ("_word" in hits.columns) == (work > 1)
+        assert rows(queries.query_result_counts(twice, hits)) == [(1, 2, 8)] * 2
