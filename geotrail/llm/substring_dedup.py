@@ -19,7 +19,9 @@ in a document with a smaller id.
 4. Segments take their answer back to the documents.
 
 Before texts are shuffled, a Bloom filter of fixed size tells which documents cannot matter;
-if it is too full to tell, more texts are shuffled and nothing else changes.
+if it is too full to tell, more texts are shuffled and nothing else changes. A text goes to a
+task and back once, in batches of bounded size, and only a text that loses words comes back
+a second time.
 
 Defined results: null and empty texts have no words; rows with a null id neither lose words
 nor cause a loss; repeated rows of one id do not cause each other's loss; other columns are
@@ -36,17 +38,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from geotrail.llm.docfilter import document_filter, may_matter, passes, with_bit
 from geotrail.llm.encoding import column_of, kept_columns
 from geotrail.llm.fmindex import FMIndex
 from geotrail.llm.textbuf import find_words, gram_hashes, inside_rows, mix, powers, ragged, rows_of, span_hashes, text_slices
-from geotrail.scratch import publish, publish_with_facts
+from geotrail.scratch import publish, publish_with_facts, setting
 
 WINDOW = 13
 GRAM = 5
 SHARD_WORDS = 150_000
 CROWD = 2_000
+BATCH_BYTES = 4 << 20
+"""Bytes of rows that are sent to Python at once while repeats are searched."""
 
 
 def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -255,6 +260,38 @@ def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
 REPEATED = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
+def cut_slices(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches (kept, text, spans) with what is left of each text, a slice of texts at a time.
+
+    ``kept_text`` is null where nothing goes: the text itself is there.
+    """
+    for batch in batches:
+        kept, texts, spans = column_of(batch, "kept"), column_of(batch, "text"), column_of(batch, "spans")
+        for row, data, offsets in text_slices(texts):
+            counts, removed, texts_out, digests = [], [], [], []
+            starts, ends, pointers = find_words(data, offsets)
+            whole = data.tobytes()
+            rows = len(offsets) - 1
+            for k in range(rows):
+                a, b = starts[pointers[k] : pointers[k + 1]], ends[pointers[k] : pointers[k + 1]]
+                gone = covered(len(a), spans[row + k].as_py() or [], window)
+                counts.append(len(a))
+                removed.append(int(gone.sum()))
+                if not removed[-1]:
+                    texts_out.append(None)
+                    digests.append(hashlib.sha256(b" ".join(whole[offsets[k] : offsets[k + 1]].split())).hexdigest())
+                    continue
+                before = np.append(offsets[k], b[:-1])
+                places = np.flatnonzero(~gone).tolist()
+                left = b"".join(whole[before[i] : b[i]] for i in places) + (whole[b[-1] : offsets[k + 1]] if places else b"")
+                texts_out.append(left.decode())
+                digests.append(hashlib.sha256(b" ".join(whole[a[i] : b[i]] for i in places)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [kept.slice(row, rows), texts.slice(row, rows), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts_out, pa.string()), pa.array(digests, pa.string())],
+                names=["kept", "text", "n_words", "n_removed", "kept_text", "kept_sha256"],
+            )
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All rows and columns of ``docs`` with n_words, n_removed, kept_text and kept_sha256.
 
@@ -262,46 +299,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     each with the white space before it; ``kept_sha256`` is that of the kept words joined by
     single spaces.
     """
-    kept = kept_columns(docs, None, ["n_words", "n_removed", "kept_text", "kept_sha256"])
+    added = ["n_words", "n_removed", "kept_text", "kept_sha256"]
+    kept = kept_columns(docs, None, added)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    repeats = publish(find_repeats(plain, window, gram), "repeats")
+    spark = docs.sparkSession
+    # shuffle files go with the table they were for, not when the driver next collects garbage
+    cleanup = setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)), cleanup:
+        repeats = publish(find_repeats(plain, window, gram), "repeats")
     bits = document_filter(repeats.select("doc_id"))
-    rows = docs.select(F.struct(*kept).alias("kept"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # a text that needs no cast is carried as such, not among the kept columns as well
+    once = len(kept) > 1 and text in docs.columns and text.lower() not in added and docs.schema[text].dataType == StringType()
+    carried = [c for c in kept if c != text] if once else kept
+    rows = docs.select(F.struct(*carried).alias("kept"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     span = "array<struct<place:bigint,mask:bigint>>"
-    out = f"kept {rows.schema['kept'].dataType.simpleString()}, {REPEATED}"
+    out = f"kept {rows.schema['kept'].dataType.simpleString()}, text string, {REPEATED}"
     rest = with_bit(rows).withColumn("spans", F.lit(None).cast(span))
     touched = with_bit(may_matter(rows, bits).join(repeats, "doc_id", "left")).select(rest.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(bits)
 
     def run_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(batch.filter(pa.array(~passes(batch, shared.value))) for batch in batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = column_of(batch, "text"), column_of(batch, "spans")
-            counts, removed, texts_out, digests = [], [], [], []
-            for row, data, offsets in text_slices(texts):
-                starts, ends, pointers = find_words(data, offsets)
-                whole = data.tobytes()
-                for k in range(len(offsets) - 1):
-                    a, b = starts[pointers[k] : pointers[k + 1]], ends[pointers[k] : pointers[k + 1]]
-                    gone = covered(len(a), spans[row + k].as_py() or [], window)
-                    counts.append(len(a))
-                    removed.append(int(gone.sum()))
-                    own = whole[offsets[k] : offsets[k + 1]]
-                    if not removed[-1]:
-                        texts_out.append(texts[row + k].as_py())
-                        digests.append(hashlib.sha256(b" ".join(own.split())).hexdigest())
-                        continue
-                    before = np.append(offsets[k], b[:-1])
-                    places = np.flatnonzero(~gone).tolist()
-                    left = b"".join(whole[before[i] : b[i]] for i in places) + (whole[b[-1] : offsets[k + 1]] if places else b"")
-                    texts_out.append(left.decode())
-                    digests.append(hashlib.sha256(b" ".join(whole[a[i] : b[i]] for i in places)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [column_of(batch, "kept"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts_out, pa.string()), pa.array(digests, pa.string())],
-                names=["kept", "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
+        return cut_slices(batches, window)
 
     done = rest.mapInArrow(run_rest, out).unionByName(touched.mapInArrow(run, out))
-    return done.select("kept.*", "n_words", "n_removed", "kept_text", "kept_sha256")
+    columns = [F.col("text").alias(c) if c == text else F.col("kept").getField(c).alias(c) for c in kept] if once else ["kept.*"]
+    return done.select(*columns, "n_words", "n_removed", F.coalesce("kept_text", "text").alias("kept_text"), "kept_sha256")

@@ -1,6 +1,8 @@
 """Near duplicates, repeated passages and benchmark leaks against brute force."""
 
+import contextlib
 import hashlib
+import io
 import math
 import random
 import re
@@ -143,6 +145,47 @@ def test_repeats(spark, monkeypatch, window, gram, crowd):
     assert texts == sorted((str(w[0]), w[4]) for w in want)
 
 
+def test_texts_go_to_tasks_once_and_in_bounded_batches(spark, monkeypatch):
+    held = lambda: [spark.conf.get(f"spark.sql.{k}") for k in ("execution.arrow.maxBytesPerBatch", "classic.shuffleDependency.fileCleanup.enabled")]
+    before, seen, every = held(), [], substring_dedup.find_repeats
+    monkeypatch.setattr(substring_dedup, "find_repeats", lambda d, w, g: seen.append(held()) or every(d, w, g))
+    rows = corpus(1) + [(2000 + k, f"{k} " * 12 + "word " * 400) for k in range(600)]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, lang string").coalesce(1)
+    got = substring_dedup.remove_repeats(docs)
+    assert got.columns == ["text", "doc_id", "lang", "n_words", "n_removed", "kept_text", "kept_sha256"]
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        got.explain()
+    carried = re.findall(r"struct\((.*?)\) AS kept", plan.getvalue())
+    assert len(carried) == 2 and all("lang" in c and "text" not in c for c in carried)
+    assert seen == [[str(4 << 20), "true"]] and held() == before
+    kept = {w[0]: w[4] for w in repeats_by_brute_force(rows, 13)}
+    texts = dict(rows)
+    for r in got.where("doc_id >= 0 AND doc_id NOT IN (903)").collect():
+        assert r["text"] == texts[r["doc_id"]] and r["lang"] == "x"
+        assert r["n_removed"] and WORD.findall(r["kept_text"]) == kept[r["doc_id"]].split(" ")[: r["n_words"] - r["n_removed"]] or r["kept_text"] == r["text"]
+
+
+def test_cut_texts_leave_a_task_in_slices():
+    import pyarrow as pa
+
+    texts = [f"{k} " * 500 for k in range(3000)] + [None, ""]
+    spans = [[{"place": 0, "mask": 1}] if k % 2 else None for k in range(3000)] + [None, None]
+    batch = pa.RecordBatch.from_pylist([{"kept": {"doc_id": k}, "text": t, "spans": s} for k, (t, s) in enumerate(zip(texts, spans, strict=True))])
+    out = list(substring_dedup.cut_slices(iter([batch]), 13))
+    assert len(out) > 10 and max(b.num_rows for b in out) < 300
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["kept"]["doc_id"] for r in rows] == list(range(3002)) and [r["text"] for r in rows] == texts
+    assert [r["kept_text"] for r in rows[:2]] == [None, " 1" * 487 + " "] and all((r["kept_text"] is None) == (s is None) for r, s in zip(rows, spans, strict=True))
+
+
+def test_a_text_of_another_type_stays_as_it_is(spark):
+    line = " ".join(f"w{k}" for k in range(20)).encode()
+    docs = spark.createDataFrame([(1, line), (2, line + b" end"), (3, None)], "doc_id int, text binary")
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("kept_sha256").collect())
+    assert got[:2] == [(1, line, 20, 0, line.decode()), (2, line + b" end", 21, 20, " end")] and got[2] == (3, None, 0, 0, None)
+    assert substring_dedup.remove_repeats(docs).schema["text"].dataType.simpleString() == "binary"
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
