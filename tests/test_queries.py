@@ -5,7 +5,7 @@ from helpers import EDGE_POINTS, KINDS, build, points_of, rows
 from pyspark.sql import functions as F
 
 from geotrail import BoxQuery, CircleQuery
-from geotrail.operators import candidates, dealing, gather, models, partition, queries
+from geotrail.operators import candidates, dealing, gather, models, partition, queries, regroup
 from geotrail.plans import inputs as i
 
 HIT = ["query_id", "traj_id", "t", "x", "y"]
@@ -392,3 +392,46 @@ def test_result_counts_of_long_trajectories(spark):
         hits = queries.workload_points(keyed, twice, model, 10, work=work, marked=True)
         assert ("_word" in hits.columns) == (work > 1)
         assert rows(queries.query_result_counts(twice, hits)) == [(1, 2, 8)] * 2
+
+
+def test_large_workload_takes_coarser_blocks(spark, sf_dir, monkeypatch):
+    """Too many rows with blocks of their own scale, even with one region: hits still stay in the task of their trajectory."""
+    points, workload = i.points(spark, sf_dir), i.circles(spark, sf_dir)
+    model = build("quadtree", spark, points, capacity=20)
+    keyed = partition.partition_points(points, model, i.WINDOW)
+    finest = min(rows for coarser, _, rows, _ in regroup.grains(workload, i.BOUNDS, i.WINDOW) if not coarser)
+    limit = int(min(rows for _, _, rows, _ in regroup.grains(workload, i.BOUNDS, i.WINDOW))) + 1
+    assert limit < finest / 2
+    dealt = queries._dealt_sides
+    monkeypatch.setattr(queries, "_dealt_sides", lambda *a: dealt(*a, broadcast_rows=limit))
+    got = queries.circle_workload(keyed, workload, model, i.WINDOW)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" not in plan
+    assert rows(got.selectExpr("query_id", "traj_id", "inline(points)").select(*HIT)) == rows(scan_workload(points, workload))
+
+
+def test_points_of_marked_places(spark):
+    """Few and many places, runs and gaps, over one number of marks and several."""
+    held = [(k, float(k % 5), float(k)) for k in range(150)]
+    for masks in (1, 2, 3, 4):
+        last = min(150, masks * queries.BITS)
+        kinds = [[0], [last - 1], [0, last - 1], [3, 5, 7], [*range(9, 30)], [0, 1, 2, 5, 9, 30], [*range(0, last, 7)], [1, 2, 3, 4, 5, 61], [last - 4, last - 2, last - 1], [*range(last)]]
+        marked = [(q, "a", len(p), p[0], p[-1], held, *(sum(1 << (v % queries.BITS) for v in p if v // queries.BITS == k) for k in range(masks))) for q, p in enumerate(kinds)]
+        marks = "".join(f", _m{k} long" for k in range(masks))
+        met = spark.createDataFrame(marked, "query_id long, traj_id string, _n int, _first int, _last int, _all array<struct<t: long, x: double, y: double>>" + marks)
+        got = {r["query_id"]: [p["t"] for p in r["points"]] for r in queries._with_points(met, masks).collect()}
+        assert got == dict(enumerate(kinds))
+
+
+def test_only_tables_of_one_row_a_key_are_not_grouped(spark):
+    points = points_of(spark, EDGE_POINTS)
+    model = build("grid", spark, points)
+    workload = spark.createDataFrame([(1, 5.0, 5.0, 9.0, 0, 99), (2, 900.0, 900.0, 1.0, 0, 99)], "query_id long, x double, y double, r double, ta long, tb long")
+    nested = queries.circle_workload(partition.partition_points(points, model, 10), workload, model, 10)
+    keys = ["query_id", "traj_id"]
+    flat = gather.summarize(nested, keys)
+    assert "Aggregate" not in flat._jdf.queryExecution().optimizedPlan().toString().split("points")[0]
+    assert rows(flat) == rows(gather.summarize(nested.select("*"), keys)) and flat.count() > 3
+    twice = gather.summarize(nested.unionByName(nested), keys)
+    assert rows(twice) == [(q, name, 2 * n, *ends) for q, name, n, *ends in rows(flat)]
+    assert rows(gather.summarize(nested, ["query_id"])) == rows(gather.summarize(nested.select("*"), ["query_id"]))
